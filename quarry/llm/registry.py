@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from quarry.llm import simhash
+from quarry.llm import linededup, simhash, warc
 
-QUERIES = {"op1_simhash": simhash.op1_simhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
+    "op9_warc": warc.op9_warc,
+    "op10_linededup": linededup.op10_linededup,
+}
+ORACLE_SQL = {
+    "op9_warc": warc.OP9_SQL,
+    "op10_linededup": linededup.OP10_SQL,
+}
