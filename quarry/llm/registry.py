@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from quarry.llm import linededup, simhash, warc
+from quarry.llm import langid, linededup, lmscore, packing, simhash, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_langid": langid.op2_langid,
+    "op3_packing": packing.op3_packing,
+    "op7_lmscore": lmscore.op7_lmscore,
     "op9_warc": warc.op9_warc,
     "op10_linededup": linededup.op10_linededup,
 }
