@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quarry.llm import embeddup, flac, langid, linededup, lmscore, packing, simhash, warc
+from quarry.llm import embeddup, flac, langid, licenses, linededup, lmscore, packing, simhash, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_langid": langid.op2_langid,
     "op3_packing": packing.op3_packing,
+    "op4_licenses": licenses.op4_licenses,
     "op6_flac": flac.op6_flac,
     "op7_lmscore": lmscore.op7_lmscore,
     "op8_embeddup": embeddup.op8_embeddup,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_linededup": linededup.op10_linededup,
 }
 ORACLE_SQL = {
+    "op4_licenses": licenses.OP4_SQL,
     "op8_embeddup": embeddup.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
     "op10_linededup": linededup.OP10_SQL,
