@@ -30,6 +30,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.shared import written
+
 CONTAINMENT, SHORT = 0.8, 10
 #: Words after A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -78,35 +80,52 @@ def _table(spark: SparkSession, rows: str, schema: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t({schema})")
 
 
-def word_order(docs: DataFrame) -> DataFrame:
-    """word, rank: the templates' words, those that the texts hold least often first."""
-    vocabulary = sorted({w for _, _, words, _ in template_words() for w in words})
-    every = _table(docs.sparkSession, ", ".join(f"('{w}')" for w in vocabulary), "word")
-    # the order decides what is pruned and never what is found, so any lower-casing will do here
-    seen = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word")).where(F.col("word").isin(vocabulary))
-    counts = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def _vocabulary() -> list[str]:
+    """All words of templates and phrases."""
+    return sorted({w for _, _, words, _ in template_words() for w in words} | {w for p, _ in PHRASES for w in p.split()})
+
+
+def overview(docs: DataFrame) -> DataFrame:
+    """key, n_words and seen, the words of templates and phrases in each text of ``docs`` (key, text).
+
+    One split of each text. Lower-casing is wider than A-Z here: that moves no
+    word border, and at most adds to seen, which only chooses candidates.
+    """
+    words = F.split(F.lower("text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++")
+    edges = F.expr("CAST(words[0] = '' AS int) + CAST(size(words) > 1 AND element_at(words, -1) = '' AS int)")
+    return docs.withColumn("words", words).select(
+        "key",
+        (F.size("words") - edges).cast("long").alias("n_words"),
+        F.array_intersect("words", F.array(*map(F.lit, _vocabulary()))).alias("seen"),
+    )
+
+
+def word_order(seen: DataFrame) -> DataFrame:
+    """word, rank: the templates' words, those in the fewest texts first."""
+    every = _table(seen.sparkSession, ", ".join(f"('{w}')" for w in _vocabulary()), "word")
+    counts = seen.select(F.explode("seen").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return every.join(counts, "word", "left").select("word", F.row_number().over(Window.orderBy(F.coalesce("n", F.lit(0)), "word")).alias("rank"))
 
 
-def found_templates(docs: DataFrame) -> DataFrame:
-    """key, label, share for each template found in a block of ``docs`` (key, text, words)."""
-    spark, own = docs.sparkSession, template_words()
-    order = word_order(docs).cache()
-    sides = _table(spark, ", ".join(f"({i}, '{label}', {need}, array({', '.join(repr(w) for w in words)}))" for i, label, words, need in own), "template, label, need, words")
+def _templates(order: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Templates with their words' ranks in order (t), and a row for each word of their prefixes."""
+    sides = _table(order.sparkSession, ", ".join(f"({i}, '{label}', {need}, array({', '.join(repr(w) for w in words)}))" for i, label, words, need in template_words()), "template, label, need, words")
     templates = (
         sides.select("template", "label", "need", F.explode("words").alias("word"))
         .join(order, "word")
         .groupBy("template", "label", "need")
         .agg(F.array_sort(F.collect_list("rank")).alias("t"))
     )
-    prefixes = templates.select("*", F.posexplode("t").alias("j", "rank")).where("j <= size(t) - need")
-    vocabulary = F.array(*(F.lit(w) for w in sorted({w for _, _, words, _ in own for w in words})))
-    least = min(need for *_, need in own)
-    # only documents with enough words of templates have such blocks
-    fit = docs.where(F.size(F.array_intersect("words", vocabulary)) >= least)
+    return templates, templates.select("*", F.posexplode("t").alias("j", "rank")).where("j <= size(t) - need")
+
+
+def found_templates(docs: DataFrame, order: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """key, label, share for each template found in a block of ``docs`` (key, text)."""
+    vocabulary = F.array(*map(F.lit, _vocabulary()))
+    least = min(need for *_, need in template_words())
     cut = F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", "\n[ \\t\\r\\f\\x0B]*\n[\\s]*")))
     blocks = (
-        fit.select("key", F.explode(cut).alias("block"))
+        docs.select("key", F.explode(cut).alias("block"))
         .select("key", "block", F.array_intersect(words_of(F.col("block")), vocabulary).alias("words"))
         .where(F.size("words") >= least)
         .select("key", F.xxhash64("block", F.length("block")).alias("block"), F.explode("words").alias("word"))
@@ -114,65 +133,67 @@ def found_templates(docs: DataFrame) -> DataFrame:
         .groupBy("key", "block")
         .agg(F.array_sort(F.collect_set("rank")).alias("b"))
     )
-    left = "size(b) - i - 1"
     candidates = (
         blocks.select("key", "block", "b", F.posexplode("b").alias("i", "rank"))
         .join(F.broadcast(prefixes), "rank")
         .where("size(b) >= need AND i <= size(b) - need")
-        .where(f"least(i, j) + 1 + least({left}, size(t) - j - 1) >= need")
+        .where("least(i, j) + 1 + least(size(b) - i - 1, size(t) - j - 1) >= need")
         .withColumn("overlap", F.size(F.array_intersect("b", "t")))
         .where("overlap >= need")
     )
     return candidates.groupBy("key", "label").agg(F.max(F.col("overlap") / F.size("t")).alias("share"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of ``docs`` (doc_id, text).
+def base_places(docs: DataFrame) -> DataFrame:
+    """key, hits (array of at, label) for each row of ``docs`` (key, words).
 
-    score is 1 where a base phrase stands, else the largest share of a template's words that a block holds, else 0.
+    The words must come from a table: an expression would be computed anew for each place.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = (
-        docs.select("doc_id", text.alias("text"))
-        .withColumn("key", F.struct(F.col("doc_id"), F.xxhash64("text", F.length("text")).alias("text_key")))
-        .withColumn("words", words_of(F.col("text")))
-    )
     places = []
     for phrase, label in PHRASES:
         parts = phrase.split()
-        # the last word's places, then those whose neighbours fit; documents without the word are not searched
         fits = " AND ".join(f"element_at(words, i + {k + 1}) = '{w}'" for k, w in enumerate(parts))
-        places.append(f"transform(filter(sequence(0, size(words) - {len(parts)}), i -> {fits}), i -> struct(i AS at, '{label}' AS label))")
-    last = sorted({p.split()[-1] for p, _ in PHRASES})
-    some = " AND ".join([f"size(words) >= {max(len(p.split()) for p, _ in PHRASES)}", "(" + " OR ".join(f"array_contains(words, '{w}')" for w in last) + ")"])
-    short = " AND ".join([f"size(words) = {min(len(p.split()) for p, _ in PHRASES)}", "(" + " OR ".join(f"array_contains(words, '{w}')" for w in last) + ")"])
-    two = ", ".join(x for x, (p, _) in zip(places, PHRASES, strict=True) if len(p.split()) == min(len(q.split()) for q, _ in PHRASES))
-    hits = F.expr(f"CASE WHEN {some} THEN concat({', '.join(places)}) WHEN {short} THEN concat({two}) ELSE array() END")
-    based = (
-        keyed.withColumn("hits", hits)
+        every = f"filter(sequence(0, size(words) - {len(parts)}), i -> {fits})"
+        places.append(f"IF(size(words) < {len(parts)}, array(), transform({every}, i -> struct(i AS at, '{label}' AS label)))")
+    return docs.select("key", F.expr(f"concat({', '.join(places)})").alias("hits"))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of ``docs`` (doc_id, text).
+
+    score is 1 where a base phrase stands, else the largest share of a template's words that a block holds, else 0.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text")).select(F.struct(F.col("doc_id"), F.xxhash64("text", F.length("text")).alias("text_key")).alias("key"), "text")
+    seen = written(overview(keyed), "overview")
+    order = written(word_order(seen), "word-order")
+    prefixes = _templates(order)[1]
+    # as many words as the templates have at most: texts without any of them hold no template
+    rare = sorted({r.word for r in prefixes.join(order, "rank").select("word").collect()})
+    phrase = F.expr(" OR ".join("(" + " AND ".join(f"array_contains(seen, '{w}')" for w in p.split()) + ")" for p, _ in PHRASES))
+    wanted = seen.where(phrase | F.arrays_overlap("seen", F.array(*map(F.lit, rare)))).select("key").distinct()
+    same = F.expr("a.key.text_key = b.key.text_key AND a.key.doc_id <=> b.key.doc_id")
+    near = written(keyed.alias("a").join(wanted.alias("b"), same, "left_semi").distinct().withColumn("words", words_of(F.col("text"))), "candidates")
+    labels = found_templates(near, order, prefixes).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
+    more = base_places(near).alias("a").join(labels.alias("b"), same, "full_outer").select(F.coalesce("a.key", "b.key").alias("key"), "hits", "more", "share")
+    own = F.coalesce("hits", F.expr("array()").cast("array<struct<at: int, label: string>>"))
+    none = F.array().cast("array<string>")
+    return (
+        seen.alias("a")
+        .join(more.alias("b"), same, "left")
+        .select("a.key.doc_id", "n_words", own.alias("hits"), F.coalesce("more", none).alias("more"), "share")
+        .withColumn("base", F.expr("array_distinct(transform(hits, h -> h.label))"))
         .select(
             "doc_id",
-            "key",
-            F.size("words").cast("long").alias("n_words"),
+            "n_words",
             F.size("hits").cast("long").alias("n_base"),
             F.expr("CAST(array_min(transform(hits, h -> h.at)) AS BIGINT)").alias("first_word"),
             F.expr("CAST(array_max(transform(hits, h -> h.at)) AS BIGINT)").alias("last_word"),
-            F.expr("array_distinct(transform(hits, h -> h.label))").alias("base"),
+            F.array_join(F.array_sort("base"), ",").alias("base_labels"),
+            F.array_join(F.array_sort(F.array_union("base", "more")), ",").alias("labels"),
+            F.when(F.size("hits") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
         )
     )
-    labels = found_templates(keyed.select("key", "text", "words")).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
-    joined = based.alias("a").join(labels.alias("b"), F.expr("a.key.text_key = b.key.text_key AND a.key.doc_id <=> b.key.doc_id"), "left")
-    none = F.array().cast("array<string>")
-    return joined.select(
-        "doc_id",
-        "n_words",
-        "n_base",
-        "first_word",
-        "last_word",
-        F.array_join(F.array_sort("base"), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("base", F.coalesce("more", none))), ",").alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
-    )
 
 
 def op4_licenses(spark, sf_dir: str) -> DataFrame:
