@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quarry.llm import embeddup, flac, langid, licenses, linededup, lmscore, packing, simhash, warc
+from quarry.llm import bytebpe, embeddup, flac, langid, licenses, linededup, lmscore, packing, simhash, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_langid": langid.op2_langid,
     "op3_packing": packing.op3_packing,
     "op4_licenses": licenses.op4_licenses,
+    "op5_bytebpe": bytebpe.op5_bytebpe,
     "op6_flac": flac.op6_flac,
     "op7_lmscore": lmscore.op7_lmscore,
     "op8_embeddup": embeddup.op8_embeddup,
