@@ -23,6 +23,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -32,13 +34,13 @@ from pyspark.sql import types as T
 
 from quarry.llm.shared import connected_components, written
 
-BITS = 64
+BITS, SEED = 64, 42
 #: Shingles hashed before their bits are added up.
 BLOCK = 1 << 15
 
 
-def fingerprint(text: str | None, words_per_shingle: int) -> int:
-    """The 64-bit fingerprint, unsigned."""
+def fingerprint(text: str | None, words_per_shingle: int, seed: int = SEED) -> int:
+    """The 64-bit fingerprint of a seed, unsigned."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
@@ -48,19 +50,21 @@ def fingerprint(text: str | None, words_per_shingle: int) -> int:
     for at in range(0, shingles, BLOCK):
         part = words[at : at + BLOCK + words_per_shingle - 1]
         runs = [part] if len(part) < words_per_shingle else zip(*(part[i:] for i in range(words_per_shingle)), strict=False)
-        hashes = np.fromiter((digest(b" ".join(x), 42) for x in runs), np.uint64)
+        hashes = np.fromiter((digest(b" ".join(x), seed) for x in runs), np.uint64)
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > shingles, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, for each row of ``docs``."""
+def fingerprints(docs: DataFrame, words_per_shingle: int = 5, prints: int = 1) -> DataFrame:
+    """doc_id, text_key (a hash of the text) and fps, the fingerprints of ``prints`` seeds as signed longs, for each row of ``docs``."""
 
-    @F.pandas_udf(T.LongType())
+    @F.pandas_udf(T.ArrayType(T.LongType()))
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter((fingerprint(t, words_per_shingle) for t in texts), np.uint64, len(texts)).view(np.int64))
+        rows = (np.array([fingerprint(t, words_per_shingle, SEED + k) for k in range(prints)], np.uint64).view(np.int64) for t in texts)
+        return pd.Series(list(rows), dtype=object)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), of(F.col("text").cast("string")).alias("fp"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), of(text).alias("fps"))
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
@@ -111,25 +115,46 @@ def near_pairs(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
     return probe.alias("a").join(build.alias("b"), F.expr(on)).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
-def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, max_bits: int = 4) -> DataFrame:
-    """doc_id, fp (signed long), component_id for each row of ``docs``.
+def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, max_bits: int = 4, prints: int = 1) -> DataFrame:
+    """doc_id, text_key, fps, component_id, first for each row of ``docs``.
 
-    component_id is the smallest doc_id that links of at most ``max_bits``
-    differing bits reach, the document's own included.
+    component_id is the smallest doc_id that links reach, the document's own
+    included; a link is a difference of at most ``max_bits`` bits in any of the
+    ``prints`` fingerprints, which differ in their seed. first tells the row of
+    the component that has the smallest (doc_id, text_key).
     """
-    fps = written(fingerprints(docs, words_per_shingle), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    reached = connected_components(near_pairs(nodes.select("fp"), max_bits))
-    named = nodes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "low", F.coalesce("component", "fp").alias("component")
+    prints_of = written(fingerprints(docs, words_per_shingle, prints), "fingerprints")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    kinds = written(prints_of.groupBy("fps").agg(F.min("doc_id").alias("low"), F.min(own).alias("first")), "fingerprint-classes")
+    # a fingerprint value is a node (seed, value, 0...), a text's list of values a node one longer; texts hang on values
+    hub = lambda k, fp: F.array(F.lit(k).cast("long"), fp, *[F.lit(0).cast("long")] * (prints - 1))
+    node = F.concat(F.array(F.lit(-1).cast("long")), F.col("fps"))
+    edges = []
+    for k in range(prints):
+        values = kinds.groupBy(F.col("fps")[k].alias("fp")).agg(F.count(F.lit(1)).alias("n"))
+        pairs = written(near_pairs(values.select("fp"), max_bits), "pairs")
+        edges.append(pairs.select(hub(k, F.col("u")).alias("u"), hub(k, F.col("v")).alias("v")))
+        touched = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).union(values.where("n > 1").select("fp")).distinct()
+        edges.append(kinds.withColumn("fp", F.col("fps")[k]).join(touched, "fp", "left_semi").select(node.alias("u"), hub(k, F.col("fp")).alias("v")))
+    reached = connected_components(reduce(DataFrame.union, edges))
+    named = written(
+        kinds.withColumn("node", node).join(reached, "node", "left").select("fps", "low", "first", F.coalesce("component", "node").alias("component")),
+        "classes",
     )
-    named = written(named, "classes")
-    smallest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    classes = named.join(smallest, "component").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    smallest = named.groupBy("component").agg(F.min("low").alias("component_id"), F.min("first").alias("chosen"))
+    classes = named.join(smallest, "component").select("fps", "component_id", "chosen")
+    return prints_of.join(classes, "fps").select("doc_id", "text_key", "fps", "component_id", (own == F.col("chosen")).alias("first"))
+
+
+def one_of_each(docs: DataFrame, words_per_shingle: int = 5, max_bits: int = 4, prints: int = 4) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id (and of equal rows one)."""
+    found = near_duplicates(docs, words_per_shingle, max_bits, prints)
+    same = {"no_id__": F.col("doc_id").isNull(), "doc__": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "text_key__": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
+    chosen = found.where("first").withColumns({**same, "text_key__": F.col("text_key")}).select(*same).distinct()
+    return docs.withColumns(same).join(chosen, list(same), "left_semi").dropDuplicates(list(same)).select(*docs.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_duplicates(docs, words_per_shingle=4, max_bits=4)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
