@@ -36,9 +36,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +49,8 @@ from quarry.llm.shared import written
 LONGEST = 64
 #: Small maps that the rank map is dealt into; a power of two.
 MAPS = 1 << 16
-#: Distinct words and pieces of text of a block, and words of a row that Spark encodes at a time.
-BLOCK_WORDS, BLOCK_PIECES, ROW_WORDS = 600_000, 12_000_000, 20_000
+#: Bytes of text of a block; words of a row that Spark encodes at a time; pieces of text whose ids are unpacked at a time.
+BLOCK_BYTES, ROW_WORDS, ROW_PIECES = 32 << 20, 20_000, 500_000
 
 
 @lru_cache(4)
@@ -140,214 +142,226 @@ def merge_with_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : after[i]]] for i in range(n) if alive[i]]
 
 
-def splitter(pattern: str) -> Callable[[str], list[str]]:
-    """Pieces of a text that the pattern may split one by one: it can end nowhere else before a single space.
+#: White space that Unicode knows beside ASCII's.
+_SPACE = r"[\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-    A space that follows a non-space begins a new match of the pattern (words take at most one
-    space before them), so cutting there changes nothing. Texts with a space after white space are left whole.
+
+def pieces_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """How many pieces each text has, the distinct pieces, and the number of each text's pieces in turn.
+
+    A space that follows a non-space begins a new match of the pattern (words take at
+    most one space before them), so cutting there changes nothing. Texts with a space
+    after white space are left whole.
     """
-    spaces = regex.compile(r"\s ")
+    whole = pc.match_substring_regex(texts, _SPACE + " ")
+    split = pc.split_pattern(texts, " ")
+    split = pc.if_else(whole, pc.split_pattern(texts, "\0never\0"), split) if pc.any(whole).as_py() else split
+    count = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pc.list_flatten(split).dictionary_encode()
+    number = coded.indices.to_numpy().astype(np.int64) * 2 + 1
+    number[np.cumsum(count) - count] -= 1  # even: without a space before it, as a text's first piece
+    distinct, number = np.unique(number, return_inverse=True)
+    bare = coded.dictionary.take(pa.array(distinct >> 1))
+    lead = pa.array(np.array(["", " "], object)[distinct & 1], pa.string())
+    return count, pc.binary_join_element_wise(lead, bare, ""), number
+
+
+def pack_words(numbers: np.ndarray, words: pa.Array) -> bytes:
+    """Numbers and words (binary) in one compressed value."""
+    words = pa.concat_arrays([words])  # offsets from 0
+    offsets = np.frombuffer(words.buffers()[1], "<i4", len(words) + 1, words.offset * 4)
+    data = words.buffers()[2]
+    body = data[int(offsets[0]) : int(offsets[-1])] if data is not None else b""
+    return zstandard.compress(struct.pack("<I", len(words)) + numbers.astype("<u4").tobytes() + (offsets - offsets[0]).tobytes() + bytes(body), 1)
+
+
+def unpack_words(data: bytes) -> tuple[np.ndarray, pa.Array]:
+    raw = zstandard.decompress(data)
+    n = struct.unpack_from("<I", raw)[0]
+    numbers = np.frombuffer(raw, "<u4", n, 4).astype(np.int64)
+    buffer = pa.py_buffer(raw)
+    at = 4 + 4 * n
+    return numbers, pa.Array.from_buffers(pa.binary(), n, [None, buffer.slice(at, 4 * n + 4), buffer.slice(at + 4 * n + 4)])
 
-    def pieces(text: str) -> list[str]:
-        if spaces.search(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + x for x in rest]
 
-    return pieces
+def pack_ids(numbers: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
+    return zstandard.compress(np.array([len(numbers)], "<u4").tobytes() + b"".join(np.asarray(x).astype("<u4").tobytes() for x in (numbers, counts, ids)), 1)
 
 
-def pack_words(numbers: list[int], words: list[bytes]) -> bytes:
-    sizes = np.fromiter(map(len, words), "<u4", len(words))
-    return zstandard.compress(struct.pack("<I", len(words)) + np.array(numbers, "<u4").tobytes() + sizes.tobytes() + b"".join(words), 1)
+def unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(data), "<u4").astype(np.int64)
+    n = int(raw[0])
+    return raw[1 : n + 1], raw[n + 1 : 2 * n + 1], raw[2 * n + 1 :]
 
 
-def unpack_words(data: bytes) -> tuple[np.ndarray, list[bytes]]:
-    raw = zstandard.decompress(data)
-    n = struct.unpack_from("<I", raw)[0]
-    numbers, sizes = np.frombuffer(raw, "<u4", n, 4), np.frombuffer(raw, "<u4", n, 4 + 4 * n)
-    ends = np.cumsum(sizes, dtype=np.int64) + 4 + 8 * n
-    return numbers, [raw[a:z] for a, z in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+def gathered(counts: np.ndarray, values: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and concatenated values of the chosen lists."""
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values, pa.int32()))
+    took = lists.take(pa.array(which))
+    return counts[which], took.flatten().to_numpy()
 
 
-def pack_ids(numbers: np.ndarray, ids: list[list[int]], data: list[bytes]) -> bytes:
-    """Words of a block by number, with their ids and bytes."""
-    n = len(ids)
-    counts, sizes = (np.fromiter(map(len, x), "<u4", n) for x in (ids, data))
-    flat = np.fromiter((i for x in ids for i in x), "<u4", int(counts.sum()))
-    head = np.array([n, len(flat)], "<u4").tobytes() + np.asarray(numbers, "<u4").tobytes() + counts.tobytes() + sizes.tobytes()
-    return zstandard.compress(head + flat.tobytes() + b"".join(data), 1)
+SCHEMA = "block string, kind int, bucket int, doc_id long, data binary"
 
 
-def unpack_ids(packed: bytes) -> Iterator[tuple[int, list[int], bytes]]:
-    raw = zstandard.decompress(packed)
-    n, m = np.frombuffer(raw, "<u4", 2).tolist()
-    numbers, counts, sizes = (np.frombuffer(raw, "<u4", n, 8 + 4 * n * k).astype(np.int64) for k in range(3))
-    ids = np.frombuffer(raw, "<u4", m, 8 + 12 * n).tolist()
-    ends, stops = np.cumsum(counts), np.cumsum(sizes) + 8 + 12 * n + 4 * m
-    for number, a, z, p, q in zip(numbers.tolist(), (ends - counts).tolist(), ends.tolist(), (stops - sizes).tolist(), stops.tolist(), strict=True):
-        yield number, ids[a:z], raw[p:q]
+def _rows(block: list[str], kind: int, bucket: np.ndarray | None, doc_id: pa.Array | None, data: list[bytes]) -> pa.RecordBatch:
+    n = len(data)
+    columns = [pa.array(block, pa.string()), pa.array(np.full(n, kind, np.int32)), pa.nulls(n, pa.int32()) if bucket is None else pa.array(bucket, pa.int32()), pa.nulls(n, pa.int64()) if doc_id is None else doc_id, pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["block", "kind", "bucket", "doc_id", "data"])
 
 
-SCHEMA = "block string, kind int, bucket int, doc_id long, data binary"
+def _blocks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about BLOCK_BYTES of text."""
+    size = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < b.num_rows:
+        before = size[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(size, before + BLOCK_BYTES, side="right")))
+        yield b.slice(first, last - first)
+        first = last
 
 
 def _numbered(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
     """Rows of three kinds: 0 a text as numbers of pieces, 1 a block's words of a bucket, 2 a block's pieces as numbers of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        split, words_in = splitter(pattern), regex.compile(pattern).findall
-        name = f"{TaskContext.get().partitionId()}"
-        done = 0
-        pieces: dict[str, int] = {}
-        words: dict[str, int] = {}
-        made: list[list[int]] = []
-        total = 0
-
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["block", "kind", "bucket", "doc_id", "data"])
-
-        def closed() -> Iterator[pa.RecordBatch]:
-            block = f"{name}-{done}"
-            sizes = np.fromiter(map(len, made), "<u4", len(made))
-            flat = np.fromiter((w for m in made for w in m), "<u4", int(sizes.sum()))
-            rows = [(block, 2, None, None, zstandard.compress(struct.pack("<I", len(made)) + sizes.tobytes() + flat.tobytes(), 1))]
-            dealt: dict[int, tuple[list[int], list[bytes]]] = {}
-            for w, number in words.items():
-                data = w.encode("utf-8", "surrogatepass")
-                numbers, own = dealt.setdefault(zlib.crc32(data) % buckets, ([], []))
-                numbers.append(number)
-                own.append(data)
-            rows += [(block, 1, bucket, None, pack_words(*own)) for bucket, own in dealt.items()]
-            yield batch(rows)
-
-        for b in batches:
-            rows, held = [], 0
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                numbers = []
-                for p in split(text or ""):
-                    if (n := pieces.get(p)) is None:
-                        n = pieces[p] = len(pieces)
-                        made.append([words.setdefault(w, len(words)) for w in words_in(p)])
-                    numbers.append(n)
-                total += len(numbers)
-                data = zstandard.compress(np.array(numbers, "<u4").tobytes(), 1)
-                rows.append((f"{name}-{done}", 0, None, doc_id, data))
-                held += len(data)
-                if len(words) >= BLOCK_WORDS or total >= BLOCK_PIECES:
-                    yield batch(rows)
-                    rows, held = [], 0
-                    yield from closed()
-                    done, pieces, words, made, total = done + 1, {}, {}, [], 0
-                elif held > 16 << 20:
-                    yield batch(rows)
-                    rows, held = [], 0
-            if rows:
-                yield batch(rows)
-        if pieces or done == 0:
-            yield from closed()
-
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, SCHEMA)
+        words_in = regex.compile(pattern).findall
+        pid, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for b in _blocks(batch):
+                block, done = f"{pid}-{done}", done + 1
+                count, pieces, number = pieces_of(pa.concat_arrays([b.column("text")]))
+                made = [words_in(p) for p in pieces.to_pylist()]
+                sizes = np.fromiter(map(len, made), np.int64, len(made))
+                coded = pa.array([w for m in made for w in m], pa.string()).cast(pa.binary()).dictionary_encode()
+                del made, pieces
+                part = coded.indices.to_numpy().astype("<u4") if len(coded) else np.zeros(0, "<u4")
+                yield _rows([block], 2, None, None, [pack_ids(np.zeros(len(sizes)), sizes, part)])
+                words = coded.dictionary
+                bucket = np.fromiter(map(zlib.crc32, words.to_pylist()), np.int64, len(words)) % buckets
+                order = np.argsort(bucket, kind="stable")
+                groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+                if groups:
+                    yield _rows([block] * len(groups), 1, np.array([bucket[g[0]] for g in groups]), None, [pack_words(g, words.take(pa.array(g))) for g in groups])
+                numbers = np.split(number.astype("<u4"), np.cumsum(count)[:-1])
+                yield _rows([block] * len(numbers), 0, None, b.column("doc_id"), [zstandard.compress(x.tobytes(), 1) for x in numbers])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, SCHEMA)
 
 
 def _encoded_words(packed: DataFrame, path: str) -> DataFrame:
-    """For each block and bucket a row of kind 3 with the ids and bytes of the block's words."""
+    """For each block and bucket a row of kind 3 with the ids of the block's words."""
     said = Expressions(ranks_of(path))
 
     def meet(table: pa.Table) -> pa.Table:
-        """Rows of distinct words, with where they occur: numbers of block, word in the block, word in the row."""
-        names = table.column("block").to_pylist()
-        at: dict[bytes, int] = {}
-        where: list[list[tuple[int, int]]] = []
+        """Rows of distinct words, with where they occur: a block, a word of the block, a word of the row."""
+        names, found, where, numbers = table.column("block").to_pylist(), [], [], []
         for block, data in enumerate(table.column("data").to_pylist()):
-            numbers, words = unpack_words(data)
-            for number, w in zip(numbers.tolist(), words, strict=True):
-                if (i := at.setdefault(w, len(where))) == len(where):
-                    where.append([])
-                where[i].append((block, number))
-        known = ranks_of(path)
-        rows: dict[str, list] = {"words": [], "ids": [], "blocks": [], "places": []}
-        kept = list(at)
+            own, words = unpack_words(data)
+            found.append(words)
+            numbers.append(own)
+            where.append(np.full(len(own), block))
+        coded = pa.concat_arrays(found).dictionary_encode()
+        at, where, numbers = coded.indices.to_numpy().astype(np.int64), np.concatenate(where), np.concatenate(numbers)
+        order = np.argsort(at, kind="stable")
+        at, where, numbers = at[order], where[order], numbers[order]
+        kept, rows = coded.dictionary.to_pylist(), []
         for first in range(0, len(kept), ROW_WORDS):
             part = kept[first : first + ROW_WORDS]
-            long = {i: merge_with_heap(w, known) for i, w in enumerate(part) if len(w) > LONGEST}
-            rows["words"].append([w.decode("latin-1") if i not in long else None for i, w in enumerate(part)])
-            rows["ids"].append([long.get(i) for i in range(len(part))])
-            places = np.array([(b, n, i) for i in range(len(part)) for b, n in where[first + i]], "<u4")
-            rows["blocks"].append(names)
-            rows["places"].append(places.tobytes())
+            lo, hi = np.searchsorted(at, [first, first + len(part)])
+            places = np.stack([where[lo:hi], numbers[lo:hi], at[lo:hi] - first], 1).astype("<u4")
+            long = {i: merge_with_heap(w, ranks_of(path)) for i, w in enumerate(part) if len(w) > LONGEST}
+            rows.append(([None if i in long else w.decode("latin-1") for i, w in enumerate(part)], [long.get(i) for i in range(len(part))] if long else None, names, places.tobytes()))
         types = [pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()), pa.binary()]
-        return pa.table([pa.array(c, t) for c, t in zip(rows.values(), types, strict=True)], names=list(rows))
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["words", "long", "blocks", "places"])
 
-    met = packed.groupBy("bucket").applyInArrow(meet, "words array<string>, ids array<array<int>>, blocks array<string>, places binary")
+    met = packed.groupBy("bucket").applyInArrow(meet, "words array<string>, long array<array<int>>, blocks array<string>, places binary")
     ids = F.transform("words", lambda w: F.when(w.isNotNull(), said.encode(w)))
-    both = F.transform(F.zip_with(ids, "ids", lambda a, b: F.coalesce(a, b)), lambda x: F.struct(x.alias("ids"), said.decode(x).alias("bytes")))
 
     def give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for names, places, found in zip(b.column("blocks").to_pylist(), b.column("places").to_pylist(), b.column("found").to_pylist(), strict=True):
+            for i, (names, places) in enumerate(zip(b.column("blocks").to_pylist(), b.column("places").to_pylist(), strict=True)):
+                found, long = b.column("ids").slice(i, 1).flatten(), b.column("long").slice(i, 1).flatten()
+                if len(long):
+                    found = pa.array([x if x is not None else y for x, y in zip(found.to_pylist(), long.to_pylist(), strict=True)], pa.list_(pa.int32()))
+                counts, values = pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64), found.flatten().to_numpy(zero_copy_only=False)
                 place = np.frombuffer(places, "<u4").reshape(-1, 3)
                 place = place[np.argsort(place[:, 0], kind="stable")]
-                out: list[list] = [[], []]
-                for part in np.split(place, np.flatnonzero(np.diff(place[:, 0])) + 1):
-                    own = [found[i] for i in part[:, 2].tolist()]
-                    out[0].append(names[part[0, 0]])
-                    out[1].append(pack_ids(part[:, 1], [x["ids"] for x in own], [x["bytes"] for x in own]))
-                n = len(out[0])
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array([3] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(out[1], pa.binary())], ["block", "kind", "bucket", "doc_id", "data"])
+                parts = np.split(place, np.flatnonzero(np.diff(place[:, 0])) + 1)
+                yield _rows([names[p[0, 0]] for p in parts], 3, None, None, [pack_ids(p[:, 1], *gathered(counts, values, p[:, 2].astype(np.int64))) for p in parts])
 
-    return met.select("blocks", "places", both.alias("found")).mapInArrow(give_back, SCHEMA)
+    return met.select("blocks", "places", "long", ids.alias("ids")).mapInArrow(give_back, SCHEMA)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit; null unless ``with_ids``),
-    ids_sha256, decoded_sha256 for each row of ``docs`` (doc_id, text); the digests are those of the decimal
-    ids joined by commas and of the bytes that the ids decode to."""
+    ids_sha256, decoded_sha256 for each row of ``docs`` (doc_id, text); the digests are those of the
+    decimal ids joined by commas and of the bytes that the ids decode to."""
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     numbered = written(_numbered(docs, pattern, buckets), "numbered")
     answers = _encoded_words(numbered.where("kind = 1").select("block", "bucket", "data"), path)
-
     schema = "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
 
     def finish(table: pa.Table) -> pa.Table:
-        kind, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
-        texts = [i for i, k in enumerate(kind) if k == 0]
-        raw = zstandard.decompress(data[kind.index(2)])
-        n = struct.unpack_from("<I", raw)[0]
-        sizes = np.frombuffer(raw, "<u4", n, 4).tolist()
-        parts = np.frombuffer(raw, "<u4", -1, 4 + 4 * n).tolist()
-        known = {number: (own, piece) for i, k in enumerate(kind) if k == 3 for number, own, piece in unpack_ids(data[i])}
-        # for each piece of text: its ids in decimal and in binary, their number, and the bytes that they decode to
-        decimal, binary, count, piece, at = [], [], np.zeros(n, np.int64), [], 0
-        for i, size in enumerate(sizes):
-            words = [known[w] for w in parts[at : at + size]]
-            at += size
-            own = [x for ids, _ in words for x in ids]
-            count[i] = len(own)
-            decimal.append(",".join(map(str, own)))
-            piece.append(b"".join(p for _, p in words))
-            if with_ids:
-                binary.append(np.array(own, "<u4").tobytes())
-        del known, parts
+        kind, data = table.column("kind").to_numpy(), table.column("data")
+        texts = np.flatnonzero(kind == 0)
+        answers = [unpack_ids(data[int(i)].as_py()) for i in np.flatnonzero(kind == 3)]
+        _, per_piece, words = unpack_ids(data[int(np.flatnonzero(kind == 2)[0])].as_py())
+        # the words' ids in the order of their numbers, then the pieces' ids
+        order = np.argsort(np.concatenate([a[0] for a in answers]) if answers else np.zeros(0, np.int64))
+        counts, values = gathered(*(np.concatenate([a[k] for a in answers]) if answers else np.zeros(0, np.int64) for k in (1, 2)), order)
+        counts, values = gathered(counts, values, words)
+        ends = np.append(0, np.cumsum(counts))
+        piece = np.append(0, np.cumsum(per_piece))
+        counts = ends[piece[1:]] - ends[piece[:-1]]
+        decimal, binary = _spelled(path)
         out: list[list] = [[], [], [], []]
-        for i in texts:
-            numbers = np.frombuffer(zstandard.decompress(data[i]), "<u4")
-            use = numbers.tolist()
-            out[0].append(int(count[numbers].sum()))
-            out[1].append(b"".join(map(binary.__getitem__, use)) if with_ids else None)
-            out[2].append(hashlib.sha256(",".join(map(decimal.__getitem__, use)).encode()).hexdigest())
-            out[3].append(hashlib.sha256(b"".join(map(piece.__getitem__, use))).hexdigest())
+        waiting, size = [], 0
+
+        def told() -> None:
+            own, ids = gathered(counts, values, np.concatenate(waiting))
+            each = np.append(0, np.cumsum([len(w) for w in waiting]))
+            stop = np.append(0, np.cumsum(own))[each]
+            spelled, decoded = (_joined(t, ids, stop) for t in (decimal, binary))
+            for k, (a, z) in enumerate(zip(stop[:-1].tolist(), stop[1:].tolist(), strict=True)):
+                out[0].append(z - a)
+                out[1].append(ids[a:z].astype("<u4").tobytes() if with_ids else None)
+                out[2].append(hashlib.sha256(spelled[k][:-1]).hexdigest())
+                out[3].append(hashlib.sha256(decoded[k]).hexdigest())
+
+        for i in texts.tolist():
+            waiting.append(np.frombuffer(zstandard.decompress(data[i].as_py()), "<u4").astype(np.int64))
+            size += len(waiting[-1])
+            if size >= ROW_PIECES:
+                told()
+                waiting, size = [], 0
+        if waiting:
+            told()
         types = [pa.int64(), pa.binary(), pa.string(), pa.string()]
-        doc_ids = table.column("doc_id").take(pa.array(texts, pa.int64()))
-        return pa.table([doc_ids, *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=[f.split()[0] for f in schema.split(", ")])
+        return pa.table([table.column("doc_id").take(pa.array(texts)), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=[f.split()[0] for f in schema.split(", ")])
 
     return numbered.unionByName(answers).groupBy("block").applyInArrow(finish, schema)
 
 
+@lru_cache(2)
+def _spelled(path: str) -> tuple[pa.Array, pa.Array]:
+    """For each id its decimal with a comma after it, and its bytes."""
+    ranks = ranks_of(path)
+    binary: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        binary[rank] = token
+    return pa.array([f"{i},".encode() for i in range(len(binary))], pa.binary()), pa.array(binary, pa.binary())
+
+
+def _joined(table: pa.Array, ids: np.ndarray, stop: np.ndarray) -> list[memoryview]:
+    """The bytes of ids, concatenated, for each run of ids between two stops."""
+    took = table.take(pa.array(ids))
+    at = np.frombuffer(took.buffers()[1], "<i4", len(took) + 1, took.offset * 4)[stop]
+    data = memoryview(took.buffers()[2] or b"")
+    return [data[a:z] for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """``rows`` with decoded (binary), the bytes of the column ids (array of int)."""
     return rows.withColumn("decoded", Expressions(ranks_of(path)).decode(F.col("ids")))
