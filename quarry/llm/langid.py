@@ -39,7 +39,7 @@ SWITCH, SMOOTHING = 8.0, 0.5
 #: Share of a language's letters from which a script counts as its own.
 OWN_SCRIPT = 0.01
 #: Letters handled at a time, and scores (words times languages) of one Viterbi pass.
-LETTERS, CELLS = 1 << 21, 1 << 24
+LETTERS, CELLS = 1 << 20, 1 << 22
 UND = "und"
 
 #: First code points of ranges and the script of each range up to the next one; "" is none of these.
