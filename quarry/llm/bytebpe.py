@@ -50,7 +50,7 @@ LONGEST = 64
 #: Small maps that the rank map is dealt into; a power of two.
 MAPS = 1 << 16
 #: Bytes of text of a block; words of a row that Spark encodes at a time; pieces of text whose ids are unpacked at a time.
-BLOCK_BYTES, ROW_WORDS, ROW_PIECES = 32 << 20, 20_000, 500_000
+BLOCK_BYTES, ROW_WORDS, ROW_PIECES = 10 << 20, 20_000, 300_000
 
 
 @lru_cache(4)
