@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import written
+from quarry.llm.shared import trim, written
 
 LONGEST = 64
 #: Small maps that the rank map is dealt into; a power of two.
@@ -244,6 +244,8 @@ def _numbered(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
                 if groups:
                     yield _rows([block] * len(groups), 1, np.array([bucket[g[0]] for g in groups]), None, [pack_words(g, words.take(pa.array(g))) for g in groups])
                 numbers = np.split(number.astype("<u4"), np.cumsum(count)[:-1])
+                del words, coded, number
+                trim()
                 yield _rows([block] * len(numbers), 0, None, b.column("doc_id"), [zstandard.compress(x.tobytes(), 1) for x in numbers])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

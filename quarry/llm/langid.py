@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.shared import trim
+
 #: Hash buckets of letter trigrams; a power of two.
 BUCKETS = 1 << 16
 #: Log-likelihood that a change of language costs, and what a trigram's count gets added.
@@ -252,6 +254,7 @@ def identify(docs: DataFrame, model: dict, with_spans: bool = True) -> DataFrame
         frame = pd.DataFrame({"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows]}, columns=["lang_pred", "score"])
         if with_spans:
             frame["spans"] = [[{"start": a, "end": z, "lang": x} for a, z, x in r[2]] for r in rows]
+        trim()
         return frame
 
     names = ["lang_pred", "score"] + ["spans"] * with_spans

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.shared import shared_dir, written
+from quarry.llm.shared import shared_dir, trim, written
 
 #: Rows that a Python batch gathers before it goes on.
 ROWS = 50_000
@@ -60,7 +60,7 @@ def hashed_lines(docs: DataFrame, min_key_chars: int) -> DataFrame:
                 return pa.RecordBatch.from_arrays(cols, SORTED)
 
             first = 0
-            for i, text in enumerate(b.column("text").to_pylist()):
+            for i, text in enumerate(x.as_py() for x in b.column("text")):
                 had = len(places)
                 for pos, key in enumerate(line_keys(text.encode())):
                     if key and (min_key_chars <= 1 or len(key.decode()) >= min_key_chars):
@@ -72,6 +72,7 @@ def hashed_lines(docs: DataFrame, min_key_chars: int) -> DataFrame:
                     hashes, counts, places, first = [], [], [], i + 1
             if places:
                 yield out(b.num_rows, first)
+            trim()
 
     return docs.select("no_id", "doc", "text_key", "text").mapInArrow(rows, SCHEMA)
 

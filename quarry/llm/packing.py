@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import shared_dir, written
+from quarry.llm.shared import shared_dir, trim, written
 
 WINDOW = 2048
 
@@ -56,11 +56,12 @@ def encoder(path: str, pattern: str):
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    plain = Tokenizer.from_file(path)
+    del spec, ranks
+    plain = lru_cache(1)(lambda: Tokenizer.from_file(path))
 
     def encode(text: str) -> list[int]:
         if any(s in text for s in special):
-            return plain.encode(text, add_special_tokens=False).ids
+            return plain().encode(text, add_special_tokens=False).ids
         return fast(text)
 
     return encode
@@ -77,7 +78,7 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, closing_id: int = 1,
             def out() -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(which, pa.int64())), pa.array(start, pa.int64()), pa.array(ids, pa.binary()), pa.array(length, pa.int64()), pa.array(total, pa.int64())], ["doc_id", "start", "ids", "length", "doc_tokens"])  # noqa: B023
 
-            for i, text in enumerate(b.column("text").to_pylist()):
+            for i, text in enumerate(x.as_py() for x in b.column("text")):
                 own = np.array([*encode(text or ""), closing_id], "<u4")
                 for at in range(0, len(own), window):
                     piece = own[at : at + window]
@@ -92,6 +93,7 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, closing_id: int = 1,
                     which, start, ids, length, total, held = [], [], [], [], [], 0
             if which:
                 yield out()
+            trim()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, start long, ids binary, length long, doc_tokens long")

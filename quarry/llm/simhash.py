@@ -23,20 +23,22 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quarry.llm.shared import connected_components, written
+from quarry.llm.shared import connected_components, trim, written
 
 BITS, SEED = 64, 42
 #: Shingles hashed before their bits are added up.
 BLOCK = 1 << 15
+#: Texts taken from a batch at a time.
+ROWS = 500
 
 
 def fingerprint(text: str | None, words_per_shingle: int, seed: int = SEED) -> int:
@@ -58,13 +60,19 @@ def fingerprint(text: str | None, words_per_shingle: int, seed: int = SEED) -> i
 def fingerprints(docs: DataFrame, words_per_shingle: int = 5, prints: int = 1) -> DataFrame:
     """doc_id, text_key (a hash of the text) and fps, the fingerprints of ``prints`` seeds as signed longs, for each row of ``docs``."""
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def of(texts: pd.Series) -> pd.Series:
-        rows = (np.array([fingerprint(t, words_per_shingle, SEED + k) for k in range(prints)], np.uint64).view(np.int64) for t in texts)
-        return pd.Series(list(rows), dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                b = batch.slice(at, ROWS)
+                rows = [[fingerprint(t, words_per_shingle, SEED + k) for k in range(prints)] for t in b.column("text").to_pylist()]
+                flat = np.array(rows, np.uint64).view(np.int64).ravel()
+                fps = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * prints, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), fps], ["doc_id", "text_key", "fps"])
+            trim()
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), of(text).alias("fps"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
+    return keyed.mapInArrow(run, "doc_id long, text_key long, fps array<long>")
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
