@@ -12,7 +12,8 @@ Getting the ids back to the texts needs little traffic. A task numbers the
 distinct words of a block of texts and turns each text into numbers. Blocks send
 their words, packed by hash bucket, to where equal words of all blocks meet and
 are encoded; each block gets the ids of its own words back, packed, and meets
-its numbered texts again. Blocks are bounded in words and pieces, and so is what
+its numbered texts again. Words and numbers are made in two passes over the
+input, which must give the same rows both times, as a table does. Blocks are bounded in words and pieces, and so is what
 a task holds of a bucket, as buckets grow in number with the shuffle partitions.
 
 Bytes travel through SQL strings as the characters of the same numbers (Latin-1).
@@ -44,13 +45,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import trim, written
+from quarry.llm.shared import trim
 
 LONGEST = 64
 #: Small maps that the rank map is dealt into; a power of two.
 MAPS = 1 << 16
 #: Bytes of text of a block; words of a row that Spark encodes at a time; pieces of text whose ids are unpacked at a time.
-BLOCK_BYTES, ROW_WORDS, ROW_PIECES = 10 << 20, 20_000, 300_000
+BLOCK_BYTES, ROW_WORDS, ROW_PIECES = 20 << 20, 20_000, 300_000
 
 
 @lru_cache(4)
@@ -201,13 +202,23 @@ def gathered(counts: np.ndarray, values: np.ndarray, which: np.ndarray) -> tuple
     return counts[which], took.flatten().to_numpy()
 
 
-SCHEMA = "block string, kind int, bucket int, doc_id long, data binary"
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, compressed byte by byte."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
 
 
-def _rows(block: list[str], kind: int, bucket: np.ndarray | None, doc_id: pa.Array | None, data: list[bytes]) -> pa.RecordBatch:
+def loosened(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+SCHEMA = "block string, bucket int, doc_ids array<long>, sizes binary, data binary"
+
+
+def _rows(block: list[str], data: list[bytes], bucket: np.ndarray | None = None, doc_ids: list | None = None, sizes: list | None = None) -> pa.RecordBatch:
     n = len(data)
-    columns = [pa.array(block, pa.string()), pa.array(np.full(n, kind, np.int32)), pa.nulls(n, pa.int32()) if bucket is None else pa.array(bucket, pa.int32()), pa.nulls(n, pa.int64()) if doc_id is None else doc_id, pa.array(data, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["block", "kind", "bucket", "doc_id", "data"])
+    columns = [pa.array(block, pa.string()), pa.nulls(n, pa.int32()) if bucket is None else pa.array(bucket, pa.int32()), pa.array(doc_ids or [None] * n, pa.list_(pa.int64())), pa.array(sizes or [None] * n, pa.binary()), pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["block", "bucket", "doc_ids", "sizes", "data"])
 
 
 def _blocks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -221,39 +232,47 @@ def _blocks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         first = last
 
 
-def _numbered(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
-    """Rows of three kinds: 0 a text as numbers of pieces, 1 a block's words of a bucket, 2 a block's pieces as numbers of words."""
+def _numbered(docs: DataFrame, pattern: str, buckets: int, texts: bool) -> DataFrame:
+    """For each block of texts either the texts as numbers of distinct words, or the words by bucket.
+
+    The two are made by one pass each, for half the traffic of a table of both. A
+    block's name has a digest of its texts, so blocks that a repeated pass made of
+    other rows would not be taken for the same.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_in = regex.compile(pattern).findall
         pid, done = TaskContext.get().partitionId(), 0
         for batch in batches:
             for b in _blocks(batch):
-                block, done = f"{pid}-{done}", done + 1
-                count, pieces, number = pieces_of(pa.concat_arrays([b.column("text")]))
+                text = pa.concat_arrays([b.column("text")])
+                block, done = f"{pid}-{done}-{xxhash.xxh3_64_hexdigest(text.buffers()[2] or b'')}", done + 1
+                count, pieces, number = pieces_of(text)
                 made = [words_in(p) for p in pieces.to_pylist()]
                 sizes = np.fromiter(map(len, made), np.int64, len(made))
                 coded = pa.array([w for m in made for w in m], pa.string()).cast(pa.binary()).dictionary_encode()
                 del made, pieces
-                part = coded.indices.to_numpy().astype("<u4") if len(coded) else np.zeros(0, "<u4")
-                yield _rows([block], 2, None, None, [pack_ids(np.zeros(len(sizes)), sizes, part)])
-                words = coded.dictionary
-                bucket = np.fromiter(map(zlib.crc32, words.to_pylist()), np.int64, len(words)) % buckets
-                order = np.argsort(bucket, kind="stable")
-                groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
-                if groups:
-                    yield _rows([block] * len(groups), 1, np.array([bucket[g[0]] for g in groups]), None, [pack_words(g, words.take(pa.array(g))) for g in groups])
-                numbers = np.split(number.astype("<u4"), np.cumsum(count)[:-1])
-                del words, coded, number
+                if texts:
+                    part = coded.indices.to_numpy().astype(np.int64)
+                    each, numbers = gathered(sizes, part, number)
+                    ends = np.append(0, np.cumsum(each))[np.append(0, np.cumsum(count))]
+                    yield _rows([block], [squeezed(numbers)], None, [b.column("doc_id").to_pylist()], [np.diff(ends).astype("<u8").tobytes()])
+                else:
+                    words = coded.dictionary
+                    bucket = np.fromiter(map(zlib.crc32, words.to_pylist()), np.int64, len(words)) % buckets
+                    order = np.argsort(bucket, kind="stable")
+                    groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+                    if groups:
+                        yield _rows([block] * len(groups), [pack_words(g, words.take(pa.array(g))) for g in groups], np.array([bucket[g[0]] for g in groups]))
+                del coded, number
                 trim()
-                yield _rows([block] * len(numbers), 0, None, b.column("doc_id"), [zstandard.compress(x.tobytes(), 1) for x in numbers])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, SCHEMA)
 
 
 def _encoded_words(packed: DataFrame, path: str) -> DataFrame:
-    """For each block and bucket a row of kind 3 with the ids of the block's words."""
+    """For each block and bucket a row with the ids of the block's words."""
     said = Expressions(ranks_of(path))
 
     def meet(table: pa.Table) -> pa.Table:
@@ -291,7 +310,7 @@ def _encoded_words(packed: DataFrame, path: str) -> DataFrame:
                 place = np.frombuffer(places, "<u4").reshape(-1, 3)
                 place = place[np.argsort(place[:, 0], kind="stable")]
                 parts = np.split(place, np.flatnonzero(np.diff(place[:, 0])) + 1)
-                yield _rows([names[p[0, 0]] for p in parts], 3, None, None, [pack_ids(p[:, 1], *gathered(counts, values, p[:, 2].astype(np.int64))) for p in parts])
+                yield _rows([names[p[0, 0]] for p in parts], [pack_ids(p[:, 1], *gathered(counts, values, p[:, 2].astype(np.int64))) for p in parts])
 
     return met.select("blocks", "places", "long", ids.alias("ids")).mapInArrow(give_back, SCHEMA)
 
@@ -301,49 +320,44 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> D
     ids_sha256, decoded_sha256 for each row of ``docs`` (doc_id, text); the digests are those of the
     decimal ids joined by commas and of the bytes that the ids decode to."""
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    numbered = written(_numbered(docs, pattern, buckets), "numbered")
-    answers = _encoded_words(numbered.where("kind = 1").select("block", "bucket", "data"), path)
+    texts = _numbered(docs, pattern, buckets, True)
+    answers = _encoded_words(_numbered(docs, pattern, buckets, False).select("block", "bucket", "data"), path)
     schema = "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
 
     def finish(table: pa.Table) -> pa.Table:
-        kind, data = table.column("kind").to_numpy(), table.column("data")
-        texts = np.flatnonzero(kind == 0)
-        answers = [unpack_ids(data[int(i)].as_py()) for i in np.flatnonzero(kind == 3)]
-        _, per_piece, words = unpack_ids(data[int(np.flatnonzero(kind == 2)[0])].as_py())
-        # the words' ids in the order of their numbers, then the pieces' ids
-        order = np.argsort(np.concatenate([a[0] for a in answers]) if answers else np.zeros(0, np.int64))
-        counts, values = gathered(*(np.concatenate([a[k] for a in answers]) if answers else np.zeros(0, np.int64) for k in (1, 2)), order)
-        counts, values = gathered(counts, values, words)
-        ends = np.append(0, np.cumsum(counts))
-        piece = np.append(0, np.cumsum(per_piece))
-        counts = ends[piece[1:]] - ends[piece[:-1]]
+        data, sizes = table.column("data"), table.column("sizes")
+        own = [i for i in range(table.num_rows) if sizes[i].is_valid]
+        if len(own) != 1:
+            raise ValueError("a block's texts and words come from different rows: the input changes between passes; write it as a table first")
+        size = np.frombuffer(sizes[own[0]].as_py(), "<u8").astype(np.int64)
+        numbers = loosened(data[own[0]].as_py())
+        answers = [unpack_ids(data[i].as_py()) for i in range(table.num_rows) if i != own[0]]
+        order = np.argsort(np.concatenate([a[0] for a in answers])) if answers else np.zeros(0, np.int64)
+        counts, values = gathered(*(np.concatenate([a[k] for a in answers]) for k in (1, 2)), order) if answers else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        del answers
+        if len(numbers) and numbers.max() >= len(counts):
+            raise ValueError("a block's words are missing: the input changes between passes; write it as a table first")
         decimal, binary = _spelled(path)
         out: list[list] = [[], [], [], []]
-        waiting, size = [], 0
-
-        def told() -> None:
-            own, ids = gathered(counts, values, np.concatenate(waiting))
-            each = np.append(0, np.cumsum([len(w) for w in waiting]))
-            stop = np.append(0, np.cumsum(own))[each]
+        stops = np.append(0, np.cumsum(size))
+        first = 0
+        while first < len(size):
+            last = max(first + 1, int(np.searchsorted(stops, stops[first] + ROW_PIECES, side="right")) - 1)
+            own_counts, ids = gathered(counts, values, numbers[stops[first] : stops[last]])
+            stop = np.append(0, np.cumsum(own_counts))[stops[first : last + 1] - stops[first]]
             spelled, decoded = (_joined(t, ids, stop) for t in (decimal, binary))
             for k, (a, z) in enumerate(zip(stop[:-1].tolist(), stop[1:].tolist(), strict=True)):
                 out[0].append(z - a)
                 out[1].append(ids[a:z].astype("<u4").tobytes() if with_ids else None)
                 out[2].append(hashlib.sha256(spelled[k][:-1]).hexdigest())
                 out[3].append(hashlib.sha256(decoded[k]).hexdigest())
-
-        for i in texts.tolist():
-            waiting.append(np.frombuffer(zstandard.decompress(data[i].as_py()), "<u4").astype(np.int64))
-            size += len(waiting[-1])
-            if size >= ROW_PIECES:
-                told()
-                waiting, size = [], 0
-        if waiting:
-            told()
+            first = last
+        trim()
         types = [pa.int64(), pa.binary(), pa.string(), pa.string()]
-        return pa.table([table.column("doc_id").take(pa.array(texts)), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=[f.split()[0] for f in schema.split(", ")])
+        doc_ids = table.column("doc_ids").combine_chunks().slice(own[0], 1).flatten()
+        return pa.table([doc_ids, *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=[f.split()[0] for f in schema.split(", ")])
 
-    return numbered.unionByName(answers).groupBy("block").applyInArrow(finish, schema)
+    return texts.unionByName(answers).groupBy("block").applyInArrow(finish, schema)
 
 
 @lru_cache(2)
