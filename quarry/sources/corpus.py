@@ -131,8 +131,10 @@ def links(pages_: DataFrame, seed: int = 7) -> DataFrame:
     made = to.join(targets, ["to_topic", "to_place"]).select(F.col("id").alias("src"), "dst", F.xxhash64("how", "i").alias("key"))
     hubs = base.where(f"kind = 'hub' AND place < {HUBS}").select(F.col("id").alias("src"), "topic", F.col("place").alias("hub"))
     chosen = F.pmod(_draw(seed, "fix", F.col("id")), F.least(F.lit(HUBS), F.col("size"))).cast("int")
-    content = base.where("kind <> 'admin'").join(F.broadcast(sizes), "topic").select(F.col("id").alias("dst"), "topic", chosen.alias("hub"))
-    linked = made.join(hubs.select("src"), "src", "left_semi").join(base.select(F.col("id").alias("src"), F.col("topic").alias("st")), "src").join(base.select(F.col("id").alias("dst"), F.col("topic").alias("dt")), "dst").where("st = dt").select("dst").distinct()
+    # a hub is linked from the other one
+    other = F.when(F.col("place") == chosen, F.pmod(chosen + 1, F.least(F.lit(HUBS), F.col("size")).cast("int"))).otherwise(chosen)
+    content = base.where("kind <> 'admin'").join(F.broadcast(sizes), "topic").select(F.col("id").alias("dst"), "topic", other.alias("hub"))
+    linked = made.join(hubs.select("src"), "src", "left_semi").join(base.select(F.col("id").alias("src"), F.col("topic").alias("st")), "src").join(base.select(F.col("id").alias("dst"), F.col("topic").alias("dt")), "dst").where("st = dt AND src <> dst").select("dst").distinct()
     repaired = content.join(linked, "dst", "left_anti").join(hubs, ["topic", "hub"]).select("src", "dst", F.lit((1 << 62)).alias("key"))
     every = made.union(repaired).where("src <> dst").groupBy("src", "dst").agg(F.min("key").alias("key"))
     return every.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("key", "dst"))).select("src", "dst", "place")
