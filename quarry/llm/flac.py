@@ -223,6 +223,13 @@ class _Bits:
 
 def decode_frames(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The samples, frame numbers and end offsets of the frames that start at the given bytes."""
+    try:
+        return _decode_frames(data, start)
+    except IndexError:
+        raise ValueError("a frame's codes run beyond the stream; its CRC-16 can't fit") from None
+
+
+def _decode_frames(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bits, n = _Bits(data), len(start)
     if (bits.word[start] != 0xFFF82402).any():
         raise ValueError("a frame header is missing or of another kind")

@@ -259,7 +259,7 @@ def identify(docs: DataFrame, model: dict, with_spans: bool = True) -> DataFrame
 
     names = ["lang_pred", "score"] + ["spans"] * with_spans
     own = docs.drop(*names)
-    return own.withColumn("found", label(F.col("text").cast("string"))).select(*own.columns, *(F.col(f"found.{n}").alias(n) for n in names))
+    return own.withColumn("__found", label(F.col("text").cast("string"))).select(*own.columns, *(F.col(f"__found.{n}").alias(n) for n in names))
 
 
 def remainder(mod: int):

@@ -12,7 +12,9 @@ one of its t - a + 1 rarest is, and so:
 * positional filter: a shared word at places i and j of the two ordered lists
   leaves an overlap of at most min(i, j) + 1 + what follows the nearer end.
 
-Candidates are verified by the intersection itself. All templates together have
+Candidates are verified by the intersection itself. Of two templates of which one
+has all words of the other, a block has the wider if it holds all words that
+tell them apart, else the narrower. All templates together have
 a fixed number of words, so the broadcast side of each join is bounded.
 
 Beside it, the base labels: places where a phrase's words stand consecutively.
@@ -53,7 +55,7 @@ TEMPLATES = [
     ("gpl-3.0", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("gpl-3.0", "licensed under the GNU General Public License, version 3"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("lgpl", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("lgpl", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("mit", "Released under the MIT License"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
@@ -141,7 +143,12 @@ def found_templates(docs: DataFrame, order: DataFrame, prefixes: DataFrame) -> D
         .withColumn("overlap", F.size(F.array_intersect("b", "t")))
         .where("overlap >= need")
     )
-    return candidates.groupBy("key", "label").agg(F.max(F.col("overlap") / F.size("t")).alias("share"))
+    found = candidates.select("key", "block", "b", F.struct("label", "t", (F.col("overlap") / F.size("t")).alias("share")).alias("f")).distinct()
+    together = found.groupBy("key", "block", "b").agg(F.collect_list("f").alias("f"))
+    wider = "size(y.t) > size(x.t) AND size(array_except(x.t, y.t)) = 0 AND size(array_except(array_except(y.t, x.t), b)) = 0"
+    narrower = "size(y.t) < size(x.t) AND size(array_except(y.t, x.t)) = 0 AND size(array_except(array_except(x.t, y.t), b)) > 0"
+    apart = together.select("key", F.explode(F.expr(f"filter(f, x -> NOT exists(f, y -> ({wider}) OR ({narrower})))")).alias("f"))
+    return apart.groupBy("key", "f.label").agg(F.max("f.share").alias("share"))
 
 
 def base_places(docs: DataFrame) -> DataFrame:
@@ -221,10 +228,15 @@ base AS (
 blocks AS (
   SELECT doc_id, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n[ \t\r\f\x0B]*\n\s*'))) AS block FROM d
 ), sets AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(translate(block, '{UPPER}', '{LOWER}'), '{WORD}')) AS words FROM blocks
-), found AS (
-  SELECT s.doc_id, t.label, len(list_intersect(s.words, t.words)) / len(t.words) AS share
+  SELECT row_number() OVER () AS n, doc_id, list_distinct(regexp_extract_all(translate(block, '{UPPER}', '{LOWER}'), '{WORD}')) AS words FROM blocks
+), held AS (
+  SELECT s.n, s.doc_id, s.words AS b, t.label, t.words AS t, len(list_intersect(s.words, t.words)) / len(t.words) AS share
   FROM sets s, t WHERE len(list_intersect(s.words, t.words)) >= t.need
+), found AS (
+  SELECT * FROM held x WHERE NOT EXISTS (
+    SELECT 1 FROM held y WHERE y.n = x.n AND (
+      (len(y.t) > len(x.t) AND list_has_all(y.t, x.t) AND list_has_all(x.b, list_filter(y.t, lambda w: NOT list_contains(x.t, w))))
+      OR (len(y.t) < len(x.t) AND list_has_all(x.t, y.t) AND NOT list_has_all(x.b, list_filter(x.t, lambda w: NOT list_contains(y.t, w))))))
 ), more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM found GROUP BY doc_id)
 SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n_base,
        b.first_word::BIGINT AS first_word, b.last_word::BIGINT AS last_word,

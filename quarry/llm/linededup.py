@@ -201,25 +201,29 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_key_chars: int = 1, ke
     """
     own = docs.drop("n_lines", "n_dropped", "keep")
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = own.withColumns({"no_id": F.col("doc_id").isNull(), "doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "text_key": F.xxhash64(body)})
-    gone = dropped_lines(keyed.select("no_id", "doc", "text_key", body.alias("text")), min_docs, min_key_chars, keep_first)
-    places = gone.groupBy("no_id", "doc", "text_key").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    key = {"__no_id": F.col("doc_id").isNull(), "__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__text_key": F.xxhash64(body)}
+    rows = own.select(*(c.alias(n.strip("_")) for n, c in key.items()), body.alias("text"))
+    gone = dropped_lines(rows, min_docs, min_key_chars, keep_first)
+    places = gone.groupBy(*(F.col(n.strip("_")).alias(n) for n in key)).agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
     n_lines = F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1
     return (
-        keyed.join(places, ["no_id", "doc", "text_key"], "left")
-        .withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")})
-        .withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)))
-        .withColumn("keep", _bitmaps("n_lines", "gone"))
+        own.withColumns(key)
+        .join(places, list(key), "left")
+        .withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.greatest(F.coalesce(F.size("__gone"), F.lit(0)), F.lit(0)).cast("long")})
+        .withColumn("keep", _bitmaps("n_lines", "__gone"))
         .select(*own.columns, "n_lines", "n_dropped", "keep")
     )
 
 
 def without_dropped_lines(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with the dropped lines gone from text; untouched texts stay as they are."""
+    """``docs`` with the dropped lines gone from text; untouched texts stay as they are.
+
+    Columns named n_lines, n_dropped or keep are not carried on.
+    """
     marked = line_bitmaps(docs, **how)
     some = F.col("n_dropped") > 0
     text = F.when(some, _kept(F.when(some, F.col("text")), F.col("keep"))).otherwise(F.col("text"))
-    return marked.withColumn("text", text).select(*docs.columns)
+    return marked.withColumn("text", text).select(*(c for c in docs.columns if c not in ("n_lines", "n_dropped", "keep")))
 
 
 def op10_linededup(spark, sf_dir: str) -> DataFrame:

@@ -93,7 +93,7 @@ def near_pairs(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
         return f"(shiftrightunsigned({word}, {first}) & {(1 << width) - 1}L)"
 
     def key(i: int, second: str) -> str:
-        return f"struct({i} AS chain, {cut('fp', i)} * {1 << 32}L + {second} AS part)"
+        return f"struct({i} AS chain, shiftleft({cut('fp', i)}, 32) | {second} AS part)"
 
     filed = [key(i, cut("fp", i + 1)) for i in range(m)]
     raised = [
