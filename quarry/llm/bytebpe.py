@@ -51,7 +51,7 @@ LONGEST = 64
 #: Small maps that the rank map is dealt into; a power of two.
 MAPS = 1 << 16
 #: Bytes of text of a block; words of a row that Spark encodes at a time; pieces of text whose ids are unpacked at a time.
-BLOCK_BYTES, ROW_WORDS, ROW_PIECES = 20 << 20, 20_000, 300_000
+BLOCK_BYTES, ROW_WORDS, ROW_PIECES = 12 << 20, 20_000, 300_000
 
 
 @lru_cache(4)
@@ -66,51 +66,62 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 class Expressions:
-    """Column expressions over Latin-1 strings for one vocabulary."""
+    """Column expressions over Latin-1 strings for one vocabulary.
+
+    The literals are bound to a lambda variable once, outside the words' loop, so
+    that a plan holds one copy of them.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+
+    def encoded(self, words: Column) -> Column:
+        """The ids of each word of an array; null for a null word."""
         maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
-        pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
+        for token, rank in self.ranks.items():
             word = token.decode("latin-1")
             maps[xxhash.xxh64_intdigest(word.encode(), 42) % MAPS][word] = rank
-            pieces[rank] = word
-        # constant folding turns these into literals
-        self.maps = F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
-        self.pieces = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
+        # constant folding turns this into a literal
+        literal = F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
+        return _let(literal, lambda m: F.transform(words, lambda w: F.when(w.isNotNull(), _encode(w, m))))
 
-    def rank(self, word: Column) -> Column:
-        slot = F.xxhash64(word).bitwiseAND(F.lit(MAPS - 1)).cast("int")
-        return F.try_element_at(F.get(self.maps, slot), word)
+    def decoded(self, ids: Column) -> Column:
+        """The bytes of ids, concatenated."""
+        pieces: list[str | None] = [None] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            pieces[rank] = token.decode("latin-1")
+        literal = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
+        return _let(literal, lambda m: F.encode(F.array_join(F.transform(ids, lambda i: F.get(m, i)), ""), "ISO-8859-1"))
 
-    def encode(self, word: Column) -> Column:
-        """The ids of a word of at least one byte."""
 
-        def step(state: Column, _: Column) -> Column:
-            begin, rank = state.begin, state.rank
+def _encode(word: Column, maps: Column) -> Column:
+    """The ids of a word of at least one byte."""
 
-            def token(first: Column, last: Column) -> Column:
-                return F.substring(word, F.get(begin, first), F.get(begin, last) - F.get(begin, first))
+    def rank(token: Column) -> Column:
+        slot = F.xxhash64(token).bitwiseAND(F.lit(MAPS - 1)).cast("int")
+        return F.try_element_at(F.get(maps, slot), token)
 
-            def merged(p: Column) -> Column:  # p counts from 1
-                ranks = F.transform(rank, lambda r, i: F.when(i == p - 2, self.rank(token(p - 2, p + 1))).when(i == p, self.rank(token(p - 1, p + 2))).otherwise(r))
-                return F.struct(F.filter(begin, lambda _, i: i != p).alias("begin"), F.filter(ranks, lambda _, i: i != p - 1).alias("rank"))
+    def step(state: Column, _: Column) -> Column:
+        begin, ranks = state.begin, state.rank
 
-            return _let(F.array_position(rank, F.array_min(rank)).cast("int"), lambda p: F.when(p > 0, merged(p)).otherwise(state))
+        def token(first: Column, last: Column) -> Column:
+            return F.substring(word, F.get(begin, first), F.get(begin, last) - F.get(begin, first))
 
-        pairs = F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda i: self.rank(F.substring(word, i, F.lit(2))))
-        start = F.struct(F.sequence(F.lit(1), F.length(word) + 1).alias("begin"), pairs.alias("rank"))
-        ids = F.aggregate(
-            F.sequence(F.lit(2), F.length(word)),
-            start,
-            step,
-            lambda s: F.transform(F.sequence(F.lit(0), F.size(s.begin) - 2), lambda i: self.rank(F.substring(word, F.get(s.begin, i), F.get(s.begin, i + 1) - F.get(s.begin, i)))),
-        )
-        return _let(self.rank(word), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(ids))
+        def merged(p: Column) -> Column:  # p counts from 1
+            fresh = F.transform(ranks, lambda r, i: F.when(i == p - 2, rank(token(p - 2, p + 1))).when(i == p, rank(token(p - 1, p + 2))).otherwise(r))
+            return F.struct(F.filter(begin, lambda _, i: i != p).alias("begin"), F.filter(fresh, lambda _, i: i != p - 1).alias("rank"))
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of ids, concatenated."""
-        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""), "ISO-8859-1")
+        return _let(F.array_position(ranks, F.array_min(ranks)).cast("int"), lambda p: F.when(p > 0, merged(p)).otherwise(state))
+
+    pairs = F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda i: rank(F.substring(word, i, F.lit(2))))
+    start = F.struct(F.sequence(F.lit(1), F.length(word) + 1).alias("begin"), pairs.alias("rank"))
+    ids = F.aggregate(
+        F.sequence(F.lit(2), F.length(word)),
+        start,
+        step,
+        lambda s: F.transform(F.sequence(F.lit(0), F.size(s.begin) - 2), lambda i: rank(F.substring(word, F.get(s.begin, i), F.get(s.begin, i + 1) - F.get(s.begin, i)))),
+    )
+    return _let(rank(word), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(ids))
 
 
 def merge_with_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -298,7 +309,7 @@ def _encoded_words(packed: DataFrame, path: str) -> DataFrame:
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["words", "long", "blocks", "places"])
 
     met = packed.groupBy("bucket").applyInArrow(meet, "words array<string>, long array<array<int>>, blocks array<string>, places binary")
-    ids = F.transform("words", lambda w: F.when(w.isNotNull(), said.encode(w)))
+    ids = said.encoded(F.col("words"))
 
     def give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -310,6 +321,7 @@ def _encoded_words(packed: DataFrame, path: str) -> DataFrame:
                 place = np.frombuffer(places, "<u4").reshape(-1, 3)
                 place = place[np.argsort(place[:, 0], kind="stable")]
                 parts = np.split(place, np.flatnonzero(np.diff(place[:, 0])) + 1)
+                del found, long
                 yield _rows([names[p[0, 0]] for p in parts], [pack_ids(p[:, 1], *gathered(counts, values, p[:, 2].astype(np.int64))) for p in parts])
 
     return met.select("blocks", "places", "long", ids.alias("ids")).mapInArrow(give_back, SCHEMA)
@@ -380,7 +392,7 @@ def _joined(table: pa.Array, ids: np.ndarray, stop: np.ndarray) -> list[memoryvi
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """``rows`` with decoded (binary), the bytes of the column ids (array of int)."""
-    return rows.withColumn("decoded", Expressions(ranks_of(path)).decode(F.col("ids")))
+    return rows.withColumn("decoded", Expressions(ranks_of(path)).decoded(F.col("ids")))
 
 
 def op5_bytebpe(spark, sf_dir: str) -> DataFrame:
