@@ -87,6 +87,8 @@ def near_pairs(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
         raise ValueError("max_bits must be from 1 to 7")
     seg = segments(max_bits)
     m = len(seg)
+    # a few bytes a node, but dozens of keys each: as many tasks as the keys will need
+    nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
 
     def cut(word: str, i: int) -> str:
         first, width = seg[i % m]
