@@ -44,12 +44,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def forget_on_exit(spark: SparkSession, path: str) -> None:
+    """Has the store delete a path in the shared folder when the driver ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there,
     so a lost executor costs a re-read and never a recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    forget_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

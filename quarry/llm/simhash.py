@@ -41,30 +41,40 @@ BLOCK = 1 << 15
 ROWS = 500
 
 
-def fingerprint(text: str | None, words_per_shingle: int, seed: int = SEED) -> int:
-    """The 64-bit fingerprint of a seed, unsigned."""
+def fingerprint(text: str | None, words_per_shingle: int, prints: int = 1) -> list[int]:
+    """The 64-bit fingerprints, unsigned: the first of the shingles' hashes, each further one of those hashes mixed anew."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return [0] * prints
     shingles = max(1, len(words) - words_per_shingle + 1)
-    counts = np.zeros(BITS, np.int64)
+    counts = np.zeros((prints, BITS), np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, shingles, BLOCK):
         part = words[at : at + BLOCK + words_per_shingle - 1]
         runs = [part] if len(part) < words_per_shingle else zip(*(part[i:] for i in range(words_per_shingle)), strict=False)
-        hashes = np.fromiter((digest(b" ".join(x), seed) for x in runs), np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > shingles, bitorder="little").view("<u8")[0])
+        hashes = np.fromiter((digest(b" ".join(x), SEED) for x in runs), np.uint64)
+        for k in range(prints):
+            bits = np.unpackbits((_mixed(hashes, k) if k else hashes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[k] += bits.sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > shingles, axis=1, bitorder="little").view("<u8").ravel().tolist()
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Another hash of the same shingles: a fixed bijection of 64 bits for each k."""
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = 5, prints: int = 1) -> DataFrame:
-    """doc_id, text_key (a hash of the text) and fps, the fingerprints of ``prints`` seeds as signed longs, for each row of ``docs``."""
+    """doc_id, text_key (a hash of the text) and fps, the ``prints`` fingerprints as signed longs, for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 b = batch.slice(at, ROWS)
-                rows = [[fingerprint(t, words_per_shingle, SEED + k) for k in range(prints)] for t in b.column("text").to_pylist()]
+                rows = [fingerprint(t, words_per_shingle, prints) for t in b.column("text").to_pylist()]
                 flat = np.array(rows, np.uint64).view(np.int64).ravel()
                 fps = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * prints, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), fps], ["doc_id", "text_key", "fps"])
@@ -130,7 +140,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, max_bits: int =
 
     component_id is the smallest doc_id that links reach, the document's own
     included; a link is a difference of at most ``max_bits`` bits in any of the
-    ``prints`` fingerprints, which differ in their seed. first tells the row of
+    ``prints`` fingerprints. first tells the row of
     the component that has the smallest (doc_id, text_key).
     """
     prints_of = written(fingerprints(docs, words_per_shingle, prints), "fingerprints")
@@ -156,7 +166,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, max_bits: int =
     return prints_of.join(classes, "fps").select("doc_id", "text_key", "fps", "component_id", (own == F.col("chosen")).alias("first"))
 
 
-def one_of_each(docs: DataFrame, words_per_shingle: int = 5, max_bits: int = 4, prints: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, words_per_shingle: int = 5, max_bits: int = 4, prints: int = 8) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (and of equal rows one)."""
     found = near_duplicates(docs, words_per_shingle, max_bits, prints)
     same = {"no_id__": F.col("doc_id").isNull(), "doc__": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "text_key__": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.shared import new_path
+from quarry.llm.shared import forget_on_exit, new_path
 
 MAGIC = b"\x1f\x8b\x08"
 URN = "urn:page:"
@@ -216,6 +216,7 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = 8 << 20, wi
 def op9_warc(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
+    forget_on_exit(spark, path)
     found = read_archives(spark, path, with_block=False)
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<{URN}(-?[0-9]+)>$', 1) AS BIGINT)")
     own = F.col("warc_type") == "response"

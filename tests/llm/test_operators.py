@@ -74,7 +74,8 @@ def test_simhash(docs, none, clashing):
         got = Counter((r.doc_id, r.fps[0] % (1 << 64), r.component_id) for r in simhash.near_duplicates(df, 4, 4).collect())
         assert got == want
     assert simhash.near_duplicates(none).count() == 0
-    assert simhash.fingerprint(None, 4) == 0 == simhash.fingerprint(" \n", 4)
+    assert simhash.fingerprint(None, 4) == [0] and simhash.fingerprint(" \n", 4, 3) == [0, 0, 0]
+    assert all(simhash.fingerprint(r[1], 4, 3)[0] == f for r, f in zip(ROWS, fps, strict=True))
 
 
 def test_near_pairs_are_complete(spark):
