@@ -48,21 +48,20 @@ def crawl(manifest: DataFrame, seeds: list[str] | None = None, max_pages: int |
         figures["rounds"] += 1
         turn = cut(queue.withColumn("turn", F.row_number().over(Window.partitionBy("topic").orderBy("pos"))))
         taken = turn.where(F.col("turn") <= per_topic)
-        # fetch order within the round; a limit cuts it where enough present pages have been fetched
+        # fetch order within the round, which the budget bounds; a limit cuts it where enough present pages have been fetched
         at = Window.orderBy("topic", "turn")
-        order = taken.withColumn("place", F.row_number().over(at))
+        order = taken.withColumns({"place": F.row_number().over(at), "nth": F.sum(F.col("present").cast("int")).over(at.rowsBetween(Window.unboundedPreceding, 0))})
         if left is not None:
-            before = F.sum(F.col("present").cast("int")).over(at.rowsBetween(Window.unboundedPreceding, -1))
-            order = order.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < left)
+            order = order.where(F.col("nth") - F.col("present").cast("int") < left)
         order = cut(order)
         row = order.agg(F.count_if("present").alias("n"), F.count_if(~F.col("present")).alias("missing")).first()
         most = taken.groupBy("topic").count().agg(F.max("count")).first()[0]
         found = links.join(order.where("present").select("id", F.col("place").alias("page"), "depth"), "id")
         figures["skipped_robots"] += found.where("NOT allowed").count()
-        figures["fetched"] += row.n
         figures["skipped_missing"] += row.missing
         figures["per_round_max"] = max(figures["per_round_max"], most or 0)
-        fetched.append(order.where("present").select("id", F.lit(figures["rounds"]).alias("round"), "place", "depth"))
+        fetched.append(order.where("present").select("id", (F.lit(figures["fetched"]) + F.col("nth") - 1).cast("long").alias("fetch_ord"), F.lit(figures["rounds"]).alias("round"), "depth"))
+        figures["fetched"] += row.n
         fresh = found.where("allowed").groupBy("target").agg(F.min(F.struct("page", "place")).alias("first"), F.min_by("depth", F.struct("page", "place")).alias("depth"))
         fresh = cut(fresh.withColumnRenamed("target", "id").join(seen, "id", "left_anti"))
         seen = cut(seen.union(fresh.select("id")))
@@ -78,8 +77,7 @@ def crawl(manifest: DataFrame, seeds: list[str] | None = None, max_pages: int |
     for more in fetched[1:]:
         rows = rows.union(more)
     kept = links.where("allowed").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "target"))), lambda x: x.target).alias("outlinks"))
-    numbered = rows.withColumn("fetch_ord", F.row_number().over(Window.orderBy("round", "place")).cast("long"))
-    return numbered.join(kept, "id", "left").select("id", "fetch_ord", "round", "depth", F.coalesce("outlinks", F.array().cast("array<string>")).alias("outlinks")), figures
+    return rows.join(kept, "id", "left").select("id", "fetch_ord", "round", "depth", F.coalesce("outlinks", F.array().cast("array<string>")).alias("outlinks")), figures
 
 
 def bfs_depths(edges: DataFrame, roots: DataFrame, max_depth: int = 1_000) -> DataFrame:
