@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+ROOT = Path(__file__).resolve().parents[1]
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -20,3 +27,13 @@ def session(name: str = "quarry", master: str | None = None, **settings: str) ->
     for key, value in {**SETTINGS, **{k.replace("__", "."): v for k, v in settings.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, unless they find it by PYTHONPATH or the working folder."""
+    context = spark.sparkContext
+    if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == ROOT or getattr(context, "_quarry_shipped", False):
+        return
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='quarry-')}/quarry", "zip", ROOT, "quarry")
+    context.addPyFile(archive)
+    context._quarry_shipped = True
