@@ -127,7 +127,7 @@ def found_templates(docs: DataFrame, order: DataFrame, prefixes: DataFrame) -> D
     least = min(need for *_, need in template_words())
     cut = F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", "\n[ \\t\\r\\f\\x0B]*\n[\\s]*")))
     blocks = (
-        docs.select("key", F.explode(cut).alias("block"))
+        docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("key", F.explode(cut).alias("block"))
         .select("key", "block", F.array_intersect(words_of(F.col("block")), vocabulary).alias("words"))
         .where(F.size("words") >= least)
         .select("key", F.xxhash64("block", F.length("block")).alias("block"), F.explode("words").alias("word"))
@@ -180,7 +180,9 @@ def scan(docs: DataFrame) -> DataFrame:
     phrase = F.expr(" OR ".join("(" + " AND ".join(f"array_contains(seen, '{w}')" for w in p.split()) + ")" for p, _ in PHRASES))
     wanted = seen.where(phrase | F.arrays_overlap("seen", F.array(*map(F.lit, rare)))).select("key").distinct()
     same = F.expr("a.key.text_key = b.key.text_key AND a.key.doc_id <=> b.key.doc_id")
-    near = written(keyed.alias("a").join(wanted.alias("b"), same, "left_semi").distinct().withColumn("words", words_of(F.col("text"))), "candidates")
+    # few bytes, much work for each: as many tasks as for all texts
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = written(keyed.alias("a").join(wanted.alias("b"), same, "left_semi").distinct().repartition(tasks).withColumn("words", words_of(F.col("text"))), "candidates")
     labels = found_templates(near, order, prefixes).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     more = base_places(near).alias("a").join(labels.alias("b"), same, "full_outer").select(F.coalesce("a.key", "b.key").alias("key"), "hits", "more", "share")
     own = F.coalesce("hits", F.expr("array()").cast("array<struct<at: int, label: string>>"))
