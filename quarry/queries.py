@@ -294,9 +294,12 @@ def link_degrees(spark, d):
     return analytics.link_degrees(_trade(spark, d))
 
 
-def page_rank(spark, d):
-    nodes = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"))
-    return pagerank.compute(nodes, _trade(spark, d), tol=0.0, max_iter=PAGERANK_ROUNDS).select("doc_id", six("pagerank").alias("pagerank"))
+def _page_rank(**how):
+    def run(spark, d):
+        nodes = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"))
+        return pagerank.compute(nodes, _trade(spark, d), tol=0.0, max_iter=PAGERANK_ROUNDS, **how).select("doc_id", six("pagerank").alias("pagerank"))
+
+    return run
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -311,7 +314,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "precision_at_k": relevance, "mrr": mrr, "html_title": html_title, "html_text": html_text, "html_hrefs": html_hrefs,
     "html_outlinks": html_outlinks, "robots_filter": robots_filter, "topic_of": topic_of, "page_names": page_names,
     "bfs_depth": bfs_depth, "default_seeds": default_seeds, "crawl_budget": crawl_budget, "web_search": web_search,
-    "link_degrees": link_degrees, "pagerank": page_rank,
+    "link_degrees": link_degrees, "pagerank": _page_rank(), "pagerank_by_joins": _page_rank(in_memory=0),
 }
 
 
@@ -537,3 +540,4 @@ walk(step, node, rank) AS (
         True,
     ),
 }
+ORACLE_SQL["pagerank_by_joins"] = ORACLE_SQL["pagerank"]

@@ -114,9 +114,10 @@ def oracle_ranks(n, links, d=0.85):
 @pytest.mark.parametrize(("n", "links"), [(3, [(0, 1), (1, 2), (2, 0)]), (3, [(0, 1), (0, 2), (1, 2)]), (1, []), (5, [(0, 1), (0, 1), (0, 2), (2, 2), (3, 0), (4, 77)])])
 def test_pagerank(spark, n, links):
     nodes = spark.createDataFrame([(i,) for i in range(n)], "doc_id long")
-    got = {r.doc_id: r.pagerank for r in pagerank.compute(nodes, spark.createDataFrame(links, "src long, dst long")).collect()}
     want = oracle_ranks(n, [x for x in links if max(x) < n])
-    assert math.isclose(sum(got.values()), 1) and all(abs(got[i] - want[i]) < 1e-5 for i in range(n))
+    for size in (0, pagerank.IN_MEMORY):
+        got = {r.doc_id: r.pagerank for r in pagerank.compute(nodes, spark.createDataFrame(links, "src long, dst long"), in_memory=size).collect()}
+        assert math.isclose(sum(got.values()), 1) and all(abs(got[i] - want[i]) < 1e-5 for i in range(n))
 
 
 def test_pagerank_of_nothing(spark):
