@@ -31,9 +31,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, eight fingerprints of 64 bits,
+    """One document of each group of near copies: shingles of five words, six fingerprints of 64 bits,
     a link where one of them differs in at most 4 bits (a similarity of 0.94)."""
-    return simhash.one_of_each(docs, words_per_shingle=5, max_bits=4, prints=8)
+    return simhash.one_of_each(docs, words_per_shingle=5, max_bits=4, prints=6)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

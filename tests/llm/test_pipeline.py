@@ -46,7 +46,7 @@ def test_stages(spark, folder):
     want = Counter((d, t) for d, _, _, t in brute_lines(kept, 10))
     assert Counter((r.doc_id, r.text) for r in after[1].collect()) == want and all(r.n_chars == len(r.text) for r in after[1].collect())
     texts = sorted(want)
-    prints = [simhash.fingerprint(t, 5, 8) for _, t in texts]
+    prints = [simhash.fingerprint(t, 5, 6) for _, t in texts]
     part = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
