@@ -1,4 +1,4 @@
-"""A pipeline over ``documents``: language ID, line dedup, SimHash near-dedup, packing.
+"""A pipeline over ``documents``: language ID, line dedup, near-dedup, packing.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and read again as the next
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import langid, linededup, packing, simhash
+from quarry.llm import langid, linededup, nearcopies, packing
 from quarry.llm.shared import written
 
 #: Share of a document's letters that its main language needs.
@@ -31,9 +31,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, six fingerprints of 64 bits,
-    a link where one of them differs in at most 4 bits (a similarity of 0.94)."""
-    return simhash.one_of_each(docs, words_per_shingle=5, max_bits=4, prints=6)
+    """One document of each group of near copies: a link is an exact Jaccard similarity of at least 0.8
+    of the sets of five-word shingles; pairs come from MinHash bands, which find 0.998 of those at 0.8."""
+    return nearcopies.one_of_each(docs, words_per_shingle=5, least=0.8)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed_documents(docs)
 
 
-STAGES = [("language ID", language), ("line dedup", lines), ("SimHash near-dedup", near_copies), ("packing", packed)]
+STAGES = [("language ID", language), ("line dedup", lines), ("near-dedup", near_copies), ("packing", packed)]
 
 #: SQL has neither the language model nor the tokenizer; tests compare with a brute-force version.
 ORACLE_SQL = None

@@ -63,6 +63,25 @@ def test_stages(spark, folder):
     assert sorted((r.doc_id, r.start, r.length) for r in corpus_pipeline.run(spark, path).collect()) == sorted((r.doc_id, r.start, r.length) for r in placed)
 
 
+def test_near_copies_at_the_threshold(spark):
+    """Pairs from 0.8 to 0.9 are linked, pairs under 0.8 are not; a chain of links is one component."""
+    rows, want = [], set()
+    for i in range(60):
+        text = words(1000 + i, 200)
+        other = list(text)
+        for k in range(4 if i < 40 else 7):  # five shingles each: Jaccard 0.815, 0.697
+            other[20 + 25 * k] = "changed"
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
+        want |= {2 * i} if i < 40 else {2 * i, 2 * i + 1}
+    chain = words(5000, 200)
+    for k in range(30):  # each next one is near the one before, the ends share nothing like 0.8
+        chain = [*chain[:6 * k], *(f"x{k}y{j}" for j in range(6)), *chain[6 * k + 6 :]]
+        rows.append((500 + k, " ".join(chain)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.near_copies(spark, df, "").collect()}
+    assert got == want | {500}
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert {"pipeline", *(f"op{n}" for n in range(1, 11))} <= {n.split("_")[0] for n in names}
