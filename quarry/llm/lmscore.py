@@ -1,21 +1,21 @@
-"""Language-model scores from a weighted backoff automaton.
+"""Language-model scores by backoff over all repeated n-grams.
 
 Tokens are words (A-Z lower-cased, split at ASCII white space), then one end.
 The lowest order is the smoothed unigram over all training tokens,
-(c + 0.5) / (N + 0.5 (V + 1)). Bigrams and trigrams that make up at least
-``min_share`` of all training tokens become arcs with absolutely discounted
-probabilities; their contexts become states. A state without an arc for a token
-follows its failure arc to the next shorter context and pays that arc's weight,
-which gives the unseen tokens exactly the probability mass that the arcs leave.
-A text is read once from left to right with one state in hand.
-
-Sizes: counts of all training words stay a distributed table, as large as the
-corpus makes it. What tasks hold in memory is bounded by proportion, whatever
-the corpus: at most 1 / share n-grams of any order can have that share of all
-tokens. An n-gram that frequent has frequent parts, so counting only n-grams of
-frequent parts finds every one. Frequent words are looked up in memory for the
-same reason; the counts of all others are joined, which also keeps very
-frequent words out of the join.
+(c + 0.5) / (N + 0.5 (V + 1)). Every bigram and trigram that occurs at least
+``MIN_COUNT`` times in training, whatever the corpus's size, is an arc with an
+absolutely discounted probability; its context is a state. Where a state has no
+arc for a token, the next shorter context is asked and the state's backoff
+weight paid, which gives the unseen tokens exactly the probability mass that the
+arcs leave.
+
+Words, n-grams and weights are distributed tables, as large as the corpus makes
+them; n-grams go by hashes of 64 bits. A text's score is a sum over its n-grams,
+since an arc's weight can be given as what it adds to the shorter context's
+value: so one join of the texts' n-grams with the weights gives all scores. What
+tasks hold in memory is bounded by proportion, whatever the corpus: at most
+1 / share n-grams of any order, or words, can have that share of all tokens.
+These are looked up in memory, which only keeps them out of the joins.
 
 Cases: a null text is empty and has only the end token; rows that share doc_id
 and text get the same scores, one result row each; a null doc_id counts as
@@ -27,20 +27,26 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import written
+from quarry.llm.shared import trim, written
 
 #: The end token: no word has a space in it.
 END = " "
 #: Different words or n-grams that a task gathers before it passes their counts on.
 GATHERED = 400_000
 DISCOUNT = 0.75
+#: Occurrences in training that make an n-gram an arc.
+MIN_COUNT = 2
+#: The start's hash, and texts turned into n-grams at a time.
+START, ROWS = 1, 200
 
 
 def words(text: str | None) -> list[bytes]:
@@ -202,15 +208,111 @@ class Automaton:
         return self._words
 
 
+class Hashes(dict):
+    """Words' hashes (as Spark's xxhash64 gives them), each made once."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= GATHERED:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each two hashes in their order."""
+    x = (a ^ (a >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + b
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+def _grams(text: str | None, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the tokens (start and end included), of the bigrams and of the trigrams, by their two bigrams."""
+    own = words(text)
+    x = np.fromiter((START, *map(hashes.__getitem__, own), hashes[END.encode()]), np.uint64, len(own) + 2)
+    two = _mixed(x[:-1], x[1:])
+    return x, two, _mixed(two[:-1], two[1:])
+
+
+def count_grams(texts: DataFrame) -> DataFrame:
+    """order, code, a, b, n of all bigrams and trigrams; a and b are the hashes of their first and last part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        waiting: list[tuple] = []
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for order in (2, 3):
+                parts = [(g[order - 1], g[order - 2][:-1], g[order - 2][1:]) for g in waiting]
+                code, a, b = (np.concatenate([x[k] for x in parts]) for k in range(3))
+                code, at, n = np.unique(code, return_index=True, return_counts=True)
+                cols = [pa.array(np.full(len(code), order, np.int32)), *(pa.array(c.view(np.int64)) for c in (code, a[at], b[at])), pa.array(n.astype(np.int64))]
+                for first in range(0, len(code), GATHERED // 4):
+                    yield pa.RecordBatch.from_arrays([c.slice(first, GATHERED // 4) for c in cols], ["order", "code", "a", "b", "n"])
+
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                waiting.append(_grams(t, hashes))
+                size += len(waiting[-1][0])
+                if size >= 2 * GATHERED:
+                    yield from out()
+                    waiting, size = [], 0
+                    trim()
+        if waiting:
+            yield from out()
+
+    found = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "order int, code long, a long, b long, n long")
+    return found.groupBy("order", "code", "a", "b").agg(F.sum("n").alias("n"))
+
+
+def _arcs(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """code, a, n, lp, plus; and a, back: the states' backoff weights. From code, a, n, size of the context, lower (log10) of the shorter context.
+
+    lp is an arc's log10 probability, plus what it adds to the shorter context's value after a's backoff weight.
+    """
+    arcs = grams.withColumn("p", (F.col("n") - DISCOUNT) / F.col("size"))
+    states = arcs.groupBy("a").agg((1 - F.sum("p")).alias("left"), (1 - F.sum(F.pow(F.lit(10.0), "lower"))).alias("rest"))
+    # nothing may be left for other words: then all stays as it is below
+    good = (F.col("left") > 1e-12) & (F.col("rest") > 1e-12)
+    states = states.select("a", good.alias("good"), F.when(good, F.log10(F.when(good, F.col("left") / F.col("rest")))).otherwise(0.0).alias("back"))
+    lp = F.when(F.col("good"), F.log10("p")).otherwise(F.col("lower"))
+    plus = F.when(F.col("good"), F.log10("p") - F.col("lower") - F.col("back")).otherwise(0.0)
+    return arcs.join(states, "a").select("code", "a", "n", lp.alias("lp"), plus.alias("plus")), states.where("good").select("a", "back")
+
+
+def weights(texts: DataFrame, counts: DataFrame, total: int, distinct: int, docs: int) -> DataFrame:
+    """key (a hash), n, weight (log10): what each token as a context, each bigram and each trigram adds to a text's score."""
+    grams = written(count_grams(texts).where(F.col("n") >= MIN_COUNT), "ngrams")
+    below = total + 0.5 * (distinct + 1)
+    words = counts.select(F.xxhash64("word").alias("h"), F.col("n").alias("size"))
+    words = words.union(texts.sparkSession.range(1).select(F.lit(START).cast("long"), F.lit(docs).cast("long")))
+    two = grams.where("order = 2").join(words.withColumnRenamed("h", "a"), "a").join(words.select(F.col("h").alias("b"), F.log10((F.col("size") + 0.5) / below).alias("lower")), "b")
+    two, one_back = (written(x, "arcs") for x in _arcs(two.select("code", "a", "n", "size", "lower")))
+    three = grams.where("order = 3").join(two.select(F.col("code").alias("a"), F.col("n").alias("size")), "a").join(two.select(F.col("code").alias("b"), F.col("lp").alias("lower")), "b")
+    three, two_back = (written(x, "arcs") for x in _arcs(three.select("code", "a", "n", "size", "lower")))
+    one = one_back.join(words.withColumnRenamed("h", "a"), "a").select(F.col("a").alias("key"), F.col("size").alias("n"), F.col("back").alias("weight"))
+    both = two.drop("a").join(two_back.withColumnRenamed("a", "code"), "code", "left")
+    second = both.select(F.col("code").alias("key"), "n", (F.col("plus") + F.coalesce("back", F.lit(0.0))).alias("weight"))
+    return written(one.union(second).union(three.select("code", "n", "plus")), "weights")
+
+
 class Model:
-    """counts: the table word, n; head: counts of frequent words; automaton: the n-gram states."""
+    """counts: the table word, n; head: counts of frequent words; table: the weights of all n-grams; hot: keys and weights of frequent ones.
+
+    automaton holds the frequent n-grams alone, made when asked for; scores don't come from it.
+    """
+
+    def __init__(self, counts: DataFrame, total: int, distinct: int, head: dict[bytes, int], ids: dict, table: DataFrame, hot: tuple[np.ndarray, np.ndarray], hot_count: float, frequent: Callable[[], Automaton]):
+        self.counts, self.total, self.distinct, self.head, self.ids = counts, total, distinct, head, ids
+        self.table, self.hot, self.hot_count, self._frequent = table, hot, hot_count, frequent
 
-    def __init__(self, counts: DataFrame, total: int, distinct: int, head: dict[bytes, int], ids: dict, automaton: Automaton):
-        self.counts, self.total, self.distinct, self.head, self.ids, self.automaton = counts, total, distinct, head, ids, automaton
+    @cached_property
+    def automaton(self) -> Automaton:
+        return self._frequent()
 
 
 def train(texts: DataFrame, min_share: float = 2e-5, head_share: float = 5e-6) -> Model:
-    """Learns from every row of the column text."""
+    """Learns from every row of the column text; ``min_share`` only says which n-grams are looked up in memory."""
     counts = written(count_words(texts), "words")
     row = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct")).first()
     total, distinct = int(row.total or 0), int(row.distinct)
@@ -221,16 +323,52 @@ def train(texts: DataFrame, min_share: float = 2e-5, head_share: float = 5e-6) -
     ids: dict = {w: i for i, w in enumerate(kept)}
     ids["end"] = len(ids)
     ids["start"] = len(ids)
-    found: list[dict[int, int]] = []
-    for order in (2, 3):
-        parts = np.array(sorted(found[0]), np.int64) if found else None
-        if total and (parts is None or len(parts)):
-            n = count_ngrams(texts, ids, order, parts).where(F.col("n") >= min_share * total).toArrow().to_pydict()
-            found.append(dict(zip(n["code"], n["n"], strict=True)))
-        else:
-            found.append({})
-    n_of = np.array([head[w] for w in kept] + [docs, 0], np.float64)
-    return Model(counts, total, distinct, head, ids, Automaton(ids, n_of, total, distinct, docs, *found))
+    table = weights(texts, counts, total, distinct, docs)
+    # a start or an end may have any share, and there are two of them
+    hot = table.where(F.col("n") >= min_share * total).select("key", "weight").toArrow()
+    keys, values = (hot.column(c).to_numpy() for c in ("key", "weight"))
+    order = np.argsort(keys.view(np.uint64))
+
+    def automaton() -> Automaton:
+        found: list[dict[int, int]] = []
+        for size in (2, 3):
+            parts = np.array(sorted(found[0]), np.int64) if found else None
+            if total and (parts is None or len(parts)):
+                n = count_ngrams(texts, ids, size, parts).where(F.col("n") >= min_share * total).toArrow().to_pydict()
+                found.append(dict(zip(n["code"], n["n"], strict=True)))
+            else:
+                found.append({})
+        n_of = np.array([head[w] for w in kept] + [docs, 0], np.float64)
+        return Automaton(ids, n_of, total, distinct, docs, *found)
+
+    return Model(counts, total, distinct, head, ids, table, (keys.view(np.uint64)[order], values[order]), min_share * total, automaton)
+
+
+def _gains(keyed: DataFrame, model: Model) -> DataFrame:
+    """no_id, doc, text_key, more: what the n-grams of the texts with that key add, other than those in memory."""
+    held = keyed.sparkSession.sparkContext.broadcast(model.hot[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, hashes = held.value, Hashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                b = batch.slice(at, ROWS)
+                found = []
+                for t in b.column("text").to_pylist():
+                    x, two, three = _grams(t, hashes)
+                    code, n = np.unique(np.concatenate([x[:-1], two, three]), return_counts=True)
+                    if len(hot):
+                        rare = hot[np.minimum(np.searchsorted(hot, code), len(hot) - 1)] != code
+                        code, n = code[rare], n[rare]
+                    found.append((code, n))
+                rid = np.repeat(b.column("rid").to_numpy(), [len(c) for c, _ in found])
+                cols = [pa.array(rid), pa.array(np.concatenate([c for c, _ in found]).view(np.int64)), pa.array(np.concatenate([n for _, n in found]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["rid", "key", "times"])
+            trim()
+
+    rows = keyed.select(F.xxhash64("no_id", "doc", "text_key").alias("rid"), "text").mapInArrow(run, "rid long, key long, times int")
+    rare = model.table.where(F.col("n") < model.hot_count).select("key", "weight")
+    return rows.join(rare, "key").groupBy("rid").agg(F.sum(F.col("times") * F.col("weight")).alias("more"))
 
 
 def score(docs: DataFrame, model: Model, head_share: float = 5e-6) -> DataFrame:
@@ -238,7 +376,7 @@ def score(docs: DataFrame, model: Model, head_share: float = 5e-6) -> DataFrame:
 
     ``head_share`` is the one that the model was trained with.
     """
-    held = docs.sparkSession.sparkContext.broadcast((model.head, model.ids, model.automaton))
+    held = docs.sparkSession.sparkContext.broadcast((model.head, *model.hot))
     total, distinct = model.total, model.distinct
     below = total + 0.5 * (distinct + 1)
     schema = "no_id boolean, doc long, text_key long, word string, times long, copies long, n_tokens long, known long, base double, gain double"
@@ -246,7 +384,8 @@ def score(docs: DataFrame, model: Model, head_share: float = 5e-6) -> DataFrame:
     key = ["no_id", "doc", "text_key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, ids, automaton = held.value
+        head, hot, weight = held.value
+        hashes = Hashes()
         logs = {w: (n, math.log10((n + 0.5) / below)) for w, n in head.items()}
         end = logs.get(END.encode(), (0, math.log10(0.5 / below)))
         for b in batches:
@@ -267,7 +406,12 @@ def score(docs: DataFrame, model: Model, head_share: float = 5e-6) -> DataFrame:
                         base += times * hit[1]
                     else:
                         rare.append((w.decode("utf-8", "replace"), times))
-                gain = automaton.gain(_coded(text, ids))
+                gain = 0.0
+                if len(hot):
+                    x, two, three = _grams(text, hashes)
+                    codes = np.concatenate([x[:-1], two, three])
+                    at = np.minimum(np.searchsorted(hot, codes), len(hot) - 1)
+                    gain = float(weight[at[hot[at] == codes]].sum())
                 # the text's own row meets no word in the join: its key has a space
                 for word, times, row in [(f" {k}", 0, (1, n, known, base, gain)), *((w, t, (0, 0, 0, 0.0, 0.0)) for w, t in rare)]:
                     for name, v in zip(names, (*k, word, times, *row), strict=True):
@@ -292,13 +436,14 @@ def score(docs: DataFrame, model: Model, head_share: float = 5e-6) -> DataFrame:
     )
     # rows that share id and text were added up; each gets its part back
     n = F.col("copies")
+    gathered = gathered.withColumn("rid", F.xxhash64(*key)).join(_gains(keyed, model), "rid", "left")
     once = gathered.select(
         F.when(~F.col("no_id"), F.col("doc")).alias("doc_id"),
         (F.col("n_tokens") / n).cast("long").alias("n_tokens"),
         (F.col("known") / n).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") / n).alias("base_score"),
-        ((F.col("base") + F.col("gain")) / n).alias("score"),
+        ((F.col("base") + F.col("gain") + F.coalesce("more", F.lit(0.0))) / n).alias("score"),
         n.alias("copies"),
     )
     return once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy", "copies")

@@ -292,6 +292,43 @@ def test_lmscore(docs, none):
     assert all(r.base_score == 0 for r in lmscore.score(docs.where("doc_id = 5"), lmscore.train(none)).collect())
 
 
+def brute_score(train, text):
+    """log10 of the backoff model's probability of the text, by plain recursion over counts of two and more."""
+    coded = [["<s>", *lmscore.words(t), b" "] for t in train]
+    grams = Counter(tuple(x[i : i + n]) for x in coded for n in (1, 2, 3) for i in range(len(x) - n + 1))
+    total, distinct = sum(len(x) - 1 for x in coded), len({w for x in coded for w in x[1:]})
+    arcs = {}
+    for g, n in grams.items():
+        if len(g) > 1 and n >= 2:
+            arcs.setdefault(g[:-1], {})[g[-1]] = (n - 0.75) / grams[g[:-1]]
+
+    def p(context, w):
+        if not context:
+            return (grams[(w,)] + 0.5) / (total + 0.5 * (distinct + 1))
+        own = arcs.get(context)
+        if not own:
+            return p(context[1:], w)
+        left, rest = 1 - sum(own.values()), 1 - sum(p(context[1:], x) for x in own)
+        if left <= 1e-12 or rest <= 1e-12:
+            return p(context[1:], w)
+        return own[w] if w in own else left / rest * p(context[1:], w)
+
+    x = ["<s>", *lmscore.words(text), b" "]
+    return sum(math.log10(p(tuple(x[max(0, i - 2) : i]), x[i])) for i in range(1, len(x)))
+
+
+def test_lmscore_keeps_rare_ngrams(spark):
+    """Scores hold all n-grams seen twice, in memory or joined, however small a share of the corpus they are."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.6, 60) % 40) for _ in range(30)] + [TEXT, TEXT, "", None]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(99, "the quick brown fox w1 w2 unseen dog"), (99, "the quick brown fox w1 w2 unseen dog")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for share in (2e-5, 0.01, 0.5):  # all n-grams in memory, some, hardly any
+        got = sorted((r.doc_id, r.score) for r in lmscore.score(df, lmscore.train(df.where("doc_id < 90"), min_share=share)).collect())
+        assert [d for d, _ in got] == [d for d, _ in rows]
+        assert all(math.isclose(g, brute_score(texts, t), rel_tol=1e-9) for (_, g), (_, t) in zip(got, rows, strict=True))
+
+
 def test_automaton_is_a_distribution(docs):
     """From each state the probabilities of all words, of the end and of one unknown word add up to 1."""
     model = lmscore.train(docs.where("doc_id IN (1, 2, 8, 10)"))
