@@ -5,8 +5,9 @@ encoded once. Encoding is a fold of Spark higher-order functions over a word's
 bytes: the state holds where the current pieces begin and the rank of each
 neighbouring pair, a step merges the lowest-ranked pair, and ranks come from a
 literal map (an array of small maps, indexed by hash, since a lookup in a map is
-a scan). Ids are ranks; decoding looks up each id's bytes in a literal array and
-concatenates them.
+a scan). Ids are ranks; ``decode`` looks up each id's bytes in a literal array and
+concatenates them. ``encode`` gives the digest of the same bytes by another path:
+it takes and joins them in Arrow, where the ids of a text meet.
 
 Getting the ids back to the texts needs little traffic. A task numbers the
 distinct words of a block of texts and turns each text into numbers. Blocks send
