@@ -1,460 +1,399 @@
-"""Language-model scores by backoff over all repeated n-grams.
-
-Tokens are words (A-Z lower-cased, split at ASCII white space), then one end.
-The lowest order is the smoothed unigram over all training tokens,
-(c + 0.5) / (N + 0.5 (V + 1)). Every bigram and trigram that occurs at least
-``MIN_COUNT`` times in training, whatever the corpus's size, is an arc with an
-absolutely discounted probability; its context is a state. Where a state has no
-arc for a token, the next shorter context is asked and the state's backoff
-weight paid, which gives the unseen tokens exactly the probability mass that the
-arcs leave.
-
-Words, n-grams and weights are distributed tables, as large as the corpus makes
-them; n-grams go by hashes of 64 bits. A text's score is a sum over its n-grams,
-since an arc's weight can be given as what it adds to the shorter context's
-value: so one join of the texts' n-grams with the weights gives all scores. What
-tasks hold in memory is bounded by proportion, whatever the corpus: at most
-1 / share n-grams of any order, or words, can have that share of all tokens.
-These are looked up in memory, which only keeps them out of the joins.
-
-Cases: a null text is empty and has only the end token; rows that share doc_id
-and text get the same scores, one result row each; a null doc_id counts as
-empty text where it decides about training; without training texts N is 0 and
-each unigram has probability 1; other columns are ignored.
+"""Language-model scores by a weighted backoff automaton over all n-grams.
+
+Tokens are words (A-Z lower-cased, split at ASCII white space), then one end. The
+lowest order is the smoothed unigram over all training tokens,
+(c + 0.5) / (N + 0.5 (V + 1)); higher orders are smoothed by Dirichlet priors:
+
+    p(w | v)   = (c(vw)  + k1 p(w))     / (c(v)  + k1)
+    p(w | u v) = (c(uvw) + k2 p(w | v)) / (c(uv) + k2)
+
+A context that training holds is a state, an n-gram that training holds an arc.
+Where a state has no arc for a token, its failure arc leads to the shorter context
+for the weight k / (c + k), which is what the formulas say of a count of 0. All
+bigrams and trigrams of the training texts count, those that occur once too, so the
+model grows with the corpus; no task and not the driver holds more than a block's
+part of it.
+
+Texts are cut into blocks of at most ``BLOCK_TOKENS`` tokens, written as numbers of
+the block's distinct words. Each block sends its distinct words, bigrams and trigrams,
+with their training counts inside the block, as sorted hashes packed by hash range.
+Equal ones of all blocks meet, are added up, and each block gets the sums back in the
+order it sent them. So a block knows the counts of all n-grams that its texts can ask
+for: its part of the automaton, which one left-to-right traversal of each text walks,
+carrying the state. An n-gram is sent once a block however often it occurs, so no
+key is hot. Words go by hashes of 64 bits, n-grams by ``CODE_BITS``: of 10^12 different
+n-grams, one in 10^5 shares its code with another.
+
+Cases: a null text is empty and has only the end token; each row gets its own result
+row, repeated rows equal ones; a text longer than a block is cut, its parts carry two
+tokens of context and are added up; without training texts N is 0, no state has arcs,
+and each token has probability 1; other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Callable, Iterator
-from functools import cached_property
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.shared import trim, written
 
 #: The end token: no word has a space in it.
-END = " "
-#: Different words or n-grams that a task gathers before it passes their counts on.
-GATHERED = 400_000
-DISCOUNT = 0.75
-#: Occurrences in training that make an n-gram an arc.
-MIN_COUNT = 2
-#: The start's hash, and texts turned into n-grams at a time.
-START, ROWS = 1, 200
+END = b" "
+#: The hash that stands for a text's start.
+START = 1
+#: The priors k1 and k2.
+PRIORS = (500.0, 1.0)
+CODE_BITS = 56
+#: Tokens of a block; tokens of the texts that share an automaton in memory; codes that meet in a bucket, on average.
+BLOCK_TOKENS, RUN_TOKENS, BUCKET_CODES = 1 << 20, 1 << 16, 1 << 20
+#: Different words whose hashes a task remembers.
+REMEMBERED = 400_000
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """word, n of all tokens in the column text, the end token included."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        ends = 0
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                seen.update(words(t))
-                ends += 1
-                if len(seen) >= GATHERED:
-                    yield out()
-                    seen.clear()
-        if ends:
-            seen[END.encode()] = ends
-        if seen:
-            yield out()
-
-    return texts.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+class Hashes(dict):
+    """Words' hashes, each made once."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, 42)
+        return h
 
-def _coded(text: str | None, ids: dict[bytes, int]) -> np.ndarray:
-    """Word ids with the start state's id first and the end token last; -1 for other words."""
-    own = words(text)
-    out = np.empty(len(own) + 2, np.int64)
-    out[0], out[-1] = ids["start"], ids["end"]
-    out[1:-1] = np.fromiter(map(ids.get, own, [-1] * len(own)), np.int64, len(own))
-    return out
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers, compressed byte by byte."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
-def count_ngrams(texts: DataFrame, ids: dict, order: int, parts: np.ndarray | None) -> DataFrame:
-    """code, n of the bigrams or trigrams of words with ids (code: ids as digits to the base of their number).
 
-    ``parts`` (sorted codes of frequent bigrams) restricts trigrams to those made of two of them.
-    """
-    base = len(ids)
-    held = texts.sparkSession.sparkContext.broadcast((ids, parts))
+def loosened(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, parts = held.value
-        waiting, size = [], 0
 
-        def out() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(waiting), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each two hashes in their order."""
+    x = (a ^ (a >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + b
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
 
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                x = _coded(t, ids)
-                pair = np.where((x[:-1] >= 0) & (x[1:] >= 0), x[:-1] * base + x[1:], -1)
-                if order == 3:
-                    at = np.searchsorted(parts, pair)
-                    good = parts[np.minimum(at, len(parts) - 1)] == pair
-                    both = good[:-1] & good[1:]
-                    codes = (pair[:-1] * base + x[2:])[both]
-                else:
-                    codes = pair[pair >= 0]
-                if len(codes):
-                    waiting.append(codes)
-                    size += len(codes)
-                if size >= 4 * GATHERED:
-                    yield out()
-                    waiting, size = [], 0
-        if waiting:
-            yield out()
 
-    return texts.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+BLOCKS = "block long, tokens long, doc_ids array<long>, texts array<long>, parts binary, words binary, stream binary"
 
 
-class Automaton:
-    """States 0 (no context), then contexts of one word, then of two.
+def blocks_of(batches: Iterator[pa.RecordBatch], pid: int) -> Iterator[pa.RecordBatch]:
+    """The texts of one task (doc_id, text, trains) in blocks.
 
-    step[state * base + word] is (next state, arc's log10 probability minus the
-    unigram's); fail[state] is (shorter context, log10 weight).
+    texts numbers the rows, parts has three numbers for each (tokens, those of them
+    that are context only, whether it trains), words the hashes of the distinct words,
+    frequent ones first, and stream a number of a word for each token.
     """
+    hashes = Hashes()
+    waiting: list[tuple] = []
+    size = done = texts = 0
+
+    def out() -> pa.RecordBatch:
+        # the end's count, which is that of the starts, is asked for by every block
+        end = np.array([hashes[END]], np.uint64)
+        own, number, n = np.unique(np.concatenate([*(w[4] for w in waiting), end]), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        parts = np.array([(len(x), context, learns) for _, _, context, learns, x in waiting], np.int64).ravel()
+        columns = [
+            pa.array([pid << 32 | done], pa.int64()),
+            pa.array([size], pa.int64()),
+            pa.array([[w[0] for w in waiting]], pa.list_(pa.int64())),
+            pa.array([[w[1] for w in waiting]], pa.list_(pa.int64())),
+            *(pa.array([squeezed(x)], pa.binary()) for x in (parts, own[order], place[number[:-1]])),
+        ]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in BLOCKS.split(", ")])
+
+    for b in batches:
+        for doc_id, text, learns in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "trains")), strict=True):
+            own = words(text)
+            x = np.fromiter((START, *map(hashes.__getitem__, own), hashes[END]), np.uint64, len(own) + 2)
+            texts += 1
+            at = 1
+            while at < len(x):
+                context = min(at, 2)
+                part = x[at - context : at + BLOCK_TOKENS - size]
+                waiting.append((doc_id, pid << 40 | texts, context, learns, part))
+                at += len(part) - context
+                size += len(part) - context
+                if size >= BLOCK_TOKENS:
+                    yield out()
+                    waiting, size, done = [], 0, done + 1
+                    trim()
+    if waiting:
+        yield out()
 
-    def __init__(self, ids: dict, counts: np.ndarray, total: int, distinct: int, docs: int, bigrams: dict[int, int], trigrams: dict[int, int]):
-        base = self.base = len(ids)
-        self.unknown = math.log10(0.5 / (total + 0.5 * (distinct + 1)))
-        self.uni = np.log10((counts + 0.5) / (total + 0.5 * (distinct + 1)))
-        size_of = counts.astype(float)
-        size_of[ids["start"]] = docs
-        two = sorted({c // base for c in trigrams})
-        one = sorted({c // base for c in bigrams} | {c % base for c in two})
-        state = {(w,): i + 1 for i, w in enumerate(one)} | {(c // base, c % base): i + 1 + len(one) for i, c in enumerate(two)}
-        self.of_word = np.zeros(base, np.int64)
-        for w in one:
-            self.of_word[w] = state[(w,)]
-        self.start = int(self.of_word[ids["start"]])
-        n = 1 + len(state)
-        self.fail: list[tuple[int, float]] = [(0, 0.0)] * n
-        self.step: dict[int, tuple[int, float]] = {}
-        arcs: dict[tuple, list] = {}
-        for c, k in bigrams.items():
-            arcs.setdefault((c // base,), []).append((c % base, max(k - DISCOUNT, 0) / size_of[c // base]))
-        for c, k in trigrams.items():
-            u, v = divmod(c // base, base)
-            arcs.setdefault((u, v), []).append((c % base, max(k - DISCOUNT, 0) / bigrams[c // base]))
-        lower: dict[tuple, dict[int, float]] = {}
-        for context in sorted(state, key=len):
-            shorter = state.get(context[1:], 0) if len(context) > 1 else 0
-            own = arcs.get(context, [])
-            # what the shorter context gives each of the words that have an arc here
-            below = [10.0 ** self._logp(shorter, w) for w, _ in own]
-            left, rest = 1 - sum(p for _, p in own), 1 - sum(below)
-            if left <= 1e-12 or rest <= 1e-12:  # nothing may be left for other words: keep their probability as it is below
-                own, left, rest = [], 1.0, 1.0
-            self.fail[state[context]] = (shorter, math.log10(left / rest))
-            for w, p in own:
-                to = state.get((context[-1], w), 0) or int(self.of_word[w])
-                self.step[state[context] * base + w] = (to, math.log10(p) - float(self.uni[w]))
-
-    def _logp(self, state: int, word: int) -> float:
-        paid = 0.0
-        while state:
-            arc = self.step.get(state * self.base + word)
-            if arc:
-                return paid + arc[1] + float(self.uni[word])
-            state, weight = self.fail[state]
-            paid += weight
-        return paid + float(self.uni[word])
-
-    def gain(self, coded: np.ndarray) -> float:
-        """What the contexts add to the sum of the unigram log-probabilities of a coded text."""
-        step, fail, base, of_word = self.step, self.fail, self.base, self.words
-        state, total = self.start, 0.0
-        for w in coded[1:].tolist():
-            if w >= 0:
-                arc = step.get(state * base + w)
-                while arc is None and state:
-                    state, weight = fail[state]
-                    total += weight
-                    arc = step.get(state * base + w)
-                if arc is None:
-                    state = of_word[w]
-                else:
-                    state = arc[0]
-                    total += arc[1]
-            else:
-                while state:
-                    state, weight = fail[state]
-                    total += weight
-        return total
-
-    @property
-    def words(self) -> list[int]:
-        if not hasattr(self, "_words"):
-            self._words = self.of_word.tolist()
-        return self._words
-
-
-class Hashes(dict):
-    """Words' hashes (as Spark's xxhash64 gives them), each made once."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= GATHERED:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 42)
-        return h
+def coded_blocks(docs: DataFrame, trains: Column) -> DataFrame:
+    """The texts of ``docs`` (doc_id, text) in blocks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from blocks_of(batches, TaskContext.get().partitionId())
 
-def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A hash of each two hashes in their order."""
-    x = (a ^ (a >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + b
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(29))
+    chosen = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        F.coalesce(trains, F.lit(False)).alias("trains"),
+    )
+    return chosen.mapInArrow(run, BLOCKS)
 
 
-def _grams(text: str | None, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the tokens (start and end included), of the bigrams and of the trigrams, by their two bigrams."""
-    own = words(text)
-    x = np.fromiter((START, *map(hashes.__getitem__, own), hashes[END.encode()]), np.uint64, len(own) + 2)
-    two = _mixed(x[:-1], x[1:])
-    return x, two, _mixed(two[:-1], two[1:])
+class Block:
+    """A block's tokens and codes.
 
+    x numbers each token's word; hashes is by word; own tells tokens that aren't context;
+    codes[k] has the sorted distinct codes of order k + 1, at[k] which of them ends at
+    each token (-1: none).
+    """
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """order, code, a, b, n of all bigrams and trigrams; a and b are the hashes of their first and last part."""
+    def __init__(self, row: dict):
+        self.hashes, self.x = loosened(row["words"]), loosened(row["stream"]).astype(np.int64)
+        self.parts = loosened(row["parts"]).astype(np.int64).reshape(-1, 3)
+        sizes, context, learns = self.parts.T
+        self.stops = np.append(0, np.cumsum(sizes))
+        place = np.arange(len(self.x)) - np.repeat(self.stops[:-1], sizes)
+        self.own = place >= np.repeat(context, sizes)
+        self.learns = self.own & (np.repeat(learns, sizes) > 0)
+        self.place = place
+        h = self.hashes[self.x]
+        shift = np.uint64(64 - CODE_BITS)
+        two = np.zeros(len(h), np.uint64)
+        two[1:] = mixed(h[:-1], h[1:])
+        three = np.zeros(len(h), np.uint64)
+        three[2:] = mixed(two[1:-1], h[2:])
+        self.by_token = [h, two >> shift, three >> shift]
+
+    def order(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct codes of order k + 1, and where the tokens are that end one."""
+        ends = np.flatnonzero(self.place >= k)
+        return np.unique(self.by_token[k][ends]), ends
+
+    def sent(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct codes of order k + 1 and how often each occurs in training texts."""
+        ends = np.flatnonzero(self.place >= k)
+        if not len(ends):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if k == 0:
+            n = np.bincount(self.x, self.learns, len(self.hashes)).astype(np.int64)
+            order = np.argsort(self.hashes)
+            return self.hashes[order], n[order]
+        both = np.sort(self.by_token[k][ends] << np.uint64(1) | self.learns[ends].astype(np.uint64))
+        code = both >> np.uint64(1)
+        first = np.append(0, np.flatnonzero(code[1:] != code[:-1]) + 1)
+        return code[first], np.add.reduceat((both & np.uint64(1)).astype(np.int64), first)
+
+
+def _edges(k: int, buckets: int) -> np.ndarray:
+    """The first code of each bucket but the first."""
+    bits = 64 if k == 0 else CODE_BITS
+    return np.array([(i << bits) // buckets for i in range(1, buckets)], np.uint64)
+
+
+def _ngrams(blocks: DataFrame, buckets: int) -> DataFrame:
+    """block, bucket, codes, n: for each order the block's codes in a range of hashes (as differences), and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        waiting: list[tuple] = []
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for order in (2, 3):
-                parts = [(g[order - 1], g[order - 2][:-1], g[order - 2][1:]) for g in waiting]
-                code, a, b = (np.concatenate([x[k] for x in parts]) for k in range(3))
-                code, at, n = np.unique(code, return_index=True, return_counts=True)
-                cols = [pa.array(np.full(len(code), order, np.int32)), *(pa.array(c.view(np.int64)) for c in (code, a[at], b[at])), pa.array(n.astype(np.int64))]
-                for first in range(0, len(code), GATHERED // 4):
-                    yield pa.RecordBatch.from_arrays([c.slice(first, GATHERED // 4) for c in cols], ["order", "code", "a", "b", "n"])
-
         for b in batches:
-            for t in b.column("text").to_pylist():
-                waiting.append(_grams(t, hashes))
-                size += len(waiting[-1][0])
-                if size >= 2 * GATHERED:
-                    yield from out()
-                    waiting, size = [], 0
-                    trim()
-        if waiting:
-            yield from out()
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                block = Block(row)
+                codes: list[list] = [[] for _ in range(buckets)]
+                counts: list[list] = [[] for _ in range(buckets)]
+                for k in range(3):
+                    code, n = block.sent(k)
+                    at = [0, *np.searchsorted(code, _edges(k, buckets)).tolist(), len(code)]
+                    for bucket, (lo, hi) in enumerate(zip(at, at[1:], strict=False)):
+                        codes[bucket].append(squeezed(np.diff(code[lo:hi], prepend=np.uint64(0))))
+                        counts[bucket].append(squeezed(n[lo:hi]))
+                names = ["block", "bucket", "codes", "n"]
+                kinds = [pa.int64(), pa.int32(), *[pa.list_(pa.binary())] * 2]
+                values = [[row["block"]] * buckets, list(range(buckets)), codes, counts]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names)
+                del block
+                trim()
+
+    return blocks.select("block", "parts", "words", "stream").mapInArrow(run, "block long, bucket int, codes array<binary>, n array<binary>")
+
+
+def _added_up(ngrams: DataFrame) -> DataFrame:
+    """block, bucket, n: the counts of the block's codes over all blocks; tokens and distinct words of the bucket's training words, in one of its rows."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        codes, counts = table.column("codes").to_pylist(), table.column("n").to_pylist()
+        answers: list[list[bytes]] = [[] for _ in codes]
+        total = distinct = 0
+        for k in range(3):
+            own = [np.cumsum(loosened(c[k]), dtype=np.uint64) for c in codes]
+            n = [loosened(c[k]).astype(np.int64) for c in counts]
+            known, number = np.unique(np.concatenate(own), return_inverse=True)
+            sums = np.bincount(number, np.concatenate(n), len(known)).astype(np.int64)
+            if k == 0:
+                total, distinct = int(sums.sum()), int((sums > 0).sum())
+            stops = np.cumsum([len(x) for x in own])
+            for i, places in enumerate(np.split(number, stops[:-1])):
+                answers[i].append(squeezed(sums[places]))
+        trim()
+        rest = [0] * (len(codes) - 1)
+        return pa.table(
+            [
+                table.column("block"),
+                table.column("bucket"),
+                pa.array(answers, pa.list_(pa.binary())),
+                pa.array([total, *rest], pa.int64()),
+                pa.array([distinct, *rest], pa.int64()),
+            ],
+            names=["block", "bucket", "n", "total", "distinct_words"],
+        )
+
+    return ngrams.groupBy("bucket").applyInArrow(meet, "block long, bucket int, n array<binary>, total long, distinct_words long")
 
-    found = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "order int, code long, a long, b long, n long")
-    return found.groupBy("order", "code", "a", "b").agg(F.sum("n").alias("n"))
 
+class Automaton:
+    """States are 0 (no context), 1 + v (a word), 1 + words + k (the k-th pair).
 
-def _arcs(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """code, a, n, lp, plus; and a, back: the states' backoff weights. From code, a, n, size of the context, lower (log10) of the shorter context.
-
-    lp is an arc's log10 probability, plus what it adds to the shorter context's value after a's backoff weight.
-    """
-    arcs = grams.withColumn("p", (F.col("n") - DISCOUNT) / F.col("size"))
-    states = arcs.groupBy("a").agg((1 - F.sum("p")).alias("left"), (1 - F.sum(F.pow(F.lit(10.0), "lower"))).alias("rest"))
-    # nothing may be left for other words: then all stays as it is below
-    good = (F.col("left") > 1e-12) & (F.col("rest") > 1e-12)
-    states = states.select("a", good.alias("good"), F.when(good, F.log10(F.when(good, F.col("left") / F.col("rest")))).otherwise(0.0).alias("back"))
-    lp = F.when(F.col("good"), F.log10("p")).otherwise(F.col("lower"))
-    plus = F.when(F.col("good"), F.log10("p") - F.col("lower") - F.col("back")).otherwise(0.0)
-    return arcs.join(states, "a").select("code", "a", "n", lp.alias("lp"), plus.alias("plus")), states.where("good").select("a", "back")
-
-
-def weights(texts: DataFrame, counts: DataFrame, total: int, distinct: int, docs: int) -> DataFrame:
-    """key (a hash), n, weight (log10): what each token as a context, each bigram and each trigram adds to a text's score."""
-    grams = written(count_grams(texts).where(F.col("n") >= MIN_COUNT), "ngrams")
-    below = total + 0.5 * (distinct + 1)
-    words = counts.select(F.xxhash64("word").alias("h"), F.col("n").alias("size"))
-    words = words.union(texts.sparkSession.range(1).select(F.lit(START).cast("long"), F.lit(docs).cast("long")))
-    two = grams.where("order = 2").join(words.withColumnRenamed("h", "a"), "a").join(words.select(F.col("h").alias("b"), F.log10((F.col("size") + 0.5) / below).alias("lower")), "b")
-    two, one_back = (written(x, "arcs") for x in _arcs(two.select("code", "a", "n", "size", "lower")))
-    three = grams.where("order = 3").join(two.select(F.col("code").alias("a"), F.col("n").alias("size")), "a").join(two.select(F.col("code").alias("b"), F.col("lp").alias("lower")), "b")
-    three, two_back = (written(x, "arcs") for x in _arcs(three.select("code", "a", "n", "size", "lower")))
-    one = one_back.join(words.withColumnRenamed("h", "a"), "a").select(F.col("a").alias("key"), F.col("size").alias("n"), F.col("back").alias("weight"))
-    both = two.drop("a").join(two_back.withColumnRenamed("a", "code"), "code", "left")
-    second = both.select(F.col("code").alias("key"), "n", (F.col("plus") + F.coalesce("back", F.lit(0.0))).alias("weight"))
-    return written(one.union(second).union(three.select("code", "n", "plus")), "weights")
-
-
-class Model:
-    """counts: the table word, n; head: counts of frequent words; table: the weights of all n-grams; hot: keys and weights of frequent ones.
-
-    automaton holds the frequent n-grams alone, made when asked for; scores don't come from it.
+    ``p`` has each word's unigram probability, ``size`` how often training has it as a
+    context. ``pairs`` (first word, second word, count) and ``triples`` (number of the pair
+    of its first two words, number of the pair of its last two, count) are those that
+    training holds.
     """
 
-    def __init__(self, counts: DataFrame, total: int, distinct: int, head: dict[bytes, int], ids: dict, table: DataFrame, hot: tuple[np.ndarray, np.ndarray], hot_count: float, frequent: Callable[[], Automaton]):
-        self.counts, self.total, self.distinct, self.head, self.ids = counts, total, distinct, head, ids
-        self.table, self.hot, self.hot_count, self._frequent = table, hot, hot_count, frequent
-
-    @cached_property
-    def automaton(self) -> Automaton:
-        return self._frequent()
-
-
-def train(texts: DataFrame, min_share: float = 2e-5, head_share: float = 5e-6) -> Model:
-    """Learns from every row of the column text; ``min_share`` only says which n-grams are looked up in memory."""
-    counts = written(count_words(texts), "words")
-    row = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct")).first()
-    total, distinct = int(row.total or 0), int(row.distinct)
-    frequent = counts.where((F.col("n") >= head_share * total) | (F.col("word") == END)).toArrow().to_pydict()
-    head = {w.encode(): n for w, n in zip(frequent["word"], frequent["n"], strict=True)}
-    docs = head.get(END.encode(), 0)
-    kept = sorted(w for w, n in head.items() if n >= min_share * total and w != END.encode())
-    ids: dict = {w: i for i, w in enumerate(kept)}
-    ids["end"] = len(ids)
-    ids["start"] = len(ids)
-    table = weights(texts, counts, total, distinct, docs)
-    # a start or an end may have any share, and there are two of them
-    hot = table.where(F.col("n") >= min_share * total).select("key", "weight").toArrow()
-    keys, values = (hot.column(c).to_numpy() for c in ("key", "weight"))
-    order = np.argsort(keys.view(np.uint64))
-
-    def automaton() -> Automaton:
-        found: list[dict[int, int]] = []
-        for size in (2, 3):
-            parts = np.array(sorted(found[0]), np.int64) if found else None
-            if total and (parts is None or len(parts)):
-                n = count_ngrams(texts, ids, size, parts).where(F.col("n") >= min_share * total).toArrow().to_pydict()
-                found.append(dict(zip(n["code"], n["n"], strict=True)))
+    def __init__(self, p: np.ndarray, size: np.ndarray, pairs: tuple, triples: tuple, priors: tuple[float, float] = PRIORS):
+        base = self.base = len(p)
+        (u, v, n2), (head, tail, n3) = pairs, triples
+        one, two = priors
+        lower = (n2 + one * p[v]) / (size[u] + one)
+        upper = (n3 + two * lower[tail]) / (n2[head] + two)
+        keys = np.concatenate([(1 + u) * base + v, (1 + base + head) * base + v[tail]])
+        self.arc = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        self.to = np.concatenate([1 + base + np.arange(len(u)), 1 + base + tail]).tolist()
+        self.weight = np.log10(np.concatenate([lower, upper])).tolist()
+        # unigram arcs leave state 0 for every word
+        self.word_to = np.where(size > 0, 1 + np.arange(base), 0).tolist()
+        self.word_weight = np.log10(p).tolist()
+        self.fail = np.concatenate([np.zeros(1 + base, np.int64), 1 + v]).tolist()
+        self.back = np.concatenate([[0.0], np.log10(one / (size + one)), np.log10(two / (n2 + two))]).tolist()
+
+    def traverse(self, tokens: list[int], context: int) -> float:
+        """The log10 probability of the tokens after the first ``context`` of them."""
+        arc_of, to, weight, fail, back, base = self.arc.get, self.to, self.weight, self.fail, self.back, self.base
+        state, total = 0, 0.0
+        for i, w in enumerate(tokens):
+            if i == context:
+                total = 0.0
+            arc = arc_of(state * base + w) if state else None
+            while arc is None and state:
+                total += back[state]
+                state = fail[state]
+                if state:
+                    arc = arc_of(state * base + w)
+            if arc is None:
+                total += self.word_weight[w]
+                state = self.word_to[w]
             else:
-                found.append({})
-        n_of = np.array([head[w] for w in kept] + [docs, 0], np.float64)
-        return Automaton(ids, n_of, total, distinct, docs, *found)
-
-    return Model(counts, total, distinct, head, ids, table, (keys.view(np.uint64)[order], values[order]), min_share * total, automaton)
-
+                total += weight[arc]
+                state = to[arc]
+        return total
 
-def _gains(keyed: DataFrame, model: Model) -> DataFrame:
-    """no_id, doc, text_key, more: what the n-grams of the texts with that key add, other than those in memory."""
-    held = keyed.sparkSession.sparkContext.broadcast(model.hot[0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, hashes = held.value, Hashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                b = batch.slice(at, ROWS)
-                found = []
-                for t in b.column("text").to_pylist():
-                    x, two, three = _grams(t, hashes)
-                    code, n = np.unique(np.concatenate([x[:-1], two, three]), return_counts=True)
-                    if len(hot):
-                        rare = hot[np.minimum(np.searchsorted(hot, code), len(hot) - 1)] != code
-                        code, n = code[rare], n[rare]
-                    found.append((code, n))
-                rid = np.repeat(b.column("rid").to_numpy(), [len(c) for c, _ in found])
-                cols = [pa.array(rid), pa.array(np.concatenate([c for c, _ in found]).view(np.int64)), pa.array(np.concatenate([n for _, n in found]).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, ["rid", "key", "times"])
-            trim()
-
-    rows = keyed.select(F.xxhash64("no_id", "doc", "text_key").alias("rid"), "text").mapInArrow(run, "rid long, key long, times int")
-    rare = model.table.where(F.col("n") < model.hot_count).select("key", "weight")
-    return rows.join(rare, "key").groupBy("rid").agg(F.sum(F.col("times") * F.col("weight")).alias("more"))
-
-
-def score(docs: DataFrame, model: Model, head_share: float = 5e-6) -> DataFrame:
+def scored(block: Block, counts: list[np.ndarray], total: int, distinct: int) -> tuple[np.ndarray, ...]:
+    """Tokens, known tokens, base and automaton scores of a block's parts."""
+    x, stops = block.x, block.stops
+    n1 = np.empty(len(block.hashes), np.int64)
+    n1[np.argsort(block.hashes)] = counts[0]
+    p = (n1 + 0.5) / (total + 0.5 * (distinct + 1))
+    size = n1.copy()
+    # as many starts as ends
+    size[block.hashes == np.uint64(START)] = n1[block.hashes == np.uint64(xxhash.xxh64_intdigest(END, 42))]
+    at, n = [], []
+    for k in (1, 2):
+        codes, ends = block.order(k)
+        if len(codes) != len(counts[k]):
+            raise ValueError("a block's counts are not those of its n-grams")
+        which = np.full(len(x), -1)
+        which[ends] = np.searchsorted(codes, block.by_token[k][ends])
+        seen = np.zeros(len(x), np.int64)
+        seen[ends] = counts[k][which[ends]]
+        at.append(which)
+        n.append(seen)
+    logs, own = np.log10(p), block.own
+    running = lambda values: np.diff(np.append(0, np.cumsum(values))[stops])
+    base = np.add.reduceat(np.where(own, logs[x], 0.0), stops[:-1]) if len(x) else np.zeros(0)
+    scores = np.zeros(len(stops) - 1)
+    first = 0
+    while first < len(scores):
+        last = max(first + 1, int(np.searchsorted(stops, stops[first] + RUN_TOKENS, side="right")) - 1)
+        lo, hi = stops[first], stops[last]
+        two = lo + np.flatnonzero(n[0][lo:hi] > 0)
+        known, place, pair = np.unique(at[0][two], return_index=True, return_inverse=True)
+        pair_at = np.full(hi - lo, -1)
+        pair_at[two - lo] = pair
+        three = lo + np.flatnonzero(n[1][lo:hi] > 0)
+        three = three[np.unique(at[1][three], return_index=True)[1]]
+        place = two[place]
+        automaton = Automaton(p, size, (x[place - 1], x[place], n[0][place]), (pair_at[three - 1 - lo], pair_at[three - lo], n[1][three]))
+        for i in range(first, last):
+            scores[i] = automaton.traverse(x[stops[i] : stops[i + 1]].tolist(), int(block.parts[i, 1]))
+        first = last
+    return running(own), running(own & (n1[x] > 0)), base, scores
+
+
+def score(docs: DataFrame, trains: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs`` (doc_id, text).
 
-    ``head_share`` is the one that the model was trained with.
+    The model learns from the rows where ``trains`` holds.
     """
-    held = docs.sparkSession.sparkContext.broadcast((model.head, *model.hot))
-    total, distinct = model.total, model.distinct
-    below = total + 0.5 * (distinct + 1)
-    schema = "no_id boolean, doc long, text_key long, word string, times long, copies long, n_tokens long, known long, base double, gain double"
-    names = [x.split()[0] for x in schema.split(", ")]
-    key = ["no_id", "doc", "text_key"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, hot, weight = held.value
-        hashes = Hashes()
-        logs = {w: (n, math.log10((n + 0.5) / below)) for w, n in head.items()}
-        end = logs.get(END.encode(), (0, math.log10(0.5 / below)))
-        for b in batches:
-            cols: dict[str, list] = {n: [] for n in names}
-            keys = list(zip(*(b.column(c).to_pylist() for c in key), strict=True))
-
-            def out(cols: dict) -> pa.RecordBatch:
-                kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4, pa.float64(), pa.float64()]
-                return pa.RecordBatch.from_arrays([pa.array(cols[n], k) for n, k in zip(names, kinds, strict=True)], names)
-
-            for k, text in zip(keys, b.column("text").to_pylist(), strict=True):
-                own = Counter(words(text))
-                known, base, n, rare = int(end[0] > 0), end[1], 1, []
-                for w, times in own.items():
-                    n += times
-                    if hit := logs.get(w):
-                        known += times
-                        base += times * hit[1]
-                    else:
-                        rare.append((w.decode("utf-8", "replace"), times))
-                gain = 0.0
-                if len(hot):
-                    x, two, three = _grams(text, hashes)
-                    codes = np.concatenate([x[:-1], two, three])
-                    at = np.minimum(np.searchsorted(hot, codes), len(hot) - 1)
-                    gain = float(weight[at[hot[at] == codes]].sum())
-                # the text's own row meets no word in the join: its key has a space
-                for word, times, row in [(f" {k}", 0, (1, n, known, base, gain)), *((w, t, (0, 0, 0, 0.0, 0.0)) for w, t in rare)]:
-                    for name, v in zip(names, (*k, word, times, *row), strict=True):
-                        cols[name].append(v)
-                if len(cols["word"]) >= GATHERED // 4:
-                    yield out(cols)
-                    cols = {n: [] for n in names}
-            if cols["word"]:
-                yield out(cols)
-
-    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.xxhash64(body, F.length(body)).alias("text_key"), body.alias("text"))
-    tail = model.counts.where((F.col("n") < head_share * total) & (F.col("word") != END))
-    joined = keyed.mapInArrow(run, schema).join(tail, "word", "left")
-    c = F.coalesce("n", F.lit(0))
-    gathered = joined.groupBy(*key).agg(
-        F.sum("copies").alias("copies"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(c > 0, F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.col("base") + F.col("times") * F.log10((c + 0.5) / below)).alias("base"),
-        F.sum("gain").alias("gain"),
-    )
-    # rows that share id and text were added up; each gets its part back
-    n = F.col("copies")
-    gathered = gathered.withColumn("rid", F.xxhash64(*key)).join(_gains(keyed, model), "rid", "left")
-    once = gathered.select(
-        F.when(~F.col("no_id"), F.col("doc")).alias("doc_id"),
-        (F.col("n_tokens") / n).cast("long").alias("n_tokens"),
-        (F.col("known") / n).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") / n).alias("base_score"),
-        ((F.col("base") + F.col("gain") + F.coalesce("more", F.lit(0.0))) / n).alias("score"),
-        n.alias("copies"),
+    spark = docs.sparkSession
+    blocks = written(coded_blocks(docs, trains), "blocks")
+    tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
+    # distinct codes are at most three a token, some 1.7 in practice
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * tokens // BUCKET_CODES))
+    answers = written(_added_up(_ngrams(blocks, buckets)), "counts")
+    row = answers.agg(F.sum("total"), F.sum("distinct_words")).first()
+    total, distinct = int(row[0] or 0), int(row[1] or 0)
+    schema = "doc_id long, number long, n_tokens long, n_known long, base double, score double"
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows != 1:
+            raise ValueError("counts came back to no block")
+        row = left.to_pylist()[0]
+        order = np.argsort(right.column("bucket").to_numpy())
+        got = [right.column("n")[int(i)].as_py() for i in order]
+        counts = [np.concatenate([loosened(g[k]).astype(np.int64) for g in got]) for k in range(3)]
+        n, known, base, scores = scored(Block(row), counts, total, distinct)
+        trim()
+        columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["texts"], pa.int64()), *map(pa.array, (n, known, base, scores))]
+        return pa.table(columns, names=[c.split()[0] for c in schema.split(", ")])
+
+    texts = blocks.select("block", "doc_ids", "texts", "parts", "words", "stream")
+    parts = texts.groupBy("block").cogroup(answers.select("block", "bucket", "n").groupBy("block")).applyInArrow(finish, schema)
+    return (
+        parts.groupBy("number")
+        .agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
+        .select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
     )
-    return once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy", "copies")
 
 
-def remainder(mod: int):
+def remainder(mod: int) -> Column:
     """crc32(doc_id as text) mod ``mod``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod
 
 
 def op7_lmscore(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    scored = score(docs, train(docs.where(remainder(5) != 1)))
-    return scored.withColumn("held_out", remainder(5) == 1)
+    return score(docs, remainder(5) != 1).withColumn("held_out", remainder(5) == 1)

@@ -6,9 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quarry.llm import bytebpe, embeddup, flac, langid, licenses, linededup, lmscore, packing, simhash, warc
@@ -279,71 +281,102 @@ def brute_base(train, text):
     return sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in own), len(own), sum(counts[w] > 0 for w in own), total
 
 
-def test_lmscore(docs, none):
-    train = [r[1] for r in ROWS if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 != 1 or r[0] is None]
-    model = lmscore.train(docs.where(lmscore.remainder(5) != 1))
-    got = Counter((r.doc_id, round(r.base_score, 6), r.n_tokens, r.n_known, r.train_tokens) for r in lmscore.score(docs, model).collect())
-    want = Counter()
-    for r in ROWS:
-        base, n, known, total = brute_base(train, r[1])
-        want[(r[0], round(base, 6), n, known, total)] += 1
-    assert got == want
-    assert lmscore.score(none, model).count() == 0
-    assert all(r.base_score == 0 for r in lmscore.score(docs.where("doc_id = 5"), lmscore.train(none)).collect())
+def lm_training(rows):
+    """The texts of (doc_id, text, ...) that op7_lmscore learns from."""
+    return [r[1] for r in rows if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 != 1]
 
 
 def brute_score(train, text):
-    """log10 of the backoff model's probability of the text, by plain recursion over counts of two and more."""
+    """log10 of the model's probability of the text, straight from the formulas of the docstring."""
     coded = [["<s>", *lmscore.words(t), b" "] for t in train]
     grams = Counter(tuple(x[i : i + n]) for x in coded for n in (1, 2, 3) for i in range(len(x) - n + 1))
     total, distinct = sum(len(x) - 1 for x in coded), len({w for x in coded for w in x[1:]})
-    arcs = {}
-    for g, n in grams.items():
-        if len(g) > 1 and n >= 2:
-            arcs.setdefault(g[:-1], {})[g[-1]] = (n - 0.75) / grams[g[:-1]]
 
     def p(context, w):
         if not context:
             return (grams[(w,)] + 0.5) / (total + 0.5 * (distinct + 1))
-        own = arcs.get(context)
-        if not own:
-            return p(context[1:], w)
-        left, rest = 1 - sum(own.values()), 1 - sum(p(context[1:], x) for x in own)
-        if left <= 1e-12 or rest <= 1e-12:
-            return p(context[1:], w)
-        return own[w] if w in own else left / rest * p(context[1:], w)
+        k = lmscore.PRIORS[len(context) - 1]
+        return (grams[(*context, w)] + k * p(context[1:], w)) / (grams[context] + k)
 
     x = ["<s>", *lmscore.words(text), b" "]
     return sum(math.log10(p(tuple(x[max(0, i - 2) : i]), x[i])) for i in range(1, len(x)))
 
 
-def test_lmscore_keeps_rare_ngrams(spark):
-    """Scores hold all n-grams seen twice, in memory or joined, however small a share of the corpus they are."""
+def lm_matches(got, rows, train):
+    """Each row of (doc_id, text) has its result among got, once."""
+    want = Counter()
+    for r in rows:
+        base, n, known, total = brute_base(train, r[1])
+        want[(r[0], n, known, total, round(base, 6), round(brute_score(train, r[1]), 6))] += 1
+    return Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
+
+
+def test_lmscore(docs, none, clashing):
+    learns = lmscore.remainder(5) != 1
+    rows = [r for r in ROWS if r[0] != 7]
+    assert lm_matches(lmscore.score(clashing.where("doc_id <> 7 OR doc_id IS NULL"), learns).collect(), rows, lm_training(rows))
+    got = lmscore.score(docs, learns).where("doc_id = 7").first()
+    base, n, known, total = brute_base(lm_training(ROWS), LONG)
+    assert (got.n_tokens, got.n_known, got.train_tokens) == (n, known, total) and math.isclose(got.base_score, base, rel_tol=1e-9)
+    assert lmscore.score(none, learns).count() == 0
+    assert all(r.score == 0 and r.base_score == 0 for r in lmscore.score(docs.where("doc_id = 5"), F.lit(False)).collect())
+
+
+@pytest.mark.parametrize(("block", "run"), [(1 << 20, 1 << 16), (50, 30), (7, 5), (1, 1)])
+def test_lmscore_in_blocks(spark, monkeypatch, block, run):
+    """Texts cut over many blocks get the scores of the whole model; n-grams that occur once count."""
+    monkeypatch.setattr(lmscore, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(lmscore, "RUN_TOKENS", run)
     rng = np.random.default_rng(5)
-    texts = [" ".join(f"w{x}" for x in rng.zipf(1.6, 60) % 40) for _ in range(30)] + [TEXT, TEXT, "", None]
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.6, 20) % 40) for _ in range(8)] + [TEXT, TEXT, "", None]
     rows = [(i, t) for i, t in enumerate(texts)] + [(99, "the quick brown fox w1 w2 unseen dog"), (99, "the quick brown fox w1 w2 unseen dog")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    for share in (2e-5, 0.01, 0.5):  # all n-grams in memory, some, hardly any
-        got = sorted((r.doc_id, r.score) for r in lmscore.score(df, lmscore.train(df.where("doc_id < 90"), min_share=share)).collect())
-        assert [d for d, _ in got] == [d for d, _ in rows]
-        assert all(math.isclose(g, brute_score(texts, t), rel_tol=1e-9) for (_, g), (_, t) in zip(got, rows, strict=True))
-
-
-def test_automaton_is_a_distribution(docs):
-    """From each state the probabilities of all words, of the end and of one unknown word add up to 1."""
-    model = lmscore.train(docs.where("doc_id IN (1, 2, 8, 10)"))
-    a = model.automaton
-    inside = [i for w, i in model.ids.items() if w != "start"]
-    rest = (model.distinct - len(inside)) + 1  # words that were too rare for an id, and the unknown one
-    assert a.base > 3 and len(a.fail) > 3
-    for state in range(len(a.fail)):
-        known = sum(10 ** a._logp(state, w) for w in inside)
-        weight, s = 0.0, state
-        while s:
-            s, w = a.fail[s]
-            weight += w
-        others = 10**weight * (1 - sum(10 ** float(a.uni[w]) for w in inside))
-        assert rest >= 1 and math.isclose(known + others, 1, rel_tol=1e-9)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert lm_matches(scored_here(frame, F.col("doc_id") < 90), rows, texts)
+
+
+def scored_here(frame, trains):
+    """What score() does, in this process, where patched settings hold."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("trains", pa.bool_())])
+    batches = pa.Table.from_pylist(frame.select("doc_id", "text", trains.alias("trains")).toArrow().to_pylist(), schema).to_batches(max_chunksize=5)
+    rows = [row for b in lmscore.blocks_of(batches, 0) for row in b.to_pylist()]
+    blocks = [lmscore.Block(row) for row in rows]
+    counts = [Counter(), Counter(), Counter()]
+    for b in blocks:
+        for k in range(3):
+            for code, n in zip(*b.sent(k), strict=True):
+                counts[k][int(code)] += int(n)
+    total, distinct = sum(counts[0].values()), sum(n > 0 for n in counts[0].values())
+    sums = {}
+    for row, b in zip(rows, blocks, strict=True):
+        own = [np.array([counts[k][int(c)] for c in b.sent(k)[0]], np.int64) for k in range(3)]
+        for text, doc, n, known, base, score in zip(row["texts"], row["doc_ids"], *lmscore.scored(b, own, total, distinct), strict=True):
+            was = sums.setdefault(text, [doc, 0, 0, 0.0, 0.0])
+            was[1:] = [was[1] + n, was[2] + known, was[3] + base, was[4] + score]
+    return [Row(doc_id=d, n_tokens=n, n_known=k, train_tokens=total, base_score=b, score=s) for d, n, k, b, s in sums.values()]
+
+
+def test_automaton_is_a_distribution():
+    """From each state the probabilities of all words, unknown ones included, add up to 1."""
+    rng = np.random.default_rng(3)
+    x = np.append(rng.integers(0, 6, 200), 6)  # word 6 ends the text, word 7 is unknown
+    pairs, triples = Counter(zip(x[:-1], x[1:])), Counter(zip(x[:-2], x[1:-1], x[2:]))
+    number = {g: i for i, g in enumerate(pairs)}
+    n = np.bincount(x, minlength=8)
+    p = (n + 0.5) / (len(x) + 0.5 * 8)
+    size = np.where(np.arange(8) == 6, 0, n)  # nothing follows the end
+    two = tuple(np.array(c) for c in zip(*((u, v, k) for (u, v), k in pairs.items())))
+    three = tuple(np.array(c) for c in zip(*((number[g[:2]], number[g[1:]], k) for g, k in triples.items())))
+    a = lmscore.Automaton(p, size, two, three, priors=(2.0, 0.7))
+    for context in [[], *([u] for u in range(6)), *(list(g) for g in pairs if g[1] != 6)]:
+        assert math.isclose(sum(10 ** a.traverse([*context, w], len(context)) for w in range(8)), 1, rel_tol=1e-9)
+
+
+def test_op7_lmscore(spark, docs, tmp_path):
+    rows = [r for r in ROWS if r[0] != 7]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = lmscore.op7_lmscore(spark, str(tmp_path)).collect()
+    assert lm_matches(got, rows, lm_training(rows))
+    assert all(r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 == 1) for r in got)
 
 
 # --- embeddings
