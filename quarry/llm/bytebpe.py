@@ -6,16 +6,16 @@ bytes: the state holds where the current pieces begin and the rank of each
 neighbouring pair, a step merges the lowest-ranked pair, and ranks come from a
 literal map (an array of small maps, indexed by hash, since a lookup in a map is
 a scan). Ids are ranks; ``decode`` looks up each id's bytes in a literal array and
-concatenates them. ``encode`` gives the digest of the same bytes by another path:
-it takes and joins them in Arrow, where the ids of a text meet.
+concatenates them, also in Spark.
 
 Getting the ids back to the texts needs little traffic. A task numbers the
 distinct words of a block of texts and turns each text into numbers. Blocks send
 their words, packed by hash bucket, to where equal words of all blocks meet and
 are encoded; each block gets the ids of its own words back, packed, and meets
 its numbered texts again. Words and numbers are made in two passes over the
-input, which must give the same rows both times, as a table does. Blocks are bounded in words and pieces, and so is what
-a task holds of a bucket, as buckets grow in number with the shuffle partitions.
+input, which must give the same rows both times, as a table does. Blocks are bounded
+in words and pieces, and so is what a task holds of a bucket, as buckets grow in
+number with the shuffle partitions.
 
 Bytes travel through SQL strings as the characters of the same numbers (Latin-1).
 Words of more than LONGEST bytes, for which a fold over arrays would take time
@@ -328,14 +328,13 @@ def _encoded_words(packed: DataFrame, path: str) -> DataFrame:
     return met.select("blocks", "places", "long", ids.alias("ids")).mapInArrow(give_back, SCHEMA)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit; null unless ``with_ids``),
-    ids_sha256, decoded_sha256 for each row of ``docs`` (doc_id, text); the digests are those of the
-    decimal ids joined by commas and of the bytes that the ids decode to."""
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids, ids_sha256 (of the decimal ids joined by commas) for each row of ``docs`` (doc_id, text)."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * partitions
     texts = _numbered(docs, pattern, buckets, True)
     answers = _encoded_words(_numbered(docs, pattern, buckets, False).select("block", "bucket", "data"), path)
-    schema = "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
+    schema = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string"
 
     def finish(table: pa.Table) -> pa.Table:
         data, sizes = table.column("data"), table.column("sizes")
@@ -345,42 +344,40 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> D
         size = np.frombuffer(sizes[own[0]].as_py(), "<u8").astype(np.int64)
         numbers = loosened(data[own[0]].as_py())
         answers = [unpack_ids(data[i].as_py()) for i in range(table.num_rows) if i != own[0]]
-        order = np.argsort(np.concatenate([a[0] for a in answers])) if answers else np.zeros(0, np.int64)
-        counts, values = gathered(*(np.concatenate([a[k] for a in answers]) for k in (1, 2)), order) if answers else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        nothing = np.zeros(0, np.int64)
+        order = np.argsort(np.concatenate([a[0] for a in answers])) if answers else nothing
+        counts, values = gathered(*(np.concatenate([a[k] for a in answers]) for k in (1, 2)), order) if answers else (nothing, nothing)
         del answers
         if len(numbers) and numbers.max() >= len(counts):
             raise ValueError("a block's words are missing: the input changes between passes; write it as a table first")
-        decimal, binary = _spelled(path)
-        out: list[list] = [[], [], [], []]
+        decimal = _spelled(path)
         stops = np.append(0, np.cumsum(size))
+        found: list[np.ndarray] = []
+        digests: list[str] = []
+        ends = [np.zeros(1, np.int64)]
         first = 0
         while first < len(size):
             last = max(first + 1, int(np.searchsorted(stops, stops[first] + ROW_PIECES, side="right")) - 1)
             own_counts, ids = gathered(counts, values, numbers[stops[first] : stops[last]])
             stop = np.append(0, np.cumsum(own_counts))[stops[first : last + 1] - stops[first]]
-            spelled, decoded = (_joined(t, ids, stop) for t in (decimal, binary))
-            for k, (a, z) in enumerate(zip(stop[:-1].tolist(), stop[1:].tolist(), strict=True)):
-                out[0].append(z - a)
-                out[1].append(ids[a:z].astype("<u4").tobytes() if with_ids else None)
-                out[2].append(hashlib.sha256(spelled[k][:-1]).hexdigest())
-                out[3].append(hashlib.sha256(decoded[k]).hexdigest())
+            digests += [hashlib.sha256(spelled[:-1]).hexdigest() for spelled in _joined(decimal, ids, stop)]
+            found.append(ids.astype(np.int32))
+            ends.append(ends[-1][-1] + stop[1:])
             first = last
         trim()
-        types = [pa.int64(), pa.binary(), pa.string(), pa.string()]
+        stop = np.concatenate(ends)
+        lists = pa.ListArray.from_arrays(pa.array(stop, pa.int32()), pa.array(np.concatenate([nothing.astype(np.int32), *found])))
         doc_ids = table.column("doc_ids").combine_chunks().slice(own[0], 1).flatten()
-        return pa.table([doc_ids, *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=[f.split()[0] for f in schema.split(", ")])
+        return pa.table([doc_ids, pa.array(np.diff(stop)), lists, pa.array(digests, pa.string())], names=[f.split()[0] for f in schema.split(", ")])
 
-    return texts.unionByName(answers).groupBy("block").applyInArrow(finish, schema)
+    # blocks are large: more partitions than usual, so that few of them share one by chance
+    return texts.unionByName(answers).repartition(4 * partitions, "block").groupBy("block").applyInArrow(finish, schema)
 
 
 @lru_cache(2)
-def _spelled(path: str) -> tuple[pa.Array, pa.Array]:
-    """For each id its decimal with a comma after it, and its bytes."""
-    ranks = ranks_of(path)
-    binary: list[bytes | None] = [None] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        binary[rank] = token
-    return pa.array([f"{i},".encode() for i in range(len(binary))], pa.binary()), pa.array(binary, pa.binary())
+def _spelled(path: str) -> pa.Array:
+    """For each id its decimal with a comma after it."""
+    return pa.array([f"{i},".encode() for i in range(max(ranks_of(path).values()) + 1)], pa.binary())
 
 
 def _joined(table: pa.Array, ids: np.ndarray, stop: np.ndarray) -> list[memoryview]:
@@ -400,5 +397,6 @@ def op5_bytebpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
-    return found.drop("ids")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = decode(encode(docs, path, public_tokenizers.PATTERN), path)
+    return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

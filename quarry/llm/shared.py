@@ -65,10 +65,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has the columns u and v of one orderable type. Alternating large
     and small stars need a number of rounds that grows with the logarithm of
-    the nodes. Each round aggregates minima before it joins them back, so a
-    node with very many neighbours is combined on the map side and its join
-    can be split. Self-loops and repeated edges are harmless; nodes without
-    an edge to another node don't appear.
+    the nodes. Each round writes the minima of nodes before it joins them back: with
+    tables on both sides Spark can split the join of a node that has very many
+    neighbours. Self-loops and repeated edges are harmless; nodes without an edge to
+    another node don't appear.
     """
 
     def sign(e: DataFrame) -> tuple:
@@ -81,18 +81,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = sign(current)
     while True:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, "u")
-            .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.*")
-            .where("u <> v")
-            .distinct()
-        )
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(large, "edges")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
+        moved = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(least, "u").select(F.explode(moved).alias("e")).select("e.*").where("u <> v").distinct()
         current = written(small, "edges")
         after = sign(current)
         if after == before:

@@ -15,16 +15,36 @@ lengths and the full Hamming distance are tested inside the join, which returns
 each pair once: under the first segment whose chain holds.
 
 Equal fingerprints count as one node, so groups of exact copies never meet in
-a join. Cases: a null or blank text has fingerprint 0 and is linked like any
-other; repeated rows share fingerprint and component; the component of
-documents whose ids are all null is null; an empty table gives an empty result;
-other columns are ignored.
+a join.
+
+``near_duplicates`` links by those bits alone. ``one_of_each`` links by similarity:
+the Jaccard similarity of the sets of shingles, counted over the whole sets, of at
+least ``least``. One fingerprint cannot propose such pairs: at a similarity of 0.8 two
+bits in thirteen differ, and 4 of 64 are kept by one pair in thirty. So beside the
+fingerprint of the whole set, whose pairs within ``max_bits`` come from the ring,
+each set has ``SAMPLES`` fingerprints of min-wise samples: of the shingles that come
+first in ``DRAWN`` orders of all hashes. Those of two sets of similarity s are equal
+with probability s^DRAWN at least, so a pair meets with probability
+1 - (1 - s^5)^16 at least: 0.998 at 0.8, more above. Such prints are asked for equality
+only, a ring of one segment.
+
+Texts that meet form a bucket, and are not paired off at once. First each text is
+counted against one of its bucket, another one for each print; then, in buckets
+that the links found so far leave apart, all texts of different components. So the
+components are those of all pairs that meet, and a large group of near copies costs a
+few pairs for each text. In a bucket of texts that meet but aren't linked the counting
+grows with the square, inside a join that returns links only.
+
+Cases: a null or blank text has fingerprint 0 and the one shingle 0, and is linked like
+any other; a text of fewer words than a shingle is one shingle; repeated rows share
+fingerprint and component; the component of documents whose ids are all null is null;
+of rows that share id and text ``one_of_each`` keeps the one whose other columns, as
+JSON, come first; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,54 +55,96 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import connected_components, trim, written
 
 BITS, SEED = 64, 42
-#: Shingles hashed before their bits are added up.
-BLOCK = 1 << 15
-#: Texts taken from a batch at a time.
-ROWS = 500
+#: Shingles hashed before their bits are added up, and put in all orders at a time; texts taken from a batch at a time.
+BLOCK, ORDERED, ROWS = 1 << 15, 1 << 10, 500
+#: Fingerprints of min-wise samples, and shingles drawn for each; an odd number has no ties.
+SAMPLES, DRAWN = 16, 5
+LEAST = 0.8
 
+_rng = np.random.default_rng(SEED)
+_FLIP = _rng.integers(0, 1 << 64, SAMPLES * DRAWN, dtype=np.uint64)
+_TIMES = _rng.integers(0, 1 << 64, SAMPLES * DRAWN, dtype=np.uint64) | np.uint64(1)
 
-def fingerprint(text: str | None, words_per_shingle: int, prints: int = 1) -> list[int]:
-    """The 64-bit fingerprints, unsigned: the first of the shingles' hashes, each further one of those hashes mixed anew."""
+
+def _hashes(text: str | None, words_per_shingle: int) -> Iterator[np.ndarray]:
+    """The hashes of the text's shingles in turn, a block at a time; none for a blank text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return [0] * prints
-    shingles = max(1, len(words) - words_per_shingle + 1)
-    counts = np.zeros((prints, BITS), np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, shingles, BLOCK):
+    for at in range(0, max(1, len(words) - words_per_shingle + 1) if words else 0, BLOCK):
         part = words[at : at + BLOCK + words_per_shingle - 1]
         runs = [part] if len(part) < words_per_shingle else zip(*(part[i:] for i in range(words_per_shingle)), strict=False)
-        hashes = np.fromiter((digest(b" ".join(x), SEED) for x in runs), np.uint64)
-        for k in range(prints):
-            bits = np.unpackbits((_mixed(hashes, k) if k else hashes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts[k] += bits.sum(0, dtype=np.int64)
-    return np.packbits(counts * 2 > shingles, axis=1, bitorder="little").view("<u8").ravel().tolist()
+        yield np.fromiter((digest(b" ".join(x), SEED) for x in runs), np.uint64)
+
+
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    """How often each bit is set: over the last axis but one of (..., n) hashes."""
+    return np.unpackbits(hashes[..., None].view(np.uint8), axis=-1, bitorder="little").sum(-2, dtype=np.int64)
+
+
+def fingerprint(text: str | None, words_per_shingle: int) -> int:
+    """The 64-bit fingerprint, unsigned."""
+    counts, shingles = np.zeros(BITS, np.int64), 0
+    for hashes in _hashes(text, words_per_shingle):
+        counts += _set_bits(hashes)
+        shingles += len(hashes)
+    return int(np.packbits(counts * 2 > shingles, bitorder="little").view("<u8")[0])
+
 
+def shingle_set(text: str | None, words_per_shingle: int) -> np.ndarray:
+    """The sorted distinct hashes of the text's shingles; a blank text has the hash 0."""
+    found = list(_hashes(text, words_per_shingle))
+    return np.unique(np.concatenate(found)) if found else np.zeros(1, np.uint64)
 
-def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Another hash of the same shingles: a fixed bijection of 64 bits for each k."""
-    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
+def prints_of_set(own: np.ndarray) -> np.ndarray:
+    """The fingerprint of the whole set, then those of its min-wise samples."""
+    counts = np.zeros(BITS, np.int64)
+    best, first = np.full(SAMPLES * DRAWN, np.iinfo(np.uint64).max), np.zeros(SAMPLES * DRAWN, np.uint64)
+    for at in range(0, len(own), ORDERED):
+        part = own[at : at + ORDERED]
+        counts += _set_bits(part)
+        order = (part[:, None] ^ _FLIP) * _TIMES
+        place = order.argmin(0)
+        rank = np.take_along_axis(order, place[None], 0)[0]
+        better = rank <= best
+        best[better], first[better] = rank[better], part[place[better]]
+    samples = _set_bits(first.reshape(SAMPLES, DRAWN)) * 2 > DRAWN
+    bits = np.concatenate([(counts * 2 > len(own))[None], samples])
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = 5, prints: int = 1) -> DataFrame:
-    """doc_id, text_key (a hash of the text) and fps, the ``prints`` fingerprints as signed longs, for each row of ``docs``."""
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key (a hash of the text), text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+
+
+def _by_text(rows: DataFrame, kept: list[str], make, schema: str) -> DataFrame:
+    """The columns ``kept`` of ``rows``, then those that ``make`` gives as arrays for a list of texts."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 b = batch.slice(at, ROWS)
-                rows = [fingerprint(t, words_per_shingle, prints) for t in b.column("text").to_pylist()]
-                flat = np.array(rows, np.uint64).view(np.int64).ravel()
-                fps = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * prints, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), fps], ["doc_id", "text_key", "fps"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *make(b.column("text").to_pylist())], names)
             trim()
 
-    text = F.col("text").cast("string")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
-    return keyed.mapInArrow(run, "doc_id long, text_key long, fps array<long>")
+    return rows.select(*kept, "text").mapInArrow(run, schema)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    stops = np.append(0, np.cumsum([len(x) for x in arrays])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(stops), pa.array(np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in arrays)])))
+
+
+def fingerprints(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long, for each row of ``docs``."""
+
+    def make(texts: list) -> list[pa.Array]:
+        return [pa.array(np.array([fingerprint(t, words_per_shingle) for t in texts], np.uint64).view(np.int64))]
+
+    return _by_text(_keyed(docs), ["doc_id"], make, "doc_id long, fp long")
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
@@ -135,46 +197,101 @@ def near_pairs(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
     return probe.alias("a").join(build.alias("b"), F.expr(on)).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
-def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, max_bits: int = 4, prints: int = 1) -> DataFrame:
-    """doc_id, text_key, fps, component_id, first for each row of ``docs``.
+def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, max_bits: int = 4) -> DataFrame:
+    """doc_id, fp, component_id for each row of ``docs``.
 
     component_id is the smallest doc_id that links reach, the document's own
-    included; a link is a difference of at most ``max_bits`` bits in any of the
-    ``prints`` fingerprints. first tells the row of
-    the component that has the smallest (doc_id, text_key).
+    included; a link is a difference of at most ``max_bits`` bits.
     """
-    prints_of = written(fingerprints(docs, words_per_shingle, prints), "fingerprints")
-    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    kinds = written(prints_of.groupBy("fps").agg(F.min("doc_id").alias("low"), F.min(own).alias("first")), "fingerprint-classes")
-    # a fingerprint value is a node (seed, value, 0...), a text's list of values a node one longer; texts hang on values
-    hub = lambda k, fp: F.array(F.lit(k).cast("long"), fp, *[F.lit(0).cast("long")] * (prints - 1))
-    node = F.concat(F.array(F.lit(-1).cast("long")), F.col("fps"))
-    edges = []
-    for k in range(prints):
-        values = kinds.groupBy(F.col("fps")[k].alias("fp")).agg(F.count(F.lit(1)).alias("n"))
-        pairs = written(near_pairs(values.select("fp"), max_bits), "pairs")
-        edges.append(pairs.select(hub(k, F.col("u")).alias("u"), hub(k, F.col("v")).alias("v")))
-        touched = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).union(values.where("n > 1").select("fp")).distinct()
-        edges.append(kinds.withColumn("fp", F.col("fps")[k]).join(touched, "fp", "left_semi").select(node.alias("u"), hub(k, F.col("fp")).alias("v")))
-    reached = connected_components(reduce(DataFrame.union, edges))
-    named = written(
-        kinds.withColumn("node", node).join(reached, "node", "left").select("fps", "low", "first", F.coalesce("component", "node").alias("component")),
-        "classes",
-    )
-    smallest = named.groupBy("component").agg(F.min("low").alias("component_id"), F.min("first").alias("chosen"))
-    classes = named.join(smallest, "component").select("fps", "component_id", "chosen")
-    return prints_of.join(classes, "fps").select("doc_id", "text_key", "fps", "component_id", (own == F.col("chosen")).alias("first"))
+    prints = written(fingerprints(docs, words_per_shingle), "fingerprints")
+    kinds = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprint-classes")
+    reached = connected_components(written(near_pairs(kinds.select("fp"), max_bits), "pairs"))
+    named = kinds.join(reached.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = written(named, "classes")
+    # tables on both sides of a join, so that Spark can split a hot component or fingerprint
+    smallest = written(named.groupBy("component").agg(F.min("low").alias("component_id")), "components")
+    classes = written(named.join(smallest, "component").select("fp", "component_id"), "classes")
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def _signed(docs: DataFrame, words_per_shingle: int) -> DataFrame:
+    """doc_id, text_key, node (a hash of the set), fps (its fingerprints) of each row."""
+
+    def make(texts: list) -> list[pa.Array]:
+        sets = [shingle_set(t, words_per_shingle) for t in texts]
+        nodes = [xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), SEED) for own in sets]
+        return [pa.array(np.array(nodes, np.uint64).view(np.int64)), _lists([prints_of_set(own) for own in sets])]
+
+    return _by_text(_keyed(docs), ["doc_id", "text_key"], make, "doc_id long, text_key long, node long, fps array<long>")
+
 
+def _sets(rows: DataFrame, words_per_shingle: int) -> DataFrame:
+    """node, own: the set as signed longs."""
+    return _by_text(rows, ["node"], lambda texts: [_lists([shingle_set(t, words_per_shingle) for t in texts])], "node long, own array<long>")
 
-def one_of_each(docs: DataFrame, words_per_shingle: int = 5, max_bits: int = 4, prints: int = 8) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (and of equal rows one)."""
-    found = near_duplicates(docs, words_per_shingle, max_bits, prints)
-    same = {"no_id__": F.col("doc_id").isNull(), "doc__": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "text_key__": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
-    chosen = found.where("first").withColumns({**same, "text_key__": F.col("text_key")}).select(*same).distinct()
-    return docs.withColumns(same).join(chosen, list(same), "left_semi").dropDuplicates(list(same)).select(*docs.columns)
+
+def _similar(a: str, z: str, least: float) -> str:
+    """The condition that two arrays, as sets, reach a Jaccard similarity; sets of very different sizes never do."""
+    both = f"size(array_intersect({a}, {z}))"
+    sizes = f"least(size({a}), size({z})) >= {least}D * greatest(size({a}), size({z}))"
+    return f"CASE WHEN {sizes} THEN {both} >= {least}D * (size({a}) + size({z}) - {both}) ELSE false END"
+
+
+def _buckets(kinds: DataFrame, max_bits: int) -> DataFrame:
+    """key, node, pivot: the nodes that meet, and one of them for each."""
+    near = written(near_pairs(kinds.select(F.col("fps")[0].alias("fp")).distinct(), max_bits), "pairs")
+    equal = kinds.select("node", F.posexplode("fps").alias("k", "fp")).select("node", F.xxhash64("k", "fp").alias("key"))
+    beside = near.select(F.xxhash64(F.lit(-1), "u", "v").alias("key"), F.explode(F.array("u", "v")).alias("fp"))
+    beside = beside.join(kinds.select("node", F.col("fps")[0].alias("fp")), "fp").select("node", "key")
+    met = equal.union(beside)
+    pivot = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node")).alias("p"))
+    pivot = written(pivot.where("n > 1").select("key", F.col("p.node").alias("pivot")), "pivots")
+    return written(met.join(pivot, "key").select("key", "node", "pivot"), "buckets")
+
+
+def similar_links(signed: DataFrame, docs: DataFrame, words_per_shingle: int, max_bits: int, least: float) -> DataFrame:
+    """u, v: enough of the links between nodes that meet for their components."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    kinds = written(signed.groupBy("node").agg(first, F.first("fps").alias("fps")), "kinds")
+    buckets = _buckets(kinds, max_bits)
+    named = buckets.select("node").distinct().join(kinds.select("node", "first.*"), "node")
+    id_or_0 = F.coalesce("doc_id", F.lit(0))
+    text = _keyed(docs).withColumns({"doc__": id_or_0, "no_id": F.col("doc_id").isNull()}).drop("doc_id")
+    rows = text.join(named.withColumn("doc__", id_or_0).drop("doc_id"), ["no_id", "doc__", "text_key"]).dropDuplicates(["node"])
+    sets = written(_sets(rows, words_per_shingle), "sets")
+    ordered = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
+    stars = buckets.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).select(*ordered).distinct()
+    sides = [sets.select(F.col("node").alias(n), F.col("own").alias(s)) for n, s in (("u", "a"), ("v", "z"))]
+    found = written(written(stars, "stars").join(sides[0], "u").join(sides[1], "v").where(_similar("a", "z", least)).select("u", "v"), "links")
+    reached = connected_components(found)
+    parts = buckets.select("key", "node").join(reached, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    apart = parts.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    parts = written(parts.join(apart, "key").join(sets, "node"), "parts")
+    # counted inside the join, so that pairs which are no links are never rows
+    near = f"a.key = b.key AND a.part < b.part AND {_similar('a.own', 'b.own', least)}"
+    rest = parts.alias("a").join(parts.alias("b"), F.expr(near)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    return found.union(written(rest.select(*ordered), "links"))
+
+
+def one_of_each(docs: DataFrame, words_per_shingle: int = 5, max_bits: int = 4, least: float = LEAST) -> DataFrame:
+    """``docs`` with one row of each component of similar texts: that of the smallest doc_id."""
+    signed = written(_signed(docs, words_per_shingle), "signed")
+    reached = connected_components(similar_links(signed, docs, words_per_shingle, max_bits, least))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    first = signed.groupBy("node").agg(F.min(own).alias("first")).join(reached, "node", "left")
+    first = first.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("f"))
+    same = {
+        "no_id__": F.col("doc_id").isNull(),
+        "doc__": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+        "text_key__": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))),
+    }
+    chosen = first.select(F.col("f.no_id").alias("no_id__"), F.coalesce("f.doc_id", F.lit(0)).alias("doc__"), F.col("f.text_key").alias("text_key__"))
+    row = F.struct(*docs.columns)
+    once = F.min_by(row, F.to_json(row)).alias("row__")
+    return docs.withColumns(same).join(chosen, list(same), "left_semi").groupBy(*same).agg(once).select("row__.*")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_duplicates(docs, words_per_shingle=4, max_bits=4)
-    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

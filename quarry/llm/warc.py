@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.shared import forget_on_exit, new_path
+from quarry.llm.shared import forget_on_exit, new_path, written
 
 MAGIC = b"\x1f\x8b\x08"
 URN = "urn:page:"
@@ -92,6 +92,8 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 100) ->
         .where("n > 1")
         .select("digest", "first")
     )
+    # a table, so that both sides of the join are plain shuffles and Spark can split a hot digest
+    shared = written(shared, "digests")
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     packed = keyed.withColumn("page", page).withColumn("member", _responses("page", "url", "html", "digest")).drop("html")
     to = F.when(F.col("page_id") > F.col("first"), F.col("first").cast("string"))

@@ -14,6 +14,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quarry.llm import bytebpe, embeddup, flac, langid, licenses, linededup, lmscore, packing, simhash, warc
+from quarry.llm.shared import connected_components
 
 P = pytest.importorskip("public_tokenizers")
 TEXT = "the quick brown fox jumps over the lazy dog near the river bank while birds sing in tall trees all day long"
@@ -73,11 +74,48 @@ def test_simhash(docs, none, clashing):
     fps = [brute_fingerprint(r[1], 4) for r in ROWS]
     want = Counter((r[0], f, c) for r, f, c in zip(ROWS, fps, brute_components(fps, [r[0] for r in ROWS], 4), strict=True))
     for df in (docs, clashing):
-        got = Counter((r.doc_id, r.fps[0] % (1 << 64), r.component_id) for r in simhash.near_duplicates(df, 4, 4).collect())
+        got = Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(df, 4, 4).collect())
         assert got == want
     assert simhash.near_duplicates(none).count() == 0
-    assert simhash.fingerprint(None, 4) == [0] and simhash.fingerprint(" \n", 4, 3) == [0, 0, 0]
-    assert all(simhash.fingerprint(r[1], 4, 3)[0] == f for r, f in zip(ROWS, fps, strict=True))
+    assert simhash.fingerprint(None, 4) == simhash.fingerprint(" \n", 4) == 0
+
+
+def test_op1_simhash(spark, docs, tmp_path):
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    fps = [brute_fingerprint(r[1], 4) for r in ROWS]
+    want = Counter((r[0], f"{f:016x}", c) for r, f, c in zip(ROWS, fps, brute_components(fps, [r[0] for r in ROWS], 4), strict=True))
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.op1_simhash(spark, str(tmp_path)).collect()) == want
+
+
+def test_fingerprint_of_many_blocks(monkeypatch):
+    text = LONG + " the end"
+    want = brute_fingerprint(text, 4)
+    for block in (1 << 15, 1000, 7):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert simhash.fingerprint(text, 4) == want
+    whole = simhash.prints_of_set(simhash.shingle_set(text, 5)).tolist()
+    monkeypatch.setattr(simhash, "ORDERED", 13)
+    assert simhash.prints_of_set(simhash.shingle_set(text, 5)).tolist() == whole
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9, 0.95])
+def test_similar_sets_meet(similarity):
+    """Sets of a similarity share a sampled fingerprint as often as the docstring says."""
+    rng, met, n = np.random.default_rng(11), 0, 200
+    for _ in range(n):
+        size = int(rng.integers(20, 400))
+        own = rng.integers(0, 1 << 63, 2 * size, dtype=np.uint64)
+        apart = max(1, round(size * (1 - similarity) / (1 + similarity)))  # shingles that only one of the two has
+        a, z = (simhash.prints_of_set(np.unique(x)) for x in (own[:size], own[apart : size + apart]))
+        met += bool((a[1:] == z[1:]).any())
+    assert met >= 0.97 * n
+
+
+def test_hub_of_components(spark):
+    """A node with very many neighbours: one component, and the join of a hub can be split."""
+    edges = spark.range(1, 20_001).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v")).union(spark.range(20_001, 20_010).selectExpr("id", "id + 1"))
+    got = Counter(r.component for r in connected_components(edges).collect())
+    assert got == {0: 20_001, 20_001: 10}
 
 
 def test_near_pairs_are_complete(spark):
@@ -95,11 +133,19 @@ def test_near_pairs_are_complete(spark):
         assert len(found) == len(set(found)) and set(found) == want
 
 
-def test_one_of_each(docs, none):
-    kept = simhash.one_of_each(docs, 5, 4, 3)
+def test_one_of_each(docs, none, clashing):
+    kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns and simhash.one_of_each(none).count() == 0
     ids = sorted((r.doc_id for r in kept.collect() if r.doc_id is not None))
     assert 1 in ids and 2 not in ids and 3 not in ids and ids.count(8) <= 1 and ids.count(4) == 1 and 5 not in ids and 6 not in ids
+    assert simhash.one_of_each(clashing).count() == kept.count()
+
+
+def test_one_of_each_of_tied_rows(spark):
+    rows = [(1, TEXT, "en", "b", 5), (1, TEXT, "en", "a", 5), (1, TEXT, None, "c", 5), (2, TEXT, "aa", "a", 5)]
+    for n in (1, 3):
+        got = simhash.one_of_each(spark.createDataFrame(rows, SCHEMA).repartition(n)).collect()
+        assert [tuple(r) for r in got] == [rows[1]]
 
 
 # --- language ID
@@ -218,16 +264,21 @@ def test_licenses(spark, none):
 # --- byte-level BPE
 
 
-def test_bytebpe(spark, docs, none):
+def test_bytebpe(spark, docs, none, clashing, tmp_path):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = bytebpe.ranks_of(path)
     said = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = Counter((r.doc_id, r.n_tokens, r.ids, r.ids_sha256, r.decoded_sha256) for r in bytebpe.encode(docs, path, P.PATTERN).collect())
-    want = Counter()
+    got = Counter((r.doc_id, r.n_tokens, tuple(r.ids), r.ids_sha256) for r in bytebpe.encode(clashing, path, P.PATTERN).collect())
+    want, full = Counter(), Counter()
     for doc_id, text, *_ in ROWS:
         ids = said.encode_ordinary(text or "")
-        want[(doc_id, len(ids), np.array(ids, "<u4").tobytes(), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())] += 1
+        digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        want[(doc_id, len(ids), tuple(ids), digest)] += 1
+        full[(doc_id, len(ids), digest, hashlib.sha256((text or "").encode()).hexdigest())] += 1
     assert got == want and bytebpe.encode(none, path, P.PATTERN).count() == 0
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = bytebpe.op5_bytebpe(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in found) == full
     back = bytebpe.decode(spark.createDataFrame([(said.encode_ordinary("naïve 日本 x"),), ([],)], "ids array<int>"), path).collect()
     assert [bytes(r.decoded).decode() for r in back] == ["naïve 日本 x", ""]
     for word in (b"a" * 3000, "é".encode() * 700, b"hello"):

@@ -46,11 +46,11 @@ def test_stages(spark, folder):
     want = Counter((d, t) for d, _, _, t in brute_lines(kept, 10))
     assert Counter((r.doc_id, r.text) for r in after[1].collect()) == want and all(r.n_chars == len(r.text) for r in after[1].collect())
     texts = sorted(want)
-    prints = [simhash.fingerprint(t, 5, 6) for _, t in texts]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t in texts]
     part = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            if any((a ^ b).bit_count() <= 4 for a, b in zip(prints[i], prints[j], strict=True)):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 part = [part[j] if p == part[i] else p for p in part]
     assert sorted((r.doc_id, r.text) for r in after[2].collect()) == sorted(min(t for t, q in zip(texts, part, strict=True) if q == p) for p in set(part))
     encode = packing.encoder(P.path("byte_bpe_50k.json"), P.PATTERN)
