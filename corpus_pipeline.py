@@ -2,7 +2,10 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents.
+one's docs. All but the last return the columns of documents; columns beside doc_id,
+text and lang are carried along, whatever their names. A null or empty text has no
+letters and goes in the first stage; a null doc_id counts as an id of its own, after
+all others; repeated rows end as one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import langid, linededup, nearcopies, packing
+from quarry.llm import langid, linededup, packing, simhash
 from quarry.llm.shared import written
 
 #: Share of a document's letters that its main language needs.
@@ -32,8 +35,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: a link is an exact Jaccard similarity of at least 0.8
-    of the sets of five-word shingles; pairs come from MinHash bands, which find 0.998 of those at 0.8."""
-    return nearcopies.one_of_each(docs, words_per_shingle=5, least=0.8)
+    of the sets of five-word shingles; SimHash fingerprints propose 0.998 of the pairs at 0.8, more above."""
+    return simhash.one_of_each(docs, words_per_shingle=5, max_bits=4, least=0.8)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +44,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed_documents(docs)
 
 
-STAGES = [("language ID", language), ("line dedup", lines), ("near-dedup", near_copies), ("packing", packed)]
+STAGES = [("language ID", language), ("line dedup", lines), ("SimHash near-dedup", near_copies), ("packing", packed)]
 
 #: SQL has neither the language model nor the tokenizer; tests compare with a brute-force version.
 ORACLE_SQL = None
