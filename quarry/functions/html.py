@@ -1,4 +1,8 @@
-"""HTML and URL functions as column expressions."""
+"""HTML and URL functions as column expressions.
+
+The patterns of titles, comments, scripts, tags and links are fixed values: they say
+what counts as text and as a link.
+"""
 
 from __future__ import annotations
 

@@ -6,6 +6,8 @@ serve as an oracle, are kept beside it.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,18 +100,6 @@ def stem_sql(source: str, raw: str = "raw", name: str = "term") -> str:
 
 def stem(word: str) -> str:
     """The stem of one word, for query strings on the driver."""
-    w = word
-    if w.endswith("sses"):
-        w = w.removesuffix("es")
-    elif w.endswith("ies"):
-        w = w.removesuffix("es")
-    elif len(w) > 3 and w[-1] == "s" and w[-2] not in "su":
-        w = w[:-1]
-    for suffix, longer in (("ing", 5), ("ed", 4)):
-        if w.endswith(suffix) and len(w) > longer:
-            w = w.removesuffix(suffix)
-            if len(w) >= 3 and w[-2:] == 2 * w[-1] and w[-1] not in "aeiou":
-                w = w[:-1]
-            break
-    w = w[:-1] if len(w) > 3 and w.endswith("e") else w
-    return w[:-2] if len(w) > 5 and w.endswith("ly") else w
+    for pattern, replacement in PATTERNS:
+        word = re.sub(pattern, replacement.replace("$", "\\"), word)
+    return word

@@ -14,7 +14,7 @@ SCHEMAS = {
     "docs": "doc_id long, url string, title string, body string, body_len int, title_len int",
     "links": "src long, dst long",
     "terms": "term string, df long, surface string",
-    "postings": "term string, doc_id long, field string, tf int, positions array<int>",
+    "postings": "term string, doc_id long, field string, tf int, len int, positions array<int>",
     "pagerank": "doc_id long, pagerank double",
     "query_log": "ts timestamp, query string, hits int",
 }
@@ -45,16 +45,16 @@ def docs_of(pages: DataFrame) -> DataFrame:
 
 
 def tokens_of(docs: DataFrame) -> DataFrame:
-    """doc_id, field, raw, term, pos: kept tokens with their stems; positions count kept tokens, each field from 0."""
-    both = F.array(F.struct(F.lit("title").alias("field"), kept_tokens(F.col("title")).alias("tokens")), F.struct(F.lit("body").alias("field"), kept_tokens(F.col("body")).alias("tokens")))
-    rows = docs.select("doc_id", F.inline(both)).select("doc_id", "field", F.posexplode("tokens").alias("pos", "raw"))
-    return with_stem(rows).select("doc_id", "field", "raw", "term", "pos")
+    """doc_id, field, raw, term, pos, len: kept tokens with their stems; positions count kept tokens, each field from 0 to its length."""
+    both = F.array(*(F.struct(F.lit(f).alias("field"), kept_tokens(F.col(f)).alias("tokens")) for f in ("title", "body")))
+    rows = docs.select("doc_id", F.inline(both)).select("doc_id", "field", F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "raw"))
+    return with_stem(rows).select("doc_id", "field", "raw", "term", "pos", "len")
 
 
 def postings_of(tokens: DataFrame) -> DataFrame:
-    """term, doc_id, field, tf, positions (ascending)."""
-    grouped = tokens.groupBy("term", "doc_id", "field").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    return grouped.select("term", "doc_id", "field", F.size("positions").alias("tf"), "positions")
+    """term, doc_id, field, tf, len (tokens of the field), positions (ascending)."""
+    grouped = tokens.groupBy("term", "doc_id", "field").agg(F.max("len").alias("len"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    return grouped.select("term", "doc_id", "field", F.size("positions").alias("tf"), "len", "positions")
 
 
 def terms_of(tokens: DataFrame) -> DataFrame:

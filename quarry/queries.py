@@ -2,7 +2,7 @@
 
 Documents get a title (their first line's first 80 characters), a url (by
 language and id) and, for blending, a rank that their id gives. Links are those
-of nations that trade, and arithmetic ones between pages. Conversations of users
+of customers to their suppliers, and arithmetic ones between pages. Conversations of users
 serve as a query log.
 """
 
@@ -18,7 +18,6 @@ from quarry.operators import analytics, crawl, pagerank, ranking, spelling
 from quarry.operators import index as tables
 from quarry.operators.snippets import LEAD, LENGTH
 from quarry.plans import search
-from quarry.plans.query import parse, parsed_rows
 
 HOST = html.HOST
 #: The batch that the retrieval queries run.
@@ -34,6 +33,7 @@ SEARCHES = {
     9: "the",
     10: "-license",
 }
+WEB_SEARCHES = {11: "track OR license", 12: "und der site:de"}
 MISSPELT = ["licens", "lisence", "publc", "releasd", "apach", "versoin", "generl", "zzzzzzzz", "the", "x"]
 PAGERANK_ROUNDS = 20
 
@@ -74,7 +74,7 @@ def six(column: str | Column) -> Column:
 
 
 def tokens(spark, d):
-    return tables.tokens_of(docs(spark, d))
+    return tables.tokens_of(docs(spark, d)).drop("len")
 
 
 def stems(spark, d):
@@ -115,8 +115,7 @@ def _batch(spark, d, *ids):
 
 def _candidates(*ids):
     def run(spark, d):
-        b = _batch(spark, d, *ids)
-        return b.candidates(b.matched_clauses()).select("qid", "doc_id")
+        return _batch(spark, d, *ids).scores().select("qid", "doc_id")
 
     return run
 
@@ -130,22 +129,20 @@ def _bm25_of(field):
     def run(spark, d):
         ix = index(spark, d)
         n, body, title = ix.stats()
-        length, mean = (F.col("body_len"), body) if field == "body" else (F.col("title_len"), title)
-        rows = ix.postings.where((F.col("field") == field) & F.col("term").isin("licens", "tion", "und")).join(ix.terms, "term").join(ix.docs, "doc_id")
-        score = ranking.idf(n, F.col("df")) * ranking.bm25(F.col("tf"), length, mean)
+        rows = ix.postings.where(F.col("field") == field).join(ix.terms, "term")
+        score = ranking.idf(n, F.col("df")) * ranking.bm25(F.col("tf"), F.col("len"), body if field == "body" else title)
         return rows.select("term", "doc_id", six(score * (ranking.TITLE_WEIGHT if field == "title" else 1.0)).alias("score"))
 
     return run
 
 
 def bm25_scores(spark, d):
-    b = _batch(spark, d)
-    return b.text_scores(b.candidates(b.matched_clauses())).select("qid", "doc_id", six("bm25").alias("bm25"))
+    return _batch(spark, d).scores().select("qid", "doc_id", six("bm25").alias("bm25"))
 
 
 def blend(spark, d):
     b = _batch(spark, d)
-    return b.blended(b.text_scores(b.candidates(b.matched_clauses()))).select("qid", "doc_id", six("score").alias("score"))
+    return b.blended(b.scores()).select("qid", "doc_id", six("score").alias("score"))
 
 
 def search_topn(spark, d):
@@ -160,6 +157,11 @@ def snippets(spark, d):
     return search.search_batch(index(spark, d), {1: SEARCHES[1], 2: SEARCHES[2], 3: SEARCHES[3]}, 5).select("qid", F.col("rank").cast("long").alias("rank"), "id", "url", "title", "snippet")
 
 
+def search_hits(spark, d):
+    """What a user sees of the hits: names and scores of four decimals."""
+    return search.search_batch(index(spark, d), SEARCHES).select("qid", F.col("rank").cast("long").alias("rank"), "id", "score")
+
+
 def query_parse(spark, d):
     """The parser's relation; a literal table, as parsing happens on the driver."""
     return ranking.Batch(index(spark, d), SEARCHES).parsed.select("qid", F.col("grp").cast("long").alias("grp"), F.col("clause").cast("long").alias("clause"), "phrase", "neg", F.col("place").cast("long").alias("place"), "term")
@@ -227,9 +229,14 @@ def html_hrefs(spark, d):
 
 
 def html_outlinks(spark, d):
+    """Links of the page's html, and of a tail with a link of each kind, since few of the pages' own resolve."""
     i = F.col("page_id").cast("string")
-    made = F.concat(F.lit('<a href="p'), i, F.lit('">1</a> <A class="x" HREF=\'A'), i, F.lit("'>2</A> <a href=\"#top\">3</a> <a href=\""), F.lit(f"{HOST}/x/p"), i, F.lit(f'/">4</a> <a href="{HOST}/y/b7?z=1">5</a> <a href="'), F.col("url"), F.lit('">6</a>'))
-    return table(spark, d, "pages").select("page_id", F.array_join(html.outlinks_of(made), " ").alias("outlinks"))
+    tail = F.concat(
+        F.lit('<a href="p'), i, F.lit('">1</a> <A class="x" HREF=\'A'), i, F.lit("'>2</A> <a href=\"#top\">3</a> <a href=\""),
+        F.lit(f"{HOST}/x/p"), i, F.lit(f'/">4</a> <a href="{HOST}/y/b7?z=1">5</a> <a href="'), F.col("url"), F.lit('">6</a>'),
+    )
+    page = F.concat(F.coalesce("html", F.lit("")), tail)
+    return table(spark, d, "pages").select("page_id", F.array_join(html.outlinks_of(page), " ").alias("outlinks"))
 
 
 def robots_filter(spark, d):
@@ -271,33 +278,39 @@ def crawl_budget(spark, d):
     return rows.select("id", "fetch_ord", F.col("round").cast("long").alias("round"), F.col("depth").cast("long").alias("depth"), F.array_join("outlinks", " ").alias("outlinks"))
 
 
+def index_links(spark, d):
+    return tables.links_of(_manifest(spark, d))
+
+
 def web_search(spark, d):
     """Crawled pages, extracted, indexed and searched."""
     pages = table(spark, d, "pages")
     made = pages.select(F.col("page_id").alias("doc_id"), F.concat(F.lit(f"{HOST}/"), html.topic_of(F.col("url")), F.lit("/"), html.page_name(F.col("page_id"))).alias("url"), html.title_of(F.col("html")).alias("title"), html.text_of(F.col("html")).alias("body"))
-    return search.search_batch(tables.build(made), {1: "track OR license", 2: "und der site:de"}, 5).select("qid", F.col("rank").cast("long").alias("rank"), "id", "url", "title")
+    return search.search_batch(tables.build(made), WEB_SEARCHES, 5).select("qid", F.col("rank").cast("long").alias("rank"), "id", "url", "title")
 
 
 # --- links ---------------------------------------------------------------------------------------
 
 
 def _trade(spark, d) -> DataFrame:
-    """A link for each line item, from the customer's nation to the supplier's."""
-    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("src"))
-    suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("dst"))
-    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
-    return items.join(orders, "o_orderkey").join(customers, "o_custkey").join(suppliers, "l_suppkey").where("src % 5 <> 0").select("src", "dst")
+    """A link for each line item, from the customer (twice its key) to the supplier (twice its key, and one)."""
+    orders = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey").cast("long") * 2).alias("src"))
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_suppkey").cast("long") * 2 + 1).alias("dst"))
+    return items.join(orders, "o_orderkey").select("src", "dst")
 
 
 def link_degrees(spark, d):
     return analytics.link_degrees(_trade(spark, d))
 
 
-def _page_rank(**how):
+def _page_rank(tol=0.0, rounds=PAGERANK_ROUNDS, **how):
+    """Ranks of customers and suppliers; suppliers, and customers without orders, have no links out."""
+
     def run(spark, d):
-        nodes = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"))
-        return pagerank.compute(nodes, _trade(spark, d), tol=0.0, max_iter=PAGERANK_ROUNDS, **how).select("doc_id", six("pagerank").alias("pagerank"))
+        customers = table(spark, d, "customer").select((F.col("c_custkey").cast("long") * 2).alias("doc_id"))
+        nodes = customers.union(table(spark, d, "supplier").select(F.col("s_suppkey").cast("long") * 2 + 1))
+        found = pagerank.compute(nodes, _trade(spark, d), tol=tol, max_iter=rounds, **how)
+        return found.select("doc_id", F.round("pagerank", 10).alias("pagerank"))
 
     return run
 
@@ -315,6 +328,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "html_outlinks": html_outlinks, "robots_filter": robots_filter, "topic_of": topic_of, "page_names": page_names,
     "bfs_depth": bfs_depth, "default_seeds": default_seeds, "crawl_budget": crawl_budget, "web_search": web_search,
     "link_degrees": link_degrees, "pagerank": _page_rank(), "pagerank_by_joins": _page_rank(in_memory=0),
+    "pagerank_tol": _page_rank(tol=0.01, rounds=100), "search_hits": search_hits, "index_links": index_links,
 }
 
 
@@ -376,10 +390,58 @@ def _bm25_sql(length: str, mean: str) -> str:
     return f"(tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * {length} / (SELECT {mean} FROM stats))))"
 
 
+#: What the parser must make of SEARCHES, written by hand: qid, group, clause, phrase, excluded, terms of the clause, place, term.
+PARSED = [
+    (1, 0, 0, False, False, 1, 0, "licens"),
+    (2, 0, 0, True, False, 3, 0, "general"),
+    (2, 0, 0, True, False, 3, 1, "public"),
+    (2, 0, 0, True, False, 3, 2, "licens"),
+    (3, 0, 0, False, False, 1, 0, "licens"),
+    (3, 0, 1, False, False, 1, 0, "apach"),
+    (3, 1, 2, False, False, 1, 0, "releas"),
+    (3, 1, 3, False, False, 1, 0, "mit"),
+    (4, 0, 0, False, False, 1, 0, "licens"),
+    (4, -1, 1, False, True, 1, 0, "apach"),
+    (5, 0, 0, False, False, 1, 0, "licens"),
+    (6, 0, 0, True, False, 2, 0, "mit"),
+    (6, 0, 0, True, False, 2, 1, "licens"),
+    (6, 1, 1, True, False, 2, 0, "apach"),
+    (6, 1, 1, True, False, 2, 1, "licens"),
+    (6, -1, 2, True, True, 1, 0, "version"),
+    (7, 0, 0, False, False, 1, 0, "tion"),
+    (7, 0, 1, False, False, 1, 0, "und"),
+    (7, 1, 2, False, False, 1, 0, "que"),
+    (7, 1, 3, False, False, 1, 0, "les"),
+    (8, 0, 0, False, False, 1, 0, "licens"),
+    (8, 0, 1, False, False, 1, 0, "licens"),
+    (8, 0, 2, False, False, 1, 0, "releas"),
+    (10, -1, 0, False, True, 1, 0, "licens"),
+    (11, 0, 0, False, False, 1, 0, "track"),
+    (11, 1, 1, False, False, 1, 0, "licens"),
+    (12, 0, 0, False, False, 1, 0, "und"),
+    (12, 0, 1, False, False, 1, 0, "der"),
+]
+#: Site and words to mark, longest first, by qid; as written by hand.
+ASKED = {
+    1: (None, ["license"]),
+    2: (None, ["general", "license", "public"]),
+    3: (None, ["licensed", "released", "apache", "mit"]),
+    4: (None, ["license"]),
+    5: ("en", ["license"]),
+    6: (None, ["license", "apache", "mit", "the"]),
+    7: ("de", ["tion", "les", "que", "und"]),
+    8: (None, ["released", "license"]),
+    9: (None, []),
+    10: (None, []),
+    11: (None, ["license", "track"]),
+    12: ("de", ["der", "und"]),
+}
+
+
 def _search_sql(searches: dict[int, str], docs_sql: str = _DOCS, rank: str = "ranks") -> str:
-    asked = [(qid, q, parse(q).site or None, sorted(set(parse(q).surface_terms()), key=lambda w: (-len(w), w))) for qid, q in searches.items()]
+    asked = [(qid, q, *ASKED[qid]) for qid, q in searches.items()]
     return f"""{_index_sql(docs_sql)},
-parsed(qid, grp, clause, phrase, neg, n_terms, place, term) AS (VALUES {_values(parsed_rows(searches))}),
+parsed(qid, grp, clause, phrase, neg, n_terms, place, term) AS (VALUES {_values(r for r in PARSED if r[0] in searches)}),
 asked(qid, query, site, marks) AS (VALUES {_values(asked)}),
 matched AS (
   SELECT qid, grp, clause, phrase, neg, doc_id FROM parsed JOIN postings USING (term) WHERE NOT phrase
@@ -424,9 +486,29 @@ _TEXT = _FOLD.format(t=_ENTITIES.format(t=r"regexp_replace(regexp_replace(regexp
 _PATH = r"coalesce(nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/')"
 _TOPIC = f"split_part(regexp_replace({_PATH}, '^/+', ''), '/', 1)"
 _TRADE = """trade AS (
-  SELECT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE c_nationkey % 5 <> 0
+  SELECT o_custkey::BIGINT * 2 AS src, l_suppkey::BIGINT * 2 + 1 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+)"""
+_HREF = r"""'(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']+)["'']'"""
+_TAIL = (
+    """'<a href="p' || page_id || '">1</a> <A class="x" HREF=''A' || page_id || '''>2</A> <a href="#top">3</a> <a href="'"""
+    f"""|| '{HOST}/x/p' || page_id || '/">4</a> <a href="{HOST}/y/b7?z=1">5</a> <a href="' || url || '">6</a>'"""
+)
+_ID = "lower(left({x}, 1)) || CASE WHEN length(ltrim(substr({x}, 2), '0')) >= 4 THEN ltrim(substr({x}, 2), '0') ELSE lpad(ltrim(substr({x}, 2), '0'), 4, '0') END"
+_LAST = "string_split(regexp_replace(" + _PATH.replace("url", "trim(h)") + ", '/+$', ''), '/')[-1]"
+_RESOLVED = f"""CASE WHEN regexp_full_match(trim(h), '[a-zA-Z][0-9]+') THEN {_ID.format(x="trim(h)")}
+     WHEN starts_with(trim(h), '{HOST}') AND regexp_full_match({_LAST}, '[a-zA-Z][0-9]+') THEN {_ID.format(x=_LAST)} END"""
+#: Nodes and links as one step: all loose nodes' rank goes to all nodes alike, so it is summed once a step.
+_WALK = _TRADE + """, edges AS MATERIALIZED (SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src) AS weight FROM trade GROUP BY src, dst),
+ids AS (SELECT c_custkey::BIGINT * 2 AS node FROM customer UNION ALL SELECT s_suppkey::BIGINT * 2 + 1 FROM supplier),
+nodes AS MATERIALIZED (SELECT node, node NOT IN (SELECT src FROM edges) AS loose, count(*) OVER () AS n FROM ids),
+walk(step, node, rank) AS (
+  SELECT 0, node, 1.0::DOUBLE / n FROM nodes
+  UNION ALL
+  SELECT w.step + 1, x.node, 0.85 * (coalesce(c.coming, 0) + coalesce(any_value(l.mass), 0) / x.n) + 0.15 / x.n
+  FROM (SELECT DISTINCT step FROM walk) w CROSS JOIN nodes x
+  LEFT JOIN (SELECT e.dst, sum(v.rank * e.weight) AS coming FROM walk v JOIN edges e ON e.src = v.node GROUP BY e.dst) c ON c.dst = x.node
+  CROSS JOIN (SELECT sum(CASE WHEN s.loose THEN v.rank END) AS mass FROM walk v JOIN nodes s ON s.node = v.node) l
+  WHERE w.step < {rounds} GROUP BY w.step, x.node, x.n, c.coming
 )"""
 _EDGES = "edges AS (SELECT page_id AS src, unnest([(page_id * 7 + 3) % (SELECT count(*) FROM pages), (page_id * 3 + 1) % (SELECT count(*) FROM pages)]) AS dst FROM pages)"
 _WEB = f"""docs AS (
@@ -474,7 +556,7 @@ def _bm25_query(field: str) -> str:
     return _with(
         _index_sql(_DOCS),
         f"SELECT p.term, p.doc_id, round({weight}{_IDF} * {_bm25_sql(field + '_len', field)}, 6) AS score FROM postings p JOIN terms t ON t.term = p.term "
-        f"JOIN lengths l ON l.doc_id = p.doc_id WHERE p.field = '{field}' AND p.term IN ('licens', 'tion', 'und')",
+        f"JOIN lengths l ON l.doc_id = p.doc_id WHERE p.field = '{field}'",
     )
 
 
@@ -488,7 +570,7 @@ ORACLE_SQL: dict[str, str] = {
     "surface_forms": _with(_I, "SELECT term, surface FROM terms"),
     "doc_lengths": _with(_I, "SELECT doc_id, body_len::BIGINT AS body_len, title_len::BIGINT AS title_len FROM lengths"),
     "corpus_stats": _with(_I, "SELECT n::BIGINT AS n_docs, round(body, 6) AS avg_body, round(title, 6) AS avg_title FROM stats"),
-    "query_parse": f"SELECT qid::BIGINT AS qid, grp::BIGINT AS grp, clause::BIGINT AS clause, phrase, neg, place::BIGINT AS place, term FROM (VALUES {_values(parsed_rows(SEARCHES))}) t(qid, grp, clause, phrase, neg, n_terms, place, term)",
+    "query_parse": f"SELECT qid::BIGINT AS qid, grp::BIGINT AS grp, clause::BIGINT AS clause, phrase, neg, place::BIGINT AS place, term FROM (VALUES {_values(r for r in PARSED if r[0] in SEARCHES)}) t(qid, grp, clause, phrase, neg, n_terms, place, term)",
     "term_search_and": _cand_sql(1, 8),
     "phrase_search": _cand_sql(2),
     "or_groups": _cand_sql(3, 6, 7),
@@ -517,27 +599,25 @@ ORACLE_SQL: dict[str, str] = {
     "mrr": _with(f"{_search_sql(_some(*JUDGED))}, {_RELEVANCE}", "SELECT round(avg(p_at_k), 6) AS p_at_5, round(avg(rr), 6) AS mrr, count(*)::BIGINT AS n FROM told"),
     "html_title": f"SELECT page_id, {_TITLE} AS title FROM pages",
     "html_text": f"SELECT page_id, {_TEXT} AS text FROM pages",
-    "html_hrefs": r"""SELECT page_id, array_to_string(regexp_extract_all(coalesce(html, ''), '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']+)["'']', 1), ' ') AS hrefs FROM pages""",
-    "html_outlinks": "SELECT page_id, 'p' || CASE WHEN page_id < 1000 THEN lpad(page_id::VARCHAR, 4, '0') ELSE page_id::VARCHAR END || ' a' || CASE WHEN page_id < 1000 THEN lpad(page_id::VARCHAR, 4, '0') ELSE page_id::VARCHAR END || ' b0007' AS outlinks FROM pages",
+    "html_hrefs": f"SELECT page_id, array_to_string(regexp_extract_all(coalesce(html, ''), {_HREF}, 1), ' ') AS hrefs FROM pages",
+    "html_outlinks": f"""WITH found AS (SELECT page_id, regexp_extract_all(coalesce(html, '') || {_TAIL}, {_HREF}, 1) AS hrefs FROM pages),
+named AS (SELECT page_id, list_filter(list_transform(hrefs, lambda h: {_RESOLVED}), lambda x: x IS NOT NULL) AS ids FROM found)
+SELECT page_id, array_to_string(list_filter(ids, lambda x, i: list_position(ids, x) = i), ' ') AS outlinks FROM named""",
     "robots_filter": f"SELECT page_id, NOT (starts_with({_PATH}, '/de/') OR starts_with({_PATH}, '/fr/1')) AS allowed FROM pages",
     "topic_of": f"SELECT page_id, {_TOPIC} AS topic FROM pages",
     "page_names": "SELECT page_id, format('p{:04d}', page_id) AS name, page_id AS number FROM pages",
     "bfs_depth": _with(f"{_EDGES}, reach(node, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, r.depth + 1 FROM reach r JOIN edges e ON e.src = r.node WHERE r.depth < 40)", "SELECT node, min(depth)::BIGINT AS depth FROM reach GROUP BY node", True),
     "default_seeds": f"SELECT topic, format('p{{:04d}}', min(page_id)) AS id FROM (SELECT page_id, {_TOPIC} AS topic FROM pages) WHERE topic NOT IN ('', 'admin') GROUP BY topic",
-    "web_search": _with(_search_sql({1: "track OR license", 2: "und der site:de"}, _WEB, "(SELECT doc_id, 0.0 AS pagerank FROM docs)"), "SELECT r.qid::BIGINT AS qid, r.rank::BIGINT AS rank, format('p{:04d}', r.doc_id) AS id, d.url, d.title FROM ranked r JOIN docs d ON d.doc_id = r.doc_id WHERE r.rank <= 5"),
+    "web_search": _with(_search_sql(WEB_SEARCHES, _WEB, "(SELECT doc_id, 0.0 AS pagerank FROM docs)"), "SELECT r.qid::BIGINT AS qid, r.rank::BIGINT AS rank, format('p{:04d}', r.doc_id) AS id, d.url, d.title FROM ranked r JOIN docs d ON d.doc_id = r.doc_id WHERE r.rank <= 5"),
     "link_degrees": _with(_TRADE, "SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM trade UNION ALL SELECT dst, 0, 1 FROM trade) GROUP BY node"),
-    "pagerank": _with(
-        f"""{_TRADE}, edges AS MATERIALIZED (SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src) AS weight FROM trade GROUP BY src, dst),
-nodes AS (SELECT n_nationkey::BIGINT AS node, n_nationkey NOT IN (SELECT src FROM edges) AS loose, count(*) OVER () AS n FROM nation),
-walk(step, node, rank) AS (
-  SELECT 0, node, 1.0::DOUBLE / n FROM nodes
-  UNION ALL
-  SELECT w.step + 1, x.node, 0.85 * (coalesce(sum(w.rank * e.weight), 0) + sum(CASE WHEN s.loose THEN w.rank ELSE 0 END) / x.n) + 0.15 / x.n
-  FROM walk w JOIN nodes s ON s.node = w.node CROSS JOIN nodes x LEFT JOIN edges e ON e.src = w.node AND e.dst = x.node
-  WHERE w.step < {PAGERANK_ROUNDS} GROUP BY w.step, x.node, x.n
-)""",
-        f"SELECT node AS doc_id, round(rank / sum(rank) OVER (), 6) AS pagerank FROM walk WHERE step = {PAGERANK_ROUNDS}",
+    "pagerank": _with(_WALK.format(rounds=PAGERANK_ROUNDS), f"SELECT node AS doc_id, round(rank / sum(rank) OVER (), 10) AS pagerank FROM walk WHERE step = {PAGERANK_ROUNDS}", True),
+    # the first step that moves ranks by less than the tolerance
+    "pagerank_tol": _with(
+        _WALK.format(rounds=30) + """, moved AS (SELECT step FROM walk JOIN (SELECT step + 1 AS step, node, rank AS before FROM walk) USING (step, node) GROUP BY step HAVING sum(abs(rank - before)) < 0.01)""",
+        "SELECT node AS doc_id, round(rank / sum(rank) OVER (), 10) AS pagerank FROM walk WHERE step = (SELECT min(step) FROM moved)",
         True,
     ),
+    "search_hits": _with(_search_sql(SEARCHES), "SELECT qid::BIGINT AS qid, rank::BIGINT AS rank, format('p{:04d}', doc_id) AS id, round_even(score, 4)::DOUBLE AS score FROM ranked WHERE rank <= 10"),
+    "index_links": _with(_EDGES, "SELECT src, dst FROM (SELECT DISTINCT src, dst FROM edges) JOIN pages ON page_id = dst"),
 }
 ORACLE_SQL["pagerank_by_joins"] = ORACLE_SQL["pagerank"]

@@ -14,16 +14,16 @@ from quarry.functions.html import HOST
 
 #: Topic, its words, and the rare phrase of its spotlight page.
 TOPICS = [
-    ("python", "decorator generator module class iterator closure lambda tuple import debugger", "cython memoryview buffers"),
-    ("cooking", "sourdough skillet roast simmer knead whisk saffron oven marinade pastry", "sourdough hydration schedule"),
-    ("space", "orbit galaxy telescope nebula comet asteroid rocket lander eclipse pulsar", "black hole horizon"),
-    ("basketball", "dribble rebound layup zone screen guard center timeout fastbreak jumper", "fadeaway paint defense"),
-    ("gardening", "compost mulch seedling trellis pruning perennial soil greenhouse herb bulb", "hugelkultur raised bed"),
-    ("jazz", "bebop swing chord solo trumpet quartet rhythm improvise standard vibraphone", "bebop dominant scales"),
-    ("hiking", "trail summit tent backpack ridge compass switchback boots campsite map", "ultralight base weight"),
-    ("retro-gaming", "console cartridge joystick sprite arcade emulator pixel shooter platformer score", "scanline phosphor glow"),
-    ("coffee", "espresso grinder roast crema filter kettle latte bloom portafilter barista", "washed anaerobic gesha"),
-    ("cycling", "derailleur saddle sprint peloton cassette pedal wheel climb cadence helmet", "tubeless gravel setup"),
+    ("sailing", "mainsail keel rudder harbour tide anchor spinnaker halyard tiller mooring", "storm jib reefing"),
+    ("beekeeping", "hive queen brood nectar smoker swarm pollen drone beeswax apiary", "varroa mite treatment"),
+    ("chess", "opening gambit bishop endgame castling fianchetto tempo pawn stalemate knight", "poisoned pawn variation"),
+    ("pottery", "clay kiln glaze slip wheel bisque porcelain throwing handle stoneware", "ash glaze crackle"),
+    ("geology", "basalt strata fault sediment quartz erosion magma fossil granite mineral", "columnar jointing basalt"),
+    ("knitting", "yarn needle stitch cable gauge ribbing sleeve cardigan purl pattern", "fair isle yoke"),
+    ("theatre", "stage rehearsal curtain prompter costume monologue lighting audience director prop", "fourth wall aside"),
+    ("railways", "locomotive signal gauge tunnel viaduct carriage platform freight timetable siding", "rack railway gradient"),
+    ("birding", "warbler plumage binoculars migration nest heron falcon songbird hide roost", "murmuration dusk count"),
+    ("typography", "serif kerning glyph baseline ligature typeface margin italic leading ampersand", "optical margin alignment"),
 ]
 TITLES = ["Getting to know the {a}", "{a} in practice", "Notes on {a} and {b}", "The {a} handbook", "How {a} changes {b}", "Ten facts about the {a}"]
 SENTENCES = [

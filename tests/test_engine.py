@@ -74,7 +74,7 @@ def test_search(index, query, want):
 
 def test_phrase_raises_the_score(index):
     b = ranking.Batch(index, {1: "hydration", 2: '"hydration"', 3: "hydration hydration"})
-    got = {r.qid: r.bm25 for r in b.text_scores(b.candidates(b.matched_clauses())).collect()}
+    got = {r.qid: r.bm25 for r in b.scores().collect()}
     assert math.isclose(got[2], 1.5 * got[1]) and math.isclose(got[3], 2 * got[1])
 
 
