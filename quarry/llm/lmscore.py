@@ -53,7 +53,7 @@ START = 1
 PRIORS = (500.0, 1.0)
 CODE_BITS = 56
 #: Tokens of a block; tokens of the texts that share an automaton in memory; codes that meet in a bucket, on average.
-BLOCK_TOKENS, RUN_TOKENS, BUCKET_CODES = 1 << 20, 1 << 16, 1 << 20
+BLOCK_TOKENS, RUN_TOKENS, BUCKET_CODES = 1 << 20, 1 << 17, 1 << 20
 #: Different words whose hashes a task remembers.
 REMEMBERED = 400_000
 
@@ -157,9 +157,9 @@ def coded_blocks(docs: DataFrame, trains: Column) -> DataFrame:
 class Block:
     """A block's tokens and codes.
 
-    x numbers each token's word; hashes is by word; own tells tokens that aren't context;
-    codes[k] has the sorted distinct codes of order k + 1, at[k] which of them ends at
-    each token (-1: none).
+    x numbers each token's word, hashes is by word, parts says of each text's part what
+    BLOCKS says, stops where parts begin and end; own tells tokens that aren't context,
+    learns those that train; by_token[k] is the code of the k + 1 tokens that end there.
     """
 
     def __init__(self, row: dict):
@@ -179,10 +179,10 @@ class Block:
         three[2:] = mixed(two[1:-1], h[2:])
         self.by_token = [h, two >> shift, three >> shift]
 
-    def order(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The sorted distinct codes of order k + 1, and where the tokens are that end one."""
+    def order(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sorted distinct codes of order k + 1, which of them the tokens end that end one, and where these are."""
         ends = np.flatnonzero(self.place >= k)
-        return np.unique(self.by_token[k][ends]), ends
+        return *np.unique(self.by_token[k][ends], return_inverse=True), ends
 
     def sent(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The sorted distinct codes of order k + 1 and how often each occurs in training texts."""
@@ -264,50 +264,66 @@ def _added_up(ngrams: DataFrame) -> DataFrame:
     return ngrams.groupBy("bucket").applyInArrow(meet, "block long, bucket int, n array<binary>, total long, distinct_words long")
 
 
+class Words:
+    """A block's words as states and as unigram arcs: ``p`` has each one's probability, ``size`` how often training has it as a context."""
+
+    def __init__(self, p: np.ndarray, size: np.ndarray, prior: float = PRIORS[0]):
+        self.p, self.size, self.prior = p, size, prior
+        self.weight = np.log10(p).tolist()
+        # a word that training doesn't hold leads to the state without context
+        self.to = np.where(size > 0, 1 + np.arange(len(p)), 0).tolist()
+        self.back = np.log10(prior / (size + prior)).tolist()
+
+
 class Automaton:
-    """States are 0 (no context), 1 + v (a word), 1 + words + k (the k-th pair).
+    """States are 0 (no context), 1 + w (a word), 1 + words + k (the k-th pair).
 
-    ``p`` has each word's unigram probability, ``size`` how often training has it as a
-    context. ``pairs`` (first word, second word, count) and ``triples`` (number of the pair
-    of its first two words, number of the pair of its last two, count) are those that
-    training holds.
+    ``pairs`` (first word, second word, count) and ``triples`` (number of the pair of the
+    first two words, number of the pair of the last two, count) are those that training
+    holds. Arc k is that of the k-th pair, from its first word's state; arc pairs + k that
+    of the k-th triple, from its first pair's state. An arc leads to the pair's state of
+    its last two words; a pair's failure arc to its second word's state.
     """
 
-    def __init__(self, p: np.ndarray, size: np.ndarray, pairs: tuple, triples: tuple, priors: tuple[float, float] = PRIORS):
-        base = self.base = len(p)
+    def __init__(self, words: Words, pairs: tuple, triples: tuple, prior: float = PRIORS[1]):
         (u, v, n2), (head, tail, n3) = pairs, triples
-        one, two = priors
-        lower = (n2 + one * p[v]) / (size[u] + one)
-        upper = (n3 + two * lower[tail]) / (n2[head] + two)
-        keys = np.concatenate([(1 + u) * base + v, (1 + base + head) * base + v[tail]])
-        self.arc = dict(zip(keys.tolist(), range(len(keys)), strict=True))
-        self.to = np.concatenate([1 + base + np.arange(len(u)), 1 + base + tail]).tolist()
+        lower = (n2 + words.prior * words.p[v]) / (words.size[u] + words.prior)
+        upper = (n3 + prior * lower[tail]) / (n2[head] + prior)
+        self.words, self.first_pair = words, 1 + len(words.p)
         self.weight = np.log10(np.concatenate([lower, upper])).tolist()
-        # unigram arcs leave state 0 for every word
-        self.word_to = np.where(size > 0, 1 + np.arange(base), 0).tolist()
-        self.word_weight = np.log10(p).tolist()
-        self.fail = np.concatenate([np.zeros(1 + base, np.int64), 1 + v]).tolist()
-        self.back = np.concatenate([[0.0], np.log10(one / (size + one)), np.log10(two / (n2 + two))]).tolist()
-
-    def traverse(self, tokens: list[int], context: int) -> float:
-        """The log10 probability of the tokens after the first ``context`` of them."""
-        arc_of, to, weight, fail, back, base = self.arc.get, self.to, self.weight, self.fail, self.back, self.base
+        self.to = np.concatenate([self.first_pair + np.arange(len(u)), self.first_pair + tail]).tolist()
+        self.fail = (1 + v).tolist()
+        self.back = np.log10(prior / (n2 + prior)).tolist()
+
+    def traverse(self, tokens: list[int], from_word: list[int], from_pair: list[int], context: int) -> float:
+        """The log10 probability of the tokens after the first ``context`` of them.
+
+        from_word and from_pair have for each token the arc that it takes from the state
+        of the word before it, and of the two words before it; -1 where there is none.
+        """
+        words, first_pair = self.words, self.first_pair
+        weight, to, fail, back, word_back = self.weight, self.to, self.fail, self.back, words.back
         state, total = 0, 0.0
         for i, w in enumerate(tokens):
             if i == context:
                 total = 0.0
-            arc = arc_of(state * base + w) if state else None
-            while arc is None and state:
-                total += back[state]
-                state = fail[state]
-                if state:
-                    arc = arc_of(state * base + w)
-            if arc is None:
-                total += self.word_weight[w]
-                state = self.word_to[w]
-            else:
-                total += weight[arc]
-                state = to[arc]
+            if state >= first_pair:
+                arc = from_pair[i]
+                if arc >= 0:
+                    total += weight[arc]
+                    state = to[arc]
+                    continue
+                total += back[state - first_pair]
+                state = fail[state - first_pair]
+            if state:
+                arc = from_word[i]
+                if arc >= 0:
+                    total += weight[arc]
+                    state = to[arc]
+                    continue
+                total += word_back[state - 1]
+            total += words.weight[w]
+            state = words.to[w]
         return total
 
 
@@ -320,35 +336,43 @@ def scored(block: Block, counts: list[np.ndarray], total: int, distinct: int) ->
     size = n1.copy()
     # as many starts as ends
     size[block.hashes == np.uint64(START)] = n1[block.hashes == np.uint64(xxhash.xxh64_intdigest(END, 42))]
+    # which of the block's n-grams ends at each token, -1 for none, and its count in training
     at, n = [], []
     for k in (1, 2):
-        codes, ends = block.order(k)
+        codes, which, ends = block.order(k)
         if len(codes) != len(counts[k]):
             raise ValueError("a block's counts are not those of its n-grams")
-        which = np.full(len(x), -1)
-        which[ends] = np.searchsorted(codes, block.by_token[k][ends])
+        place = np.full(len(x), -1, np.int32)
+        place[ends] = which
         seen = np.zeros(len(x), np.int64)
-        seen[ends] = counts[k][which[ends]]
-        at.append(which)
+        seen[ends] = counts[k][which]
+        at.append(place)
         n.append(seen)
-    logs, own = np.log10(p), block.own
+    own = block.own
     running = lambda values: np.diff(np.append(0, np.cumsum(values))[stops])
-    base = np.add.reduceat(np.where(own, logs[x], 0.0), stops[:-1]) if len(x) else np.zeros(0)
+    base = np.add.reduceat(np.where(own, np.log10(p)[x], 0.0), stops[:-1]) if len(x) else np.zeros(0)
     scores = np.zeros(len(stops) - 1)
+    words = Words(p, size)
     first = 0
     while first < len(scores):
         last = max(first + 1, int(np.searchsorted(stops, stops[first] + RUN_TOKENS, side="right")) - 1)
         lo, hi = stops[first], stops[last]
-        two = lo + np.flatnonzero(n[0][lo:hi] > 0)
-        known, place, pair = np.unique(at[0][two], return_index=True, return_inverse=True)
-        pair_at = np.full(hi - lo, -1)
-        pair_at[two - lo] = pair
-        three = lo + np.flatnonzero(n[1][lo:hi] > 0)
-        three = three[np.unique(at[1][three], return_index=True)[1]]
-        place = two[place]
-        automaton = Automaton(p, size, (x[place - 1], x[place], n[0][place]), (pair_at[three - 1 - lo], pair_at[three - lo], n[1][three]))
+
+        def arcs(k: int, lo: int = lo, hi: int = hi) -> tuple[np.ndarray, np.ndarray]:
+            """Where the run's different n-grams that training holds end first, and the number of that n-gram at each token."""
+            ends = lo + np.flatnonzero(n[k][lo:hi] > 0)
+            _, place, number = np.unique(at[k][ends], return_index=True, return_inverse=True)
+            by_token = np.full(hi - lo, -1)
+            by_token[ends - lo] = number
+            return ends[place], by_token
+
+        two, pair_at = arcs(0)
+        three, triple_at = arcs(1)
+        automaton = Automaton(words, (x[two - 1], x[two], n[0][two]), (pair_at[three - 1 - lo], pair_at[three - lo], n[1][three]))
+        triple_at[triple_at >= 0] += len(two)
         for i in range(first, last):
-            scores[i] = automaton.traverse(x[stops[i] : stops[i + 1]].tolist(), int(block.parts[i, 1]))
+            part = slice(stops[i] - lo, stops[i + 1] - lo)
+            scores[i] = automaton.traverse(x[lo:hi][part].tolist(), pair_at[part].tolist(), triple_at[part].tolist(), int(block.parts[i, 1]))
         first = last
     return running(own), running(own & (n1[x] > 0)), base, scores
 
