@@ -36,7 +36,8 @@ def index_stats(index: Index) -> DataFrame:
     terms = index.terms.agg(F.count(F.lit(1)).alias("n"))
     if not index.terms.head(1):
         terms = index.docs.select(F.explode(raw_tokens(F.col("body"))).alias("t")).agg(F.count_distinct("t").alias("n"))
-    return pages.join(terms.select(F.col("n").alias("vocabulary")))
+    # one row each
+    return pages.crossJoin(terms.select(F.col("n").alias("vocabulary")))
 
 
 def disk_bytes(spark, path: str) -> int:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quarry.functions import html
 from quarry.storage import cut
 
+#: Rounds whose found pages are kept in tables of their own before they are merged into one.
+SEEN_TABLES = 8
+
 
 def default_seeds(manifest: DataFrame) -> DataFrame:
     """topic, id: the first page by ``ord`` of each topic but the empty one and admin, by topic."""
@@ -22,13 +27,32 @@ def links_of(manifest: DataFrame, disallowed: tuple[str, ...] = html.DISALLOWED)
     return manifest.select("id", F.posexplode("outlinks").alias("place", "target")).join(target, "target").select("id", "target", "place", "allowed")
 
 
+def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``rows`` with their number, from 0, in the order of ``by``; sorted in as many tasks as there are ranges."""
+    ranges = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("range__", F.spark_partition_id()))
+    sizes = sorted((r.range__, r.n) for r in ranges.groupBy("range__").agg(F.count(F.lit(1)).alias("n")).collect())
+    before, offsets = 0, []
+    for part, n in sizes:
+        offsets.append((part, before))
+        before += n
+    own = F.row_number().over(Window.partitionBy("range__").orderBy(*by)) - 1
+    offset = rows.sparkSession.createDataFrame(offsets, "range__ int, offset__ long")
+    return ranges.withColumn(name, own).join(F.broadcast(offset), "range__").withColumn(name, F.col(name) + F.col("offset__")).drop("range__", "offset__")
+
+
+def _key(child: int, topic: Column, turn: Column, place: Column) -> Column:
+    """Where a page waits: those of earlier rounds come first, then new ones by their page's turn and their place on it."""
+    return F.struct(F.lit(child).alias("child"), topic.alias("topic"), turn.cast("long").alias("turn"), place.cast("long").alias("place")).alias("key")
+
+
 def crawl(manifest: DataFrame, seeds: list[str] | None = None, max_pages: int | None = None, per_topic: int = 40, disallowed: tuple[str, ...] = html.DISALLOWED) -> tuple[DataFrame, dict]:
     """The pages in fetch order (id, fetch_ord, round, depth, outlinks that are known and allowed), and the crawl's figures.
 
     ``manifest``: id, url, ord, outlinks (in page order), and optionally
     present (false: the page's file is missing). In a round each topic gives
     its first ``per_topic`` waiting pages, topics in their order; the others
-    wait in front of newly found ones.
+    wait in front of newly found ones. A round writes two tables, its turns and
+    the pages that it finds; the fetch order of all rounds is numbered at the end.
     """
     spark = manifest.sparkSession
     own = manifest if "present" in manifest.columns else manifest.withColumn("present", F.lit(True))
@@ -37,47 +61,54 @@ def crawl(manifest: DataFrame, seeds: list[str] | None = None, max_pages: int |
     if seeds is None:
         seeds = [r.id for r in default_seeds(own).collect()]
     figures = {"fetched": 0, "rounds": 0, "skipped_robots": 0, "skipped_missing": 0, "politeness_ticks": 0, "per_round_max": 0, "seeds": list(seeds)}
-    asked = spark.createDataFrame([(s, i) for i, s in enumerate(seeds)], "id string, pos long").join(pages, "id")
-    figures["skipped_robots"] += asked.where("NOT allowed").count()
-    start = asked.groupBy("id").agg(F.min("pos").alias("pos"), F.first("topic").alias("topic"), F.first("allowed").alias("allowed"), F.first("present").alias("present"))
-    seen = cut(start.select("id"))
-    queue = cut(start.where("allowed").select("id", "topic", "present", "pos", F.lit(0).alias("depth")))
+    asked = cut(spark.createDataFrame([(s, i) for i, s in enumerate(seeds)], "id string, pos long").join(pages, "id"))
+    start = asked.groupBy("id").agg(F.min("pos").alias("pos"), *(F.first(c).alias(c) for c in ("topic", "allowed", "present")))
+    queue = start.where("allowed").select("id", "topic", "present", _key(0, F.lit(""), F.col("pos"), F.lit(0)), F.lit(0).alias("depth"))
+    seen, recent = start.select("id"), 0
     fetched = []
     left = max_pages
-    while (left is None or left > 0) and queue.head(1):
+    while left is None or left > 0:
+        turns = cut(queue.withColumn("turn", F.row_number().over(Window.partitionBy("topic").orderBy("key"))))
+        now = F.col("turn") <= per_topic
+        row = turns.agg(F.max("turn").alias("most"), F.count_if(now & F.col("present")).alias("n"), F.count_if(now & ~F.col("present")).alias("missing")).first()
+        if not row.most:
+            break
+        taken, n, missing = turns.where(now), row.n, row.missing
+        if left is not None and n > left:
+            # the budget ends within this round: with the last page that it still fetches
+            last = taken.where("present").orderBy("topic", "turn").limit(left).agg(F.max(F.struct("topic", "turn")).alias("last")).first().last
+            at = F.struct("topic", "turn") <= F.struct(F.lit(last.topic).alias("topic"), F.lit(last.turn).alias("turn"))
+            taken, n = taken.where(at), left
+            missing = taken.where("NOT present").count()
         figures["rounds"] += 1
-        turn = cut(queue.withColumn("turn", F.row_number().over(Window.partitionBy("topic").orderBy("pos"))))
-        taken = turn.where(F.col("turn") <= per_topic)
-        # fetch order within the round, which the budget bounds; a limit cuts it where enough present pages have been fetched
-        at = Window.orderBy("topic", "turn")
-        order = taken.withColumns({"place": F.row_number().over(at), "nth": F.sum(F.col("present").cast("int")).over(at.rowsBetween(Window.unboundedPreceding, 0))})
-        if left is not None:
-            order = order.where(F.col("nth") - F.col("present").cast("int") < left)
-        order = cut(order)
-        row = order.agg(F.count_if("present").alias("n"), F.count_if(~F.col("present")).alias("missing")).first()
-        most = taken.groupBy("topic").count().agg(F.max("count")).first()[0]
-        found = links.join(order.where("present").select("id", F.col("place").alias("page"), "depth"), "id")
-        figures["skipped_robots"] += found.where("NOT allowed").count()
-        figures["skipped_missing"] += row.missing
-        figures["per_round_max"] = max(figures["per_round_max"], most or 0)
-        fetched.append(order.where("present").select("id", (F.lit(figures["fetched"]) + F.col("nth") - 1).cast("long").alias("fetch_ord"), F.lit(figures["rounds"]).alias("round"), "depth"))
-        figures["fetched"] += row.n
-        fresh = found.where("allowed").groupBy("target").agg(F.min(F.struct("page", "place")).alias("first"), F.min_by("depth", F.struct("page", "place")).alias("depth"))
-        fresh = cut(fresh.withColumnRenamed("target", "id").join(seen, "id", "left_anti"))
-        seen = cut(seen.union(fresh.select("id")))
-        waiting = turn.where(F.col("turn") > per_topic).select("id", "topic", "present", F.struct(F.lit(0).alias("child"), F.col("topic").alias("a"), F.col("turn").cast("long").alias("b"), F.lit(0).cast("long").alias("c")).alias("key"), "depth")
-        children = fresh.join(pages, "id").select("id", "topic", "present", F.struct(F.lit(1).alias("child"), F.lit("").alias("a"), F.col("first.page").cast("long").alias("b"), F.col("first.place").cast("long").alias("c")).alias("key"), (F.col("depth") + 1).alias("depth"))
-        queue = cut(waiting.union(children).withColumnRenamed("key", "pos"))
+        figures["skipped_missing"] += missing
+        figures["per_round_max"] = max(figures["per_round_max"], min(row.most, per_topic))
+        figures["fetched"] += n
+        got = taken.where("present").select("id", F.lit(figures["rounds"]).alias("round"), "topic", "turn", "depth")
+        fetched.append(got)
         if left is not None:
-            left -= row.n
+            left -= n
+            if left <= 0:
+                break
+        found = links.where("allowed").join(got, "id")
+        first = F.struct("topic", "turn", "place")
+        fresh = found.groupBy("target").agg(F.min(first).alias("first"), F.min_by("depth", first).alias("depth")).withColumnRenamed("target", "id")
+        fresh = cut(fresh.join(seen, "id", "left_anti"))
+        recent += 1
+        seen = seen.union(fresh.select("id"))
+        if recent == SEEN_TABLES:
+            seen, recent = cut(seen), 0
+        waiting = turns.where(~now).select("id", "topic", "present", _key(0, F.col("topic"), F.col("turn"), F.lit(0)), "depth")
+        children = fresh.join(pages, "id").select("id", "topic", "present", _key(1, F.col("first.topic"), F.col("first.turn"), F.col("first.place")), (F.col("depth") + 1).alias("depth"))
+        queue = waiting.union(children)
     figures["politeness_ticks"] = figures["fetched"]
+    figures["skipped_robots"] = asked.where("NOT allowed").count()
     if not fetched:
         return spark.createDataFrame([], "id string, fetch_ord long, round int, depth int, outlinks array<string>"), figures
-    rows = fetched[0]
-    for more in fetched[1:]:
-        rows = rows.union(more)
+    order = cut(numbered(reduce(DataFrame.union, fetched), ["round", "topic", "turn"], "fetch_ord").select("id", F.col("fetch_ord").cast("long").alias("fetch_ord"), "round", "depth"))
+    figures["skipped_robots"] += links.where("NOT allowed").join(order, "id", "left_semi").count()
     kept = links.where("allowed").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "target"))), lambda x: x.target).alias("outlinks"))
-    return rows.join(kept, "id", "left").select("id", "fetch_ord", "round", "depth", F.coalesce("outlinks", F.array().cast("array<string>")).alias("outlinks")), figures
+    return order.join(kept, "id", "left").select("id", "fetch_ord", "round", "depth", F.coalesce("outlinks", F.array().cast("array<string>")).alias("outlinks")), figures
 
 
 def bfs_depths(edges: DataFrame, roots: DataFrame, max_depth: int = 1_000) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,26 +101,76 @@ def build(docs: DataFrame, links: DataFrame | None = None) -> Index:
     return Index(with_lengths(docs), links if links is not None else empty(spark, "links"), terms_of(tokens), postings_of(tokens), empty(spark, "pagerank"), empty(spark, "query_log"))
 
 
+#: The file that names the folder of the version that readers see.
+POINTER = "CURRENT"
+
+
+def _store(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder of the index's published version; ``path`` itself if none is published."""
+    where, system = _store(spark, f"{path}/{POINTER}")
+    if not system.exists(where):
+        return path
+    stream = system.open(where)
+    try:
+        return f"{path}/{bytes(stream.readAllBytes()).decode()}"
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, path: str, version: str) -> None:
+    """Makes ``version`` the one that readers see, by one rename; deletes those before the last one."""
+    before = current(spark, path)
+    draft, system = _store(spark, f"{path}/{POINTER}.{version}")
+    stream = system.create(draft, True)
+    stream.write(bytearray(version.encode()))
+    stream.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    overwrite[0] = hadoop.Options.Rename.OVERWRITE
+    final, _ = _store(spark, f"{path}/{POINTER}")
+    hadoop.FileContext.getFileContext(draft.toUri(), spark._jsc.hadoopConfiguration()).rename(system.makeQualified(draft), system.makeQualified(final), overwrite)
+    for found in system.listStatus(_store(spark, path)[0]):
+        name = found.getPath().getName()
+        if name.startswith("version-") and name not in (version, before.rpartition("/")[2]):
+            system.delete(found.getPath(), True)
+
+
 def write(index: Index, path: str, partitions: int | None = None) -> None:
-    """Overwrites the index's tables at ``path``; the query log there stays.
+    """Writes the index's tables as a new version and then publishes it at ``path``; the query log there stays.
 
-    Postings are range-partitioned and sorted by term, so a reader's filter on
-    terms skips row groups by their statistics.
+    A write that fails leaves what readers see as it was. The version before stays for
+    those that read it still. Postings are range-partitioned and sorted by term, so a
+    reader's filter on terms skips row groups by their statistics.
     """
     check_unique(index.docs)
+    version = f"version-{uuid.uuid4().hex}"
     postings = index.postings.repartitionByRange(partitions, "term") if partitions else index.postings.repartitionByRange("term")
-    for table, df in (("docs", index.docs), ("links", index.links), ("terms", index.terms), ("postings", postings.sortWithinPartitions("term", "doc_id")), ("pagerank", index.pagerank)):
-        df.write.mode("overwrite").parquet(f"{path}/{table}")
+    postings = postings.sortWithinPartitions("term", "doc_id")
+    for table, df in (("docs", index.docs), ("links", index.links), ("terms", index.terms), ("postings", postings), ("pagerank", index.pagerank)):
+        df.write.parquet(f"{path}/{version}/{table}")
+    _publish(index.docs.sparkSession, path, version)
+
+
+def write_pagerank(ranks: DataFrame, path: str) -> None:
+    """Replaces the ranks (doc_id, pagerank) of the published version."""
+    ranks.write.mode("overwrite").parquet(f"{current(ranks.sparkSession, path)}/pagerank")
 
 
 def read(spark: SparkSession, path: str) -> Index:
-    """The index at ``path``; tables that aren't there are empty."""
-    return Index(**{f.name: _table(spark, path, f.name) for f in fields(Index)})
+    """The published index at ``path``; tables that aren't there are empty."""
+    folder = current(spark, path)
+    return Index(**{f.name: _table(spark, path if f.name == "query_log" else folder, f.name) for f in fields(Index)})
 
 
 def _table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}")
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    where, system = _store(spark, f"{path}/{table}")
+    if not system.exists(where):
         return empty(spark, table)
     return spark.read.schema(SCHEMAS[table]).parquet(f"{path}/{table}")
 

@@ -71,8 +71,9 @@ def run_eval(index: tables.Index) -> dict:
 
 
 def crawled(pages: DataFrame, **how) -> tuple[DataFrame, dict]:
-    """Frontier pages (id, url, title, text, outlinks, fetch_ord) from pages (id, url, html, ord)."""
-    manifest = pages.select("id", "url", "ord", html.outlinks_of(F.col("html")).alias("outlinks"))
+    """Frontier pages (id, url, title, text, outlinks, fetch_ord) from pages (id, url, html, ord, and present if pages may be missing)."""
+    kept = ["present"] if "present" in pages.columns else []
+    manifest = pages.select("id", "url", "ord", html.outlinks_of(F.col("html")).alias("outlinks"), *kept)
     order, figures = crawl.crawl(manifest, **how)
     fetched = order.join(pages.select("id", "url", "html"), "id")
     return fetched.select("id", "url", html.title_of(F.col("html")).alias("title"), html.text_of(F.col("html")).alias("text"), "outlinks", "fetch_ord"), figures
@@ -104,7 +105,7 @@ def build(spark: SparkSession, path: str, seed: int = 7, n: int = 2500, say: Cal
 
     def do_rank() -> int:
         made = tables.read(spark, f"{path}/index")
-        pagerank.compute(made.docs, made.links).write.mode("overwrite").parquet(f"{path}/index/pagerank")
+        tables.write_pagerank(pagerank.compute(made.docs, made.links), f"{path}/index")
         return made.docs.count()
 
     stage("corpus", lambda: corpus.generate(spark, f"{path}/corpus", seed, n))

@@ -560,6 +560,42 @@ def _bm25_query(field: str) -> str:
     )
 
 
+def _crawl_sql(per_topic: int, rounds: int) -> str:
+    """The crawl with its rounds written out: DuckDB has no windows over a recursion's own rows."""
+    name = "format('p{:04d}', {x})"
+    steps = [
+        f"""{_EDGES},
+page AS MATERIALIZED (SELECT page_id, {_TOPIC} AS topic FROM pages),
+link AS MATERIALIZED (
+  SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS place
+  FROM (SELECT DISTINCT src, dst FROM edges) JOIN page p ON p.page_id = dst
+), ok AS (SELECT src, dst, place FROM link JOIN page ON page_id = dst WHERE topic <> 'es'),
+queue1 AS (
+  SELECT page_id, topic, 0 AS child, '' AS a, row_number() OVER (ORDER BY topic) AS b, 0::BIGINT AS c, 0 AS depth
+  FROM (SELECT topic, min(page_id) AS page_id FROM page WHERE topic NOT IN ('', 'admin') GROUP BY topic)
+  WHERE topic <> 'es'
+), seen1 AS MATERIALIZED (SELECT min(page_id) AS page_id FROM page WHERE topic NOT IN ('', 'admin') GROUP BY topic)"""
+    ]
+    for i in range(1, rounds + 1):
+        steps.append(f"""turn{i} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY child, a, b, c) AS turn FROM queue{i}),
+new{i} AS MATERIALIZED (
+  SELECT dst AS page_id, min((t.topic, t.turn, k.place)) AS first, arg_min(t.depth, (t.topic, t.turn, k.place)) + 1 AS depth
+  FROM turn{i} t JOIN ok k ON k.src = t.page_id WHERE t.turn <= {per_topic} AND dst NOT IN (SELECT page_id FROM seen{i}) GROUP BY dst
+), seen{i + 1} AS MATERIALIZED (SELECT page_id FROM seen{i} UNION ALL SELECT page_id FROM new{i}),
+queue{i + 1} AS MATERIALIZED (
+  SELECT page_id, topic, 0 AS child, topic AS a, turn AS b, 0::BIGINT AS c, depth FROM turn{i} WHERE turn > {per_topic}
+  UNION ALL SELECT n.page_id, p.topic, 1, n.first[1], n.first[2], n.first[3], n.depth FROM new{i} n JOIN page p ON p.page_id = n.page_id
+)""")
+    took = " UNION ALL ".join(f"SELECT page_id, {i} AS round, topic, turn, depth FROM turn{i} WHERE turn <= {per_topic}" for i in range(1, rounds + 1))
+    steps.append(f"took AS ({took}), out_ AS (SELECT src, string_agg({name.replace('{x}', 'dst')}, ' ' ORDER BY place) AS outlinks FROM ok GROUP BY src)")
+    select = f"""SELECT {name.replace('{x}', 'page_id')} AS id, (row_number() OVER (ORDER BY round, topic, turn) - 1)::BIGINT AS fetch_ord,
+round::BIGINT AS round, depth::BIGINT AS depth, coalesce(outlinks, '') AS outlinks FROM took LEFT JOIN out_ ON src = page_id"""
+    return _with(", ".join(steps), select)
+
+
+#: Rounds that the SQL of crawl_budget writes out; at the sizes that it is run at the crawl ends before.
+CRAWL_ROUNDS = 25
+
 _I = _index_sql(_DOCS)
 ORACLE_SQL: dict[str, str] = {
     "tokens": _with(_I, "SELECT doc_id, field, raw, term, pos FROM tokens"),
@@ -608,6 +644,7 @@ SELECT page_id, array_to_string(list_filter(ids, lambda x, i: list_position(ids,
     "page_names": "SELECT page_id, format('p{:04d}', page_id) AS name, page_id AS number FROM pages",
     "bfs_depth": _with(f"{_EDGES}, reach(node, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, r.depth + 1 FROM reach r JOIN edges e ON e.src = r.node WHERE r.depth < 40)", "SELECT node, min(depth)::BIGINT AS depth FROM reach GROUP BY node", True),
     "default_seeds": f"SELECT topic, format('p{{:04d}}', min(page_id)) AS id FROM (SELECT page_id, {_TOPIC} AS topic FROM pages) WHERE topic NOT IN ('', 'admin') GROUP BY topic",
+    "crawl_budget": _crawl_sql(10, CRAWL_ROUNDS),
     "web_search": _with(_search_sql(WEB_SEARCHES, _WEB, "(SELECT doc_id, 0.0 AS pagerank FROM docs)"), "SELECT r.qid::BIGINT AS qid, r.rank::BIGINT AS rank, format('p{:04d}', r.doc_id) AS id, d.url, d.title FROM ranked r JOIN docs d ON d.doc_id = r.doc_id WHERE r.rank <= 5"),
     "link_degrees": _with(_TRADE, "SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM trade UNION ALL SELECT dst, 0, 1 FROM trade) GROUP BY node"),
     "pagerank": _with(_WALK.format(rounds=PAGERANK_ROUNDS), f"SELECT node AS doc_id, round(rank / sum(rank) OVER (), 10) AS pagerank FROM walk WHERE step = {PAGERANK_ROUNDS}", True),

@@ -21,6 +21,13 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.html$", 1).alias("id"), F.col("value").alias("html"))
 
 
+def read_site(spark: SparkSession, manifest: str, folder: str) -> DataFrame:
+    """id, url, title, ord, html, present: the manifest's pages with their files; present is false where the file is missing."""
+    files = read_pages(spark, folder).withColumn("present", F.lit(True))
+    rows = read_manifest(spark, manifest).select("id", "url", "title", "ord").join(files, "id", "left")
+    return rows.withColumn("present", F.coalesce("present", F.lit(False)))
+
+
 def write_frontier(pages: DataFrame, path: str) -> None:
     """One JSON object a line, in the order of fetch_ord across files and within them."""
     pages.repartitionByRange("fetch_ord").sortWithinPartitions("fetch_ord").select("id", "outlinks", "text", "title", "url", "fetch_ord").write.mode("overwrite").option("ignoreNullFields", "false").json(path)

@@ -56,9 +56,9 @@ def test_build_and_serve(spark, tmp_path, capsys):
     index = tables.read(spark, f"{tmp_path}/index")
     assert index.docs.count() == 120 and index.docs.where("url LIKE '%/admin/%'").count() == 0
     a = app_of(spark, f"{tmp_path}/index")
-    assert "<mark>" in a.handle("/search?q=espresso")[2]
-    a.handle("/search?q=espresso")
-    assert "espresso</td><td>2" in a.handle("/stats")[2]
+    assert "<mark>" in a.handle("/search?q=kiln")[2]
+    a.handle("/search?q=kiln")
+    assert "kiln</td><td>2" in a.handle("/stats")[2]
     told = search.run_eval(index)
     assert told["n"] == 14 and told["mrr"] > 0.5
 
@@ -72,3 +72,7 @@ def test_frontier_files(spark, tmp_path):
     (tmp_path / "pages").mkdir()
     (tmp_path / "pages" / "p0001.html").write_text("<p>x\ny</p>")
     assert [tuple(r) for r in pages.read_pages(spark, str(tmp_path / "pages")).collect()] == [("p0001", "<p>x\ny</p>")]
+    site = {r.id: r for r in pages.read_site(spark, str(tmp_path / "m.json"), str(tmp_path / "pages")).collect()}
+    assert site["p0001"].present and site["p0001"].html == "<p>x\ny</p>" and not site["p0003"].present and site["p0003"].ord == 0
+    crawled, figures = search.crawled(pages.read_site(spark, str(tmp_path / "m.json"), str(tmp_path / "pages")), seeds=["p0003", "p0001"])
+    assert figures["skipped_missing"] == 1 and [r.id for r in crawled.collect()] == ["p0001"]

@@ -31,7 +31,7 @@ def index(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("index"))
     tables.write(tables.build(tables.docs_of(pages(spark)), tables.links_of(pages(spark))), path)
     made = tables.read(spark, path)
-    pagerank.compute(made.docs, made.links).write.mode("overwrite").parquet(f"{path}/pagerank")
+    tables.write_pagerank(pagerank.compute(made.docs, made.links), path)
     return tables.read(spark, path)
 
 
@@ -159,3 +159,25 @@ def test_stream_of_the_log(spark, tmp_path):
     querylog.write(querylog.query_counts(querylog.read(spark, str(tmp_path))), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     got = {(r.query, r.n, r.no_hits) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {("a", 2, 1), ("b", 1, 0)}
+
+
+def test_index_versions(spark, tmp_path):
+    """Readers see a version whole; one that fails is never seen, and the one before the last is kept."""
+    path = str(tmp_path / "index")
+    docs = spark.createDataFrame([(1, "u1", "one", "first body"), (2, "u2", "two", "second body")], "doc_id long, url string, title string, body string")
+    tables.write(tables.build(docs.where("doc_id = 1")), path)
+    first = tables.read(spark, path)
+    tables.write(tables.build(docs), path)
+    broken = tables.build(docs.withColumn("title", F.expr("assert_true(doc_id < 2, 'broken')").cast("string")))
+    with pytest.raises(Exception, match="broken"):
+        tables.write(broken, path)
+    assert first.docs.count() == 1 and tables.read(spark, path).docs.count() == 2
+    assert tables.read(spark, path).terms.where("term = 'second'").count() == 1
+    tables.write(tables.build(docs.where("doc_id = 2")), path)
+    assert [r.doc_id for r in tables.read(spark, path).docs.collect()] == [2]
+
+
+def test_crawl_numbers_without_one_task(spark):
+    rows = spark.range(500).select((F.col("id") * 7919 % 500).alias("k"), F.lit("x").alias("s")).repartition(7)
+    got = crawl.numbered(rows, ["s", "k"], "at").collect()
+    assert len(got) == 500 and all(r["at"] == r.k for r in got)
