@@ -8,12 +8,16 @@ and count are calibrated so that a pair at the threshold, whose difference has
 length d = sqrt(2 - 2 * cosine) and a share of about d / sqrt(dimension) in each
 direction, is missed with a probability of at most ``MISS``.
 
-Work is dealt out by the first direction: cells as wide as a wide window, of
-which only neighbours can hold colliding pairs, cut into blocks of at most
-BLOCK vectors. A task gets one pair of blocks, so memory is bounded whatever
-the size of a label, and hot cells become more tasks. A task returns, for each
-vector, how many it links with, and for the components only a spanning forest of
-its links.
+Pairs are counted where they meet: in ``TABLES`` grids, each over ``AXES`` of the
+directions, in cells of ``WIDTH`` standard deviations of a threshold pair's difference
+and shifted at random. Such a pair shares a direction's cell with probability
+1 - sqrt(2 / pi) / WIDTH, so some grid's cell with 1 - (1 - 0.9^6)^16, all but 5e-6; two
+unrelated vectors share a cell with some 0.005, which leaves less than a tenth of a
+label's pairs. A pair belongs to the first grid in which it shares a cell, so each link
+counts once. Cells of more than BLOCK vectors are cut into blocks, and each pair of
+blocks is a group of its own, so memory is bounded whatever the size of a label, and
+hot cells become more groups. A task returns, for each vector, how many it links with,
+and for the components only a spanning forest of its links.
 
 Equal vectors of a label are one node with a multiplicity. Cases: vectors that
 are null, empty, zero, or hold null or non-finite components, and those without
@@ -29,7 +33,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +40,13 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import connected_components, written
 
 PROJECTIONS, BLOCK = 32, 1024
-#: Half widths in standard deviations of a threshold pair's difference: of the counted windows, and of the cells.
-NARROW, WIDE = 1.5, 4.5
+#: Half width of the counted windows, and width of the cells, in standard deviations of a threshold pair's difference.
+NARROW, WIDTH = 1.5, 8.0
+AXES, TABLES = 6, 16
+#: Vectors of a group up to which its windows are compared pair by pair, which for few of them is faster than by sorting.
+FEW = 64
+#: Vectors that a task holds at a time besides a group that is larger; pairs verified at a time.
+HELD, VERIFIED = 4096, 1 << 16
 MISS = 1e-4
 SEED = 20_240_229
 
@@ -50,6 +58,24 @@ def directions(dim: int) -> np.ndarray:
     return q.T[: min(dim, PROJECTIONS)]
 
 
+class Grid:
+    """Cells of the grids for one dimension and threshold."""
+
+    def __init__(self, dim: int, cosine: float):
+        rng = np.random.default_rng(SEED - dim)
+        self.axes = directions(dim)
+        n = len(self.axes)
+        self.chosen = np.stack([rng.choice(n, min(AXES, n), replace=False) for _ in range(TABLES)])
+        self.width = WIDTH * spread(dim, cosine)
+        self.shift = rng.random(self.chosen.shape)
+        self.times = rng.integers(0, 1 << 63, self.chosen.shape, dtype=np.int64) * 2 + 1
+
+    def cells(self, unit: np.ndarray) -> np.ndarray:
+        """A hash of the unit vector's cell in each grid."""
+        place = np.floor((self.axes @ unit)[self.chosen] / self.width + self.shift).astype(np.int64)
+        return (place * self.times).sum(1)
+
+
 def least_collisions(n: int) -> int:
     """The count that a threshold pair reaches in n directions with probability 1 - MISS at least."""
     p = math.erf(NARROW / math.sqrt(2))
@@ -78,19 +104,59 @@ def collisions(queries: np.ndarray, others: np.ndarray, half: float) -> np.ndarr
     return count
 
 
-def linked_pairs(x: np.ndarray, y: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the pairs (row of x, row of y) that collide often enough and reach the cosine."""
-    dim = x.shape[1]
-    unit_x, unit_y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
-    axes = directions(dim)
-    count = collisions(unit_x @ axes.T, unit_y @ axes.T, NARROW * spread(dim, cosine) + 1e-9)
-    a, b = np.nonzero(count >= least_collisions(len(axes)))
-    keep = []
-    for at in range(0, len(a), 1 << 16):
-        i, j = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-        dot = np.einsum("ij,ij->i", x[i], y[j])
-        keep.append(dot / (np.linalg.norm(x[i], axis=1) * np.linalg.norm(y[j], axis=1)) >= cosine)
-    good = np.concatenate(keep) if keep else np.zeros(0, bool)
+def colliding_pairs(x: np.ndarray, y: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the pairs (row of x, row of y) of unit vectors that collide often enough."""
+    axes = directions(x.shape[1])
+    count = collisions(x @ axes.T, y @ axes.T, NARROW * spread(x.shape[1], cosine) + 1e-9)
+    return np.nonzero(count >= least_collisions(len(axes)))
+
+
+def linked_pairs(x: np.ndarray, side: np.ndarray, first: np.ndarray, cells: np.ndarray, table: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of linked rows of x, of whole groups that begin at ``first``.
+
+    side is 0 or 1 where two blocks meet, of which only pairs across count, and -1 in a
+    group where all pairs do. cells has each row's cells in all grids, table the group's.
+    """
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    axes = directions(x.shape[1])
+    projected = unit @ axes.T
+    half = NARROW * spread(x.shape[1], cosine) + 1e-9
+    sizes = np.diff(np.append(first, len(x)))
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    # groups of few vectors: all pairs (i, j), i after j, of all groups together
+    place = np.arange(len(x)) - np.repeat(first, sizes)
+    later = np.where(np.repeat(sizes, sizes) <= FEW, place, 0)
+    for lo in range(0, len(x), HELD):
+        n = later[lo : lo + HELD]
+        i = np.repeat(np.arange(lo, lo + len(n)), n)
+        j = i - np.repeat(place[lo : lo + HELD], n) + (np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n))
+        across = (side[i] < 0) | (side[i] != side[j])
+        i, j = i[across], j[across]
+        for at in range(0, len(i), VERIFIED):
+            a, b = i[at : at + VERIFIED], j[at : at + VERIFIED]
+            good = (np.abs(projected[a] - projected[b]) <= half).sum(1) >= least_collisions(len(axes))
+            found_a.append(a[good])
+            found_b.append(b[good])
+    for start, n in zip(first[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+        rows = np.arange(start, start + n)
+        if side[start] < 0:
+            a, b = colliding_pairs(unit[rows], unit[rows], cosine)
+            a, b = rows[a[a < b]], rows[b[a < b]]
+        else:
+            left, right = rows[side[rows] == 0], rows[side[rows] == 1]
+            a, b = colliding_pairs(unit[left], unit[right], cosine)
+            a, b = left[a], right[b]
+        found_a.append(a)
+        found_b.append(b)
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    keep = [np.zeros(0, bool)]
+    for at in range(0, len(a), VERIFIED):
+        i, j = a[at : at + VERIFIED], b[at : at + VERIFIED]
+        # of the grids in which a pair meets, only the first counts it
+        own = (cells[i] == cells[j]).argmax(1) == table[i]
+        dot = np.einsum("ij,ij->i", x[i], x[j])
+        keep.append(own & (dot / (np.linalg.norm(x[i], axis=1) * np.linalg.norm(x[j], axis=1)) >= cosine))
+    good = np.concatenate(keep)
     return a[good], b[good]
 
 
@@ -113,10 +179,21 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     return kept
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Little-endian doubles, or floats where these say the same."""
+    single = x.astype("<f4")
+    return single.tobytes() if np.array_equal(single.astype("<f8"), x) else x.tobytes()
+
+
+def _unpacked(vecs: list[bytes], dim: int) -> np.ndarray:
+    return np.stack([np.frombuffer(v, "<f4" if len(v) == 4 * dim else "<f8").astype("<f8") for v in vecs])
+
+
 def _vectors(rows: DataFrame, cosine: float) -> DataFrame:
-    """no_id, vec_id, label, dim, vec (little-endian doubles; null if it can't link), cell."""
+    """vec_id, label, dim, vec (packed; null if it can't link), cells (of all grids, packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grids: dict[int, Grid] = {}
         for b in batches:
             dims, vecs, cells = [], [], []
             for label, v in zip(b.column("label"), b.column("embedding"), strict=True):
@@ -132,68 +209,103 @@ def _vectors(rows: DataFrame, cosine: float) -> DataFrame:
                 unit = x / scale
                 unit = unit / np.linalg.norm(unit)
                 dims.append(len(x))
-                vecs.append((x / scale if scale > 1e100 or scale < 1e-100 else x).tobytes())
-                cells.append(math.floor(float(directions_of(len(x))[0] @ unit) / (WIDE * spread(len(x), cosine))))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary()), pa.array(cells, pa.int32())], ["vec_id", "label", "dim", "vec", "cell"])
-
-    cache: dict[int, np.ndarray] = {}
-
-    def directions_of(dim: int) -> np.ndarray:
-        if dim not in cache:
-            cache[dim] = directions(dim)
-        return cache[dim]
+                vecs.append(_packed(x / scale if scale > 1e100 or scale < 1e-100 else x))
+                grid = grids.get(len(x)) or grids.setdefault(len(x), Grid(len(x), cosine))
+                cells.append(grid.cells(unit).tolist())
+            kinds = [pa.array(dims, pa.int32()), pa.array(vecs, pa.binary()), pa.array(cells, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), *kinds], ["vec_id", "label", "dim", "vec", "cells"])
 
     slim = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
-    return slim.mapInArrow(run, "vec_id long, label string, dim int, vec binary, cell int")
+    return slim.mapInArrow(run, "vec_id long, label string, dim int, vec binary, cells array<long>")
+
+
+def _dealt(reps: DataFrame) -> DataFrame:
+    """kind (label and dimension), grid, place (a cell or two blocks of one), side, digest, rep, times, dim, vec, cells: a row for each group of a vector."""
+    kind = F.xxhash64("label", "dim")
+    met = reps.select(kind.alias("kind"), "node", F.posexplode("cells").alias("grid", "cell"))
+    sizes = met.groupBy("kind", "grid", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # tables on both sides, so that Spark can split the join of a hot cell
+    sizes = written(sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"), "cells")
+    each = reps.select(kind.alias("kind"), "node", "times", "dim", "vec", "cells", F.posexplode("cells").alias("grid", "cell"))
+    block = F.pmod(F.xxhash64("node", "grid"), F.col("blocks")).cast("int")
+    meet = F.expr("transform(sequence(0, blocks - 1), j -> struct(least(block, j) AS i, greatest(block, j) AS j, IF(blocks = 1 OR block = j, -1, CAST(block > j AS int)) AS side))")
+    located = each.join(sizes, ["kind", "grid", "cell"]).withColumn("block", block).withColumn("m", F.explode(meet))
+    place = F.xxhash64("cell", "m.i", "m.j")
+    return located.select("kind", "grid", place.alias("place"), F.col("m.side").alias("side"), "node.digest", "node.rep", "times", "dim", "vec", "cells")
+
+
+def _links(dealt: DataFrame, cosine: float) -> DataFrame:
+    """a_rep, a_digest, links: how many vectors a node's vectors link with; and a_..., b_...: edges that connect the same nodes."""
+    schema = "a_rep long, a_digest long, b_rep long, b_digest long, links long"
+
+    def told(t: pa.Table) -> pa.RecordBatch:
+        """What whole groups of one dimension give."""
+        dim = t.column("dim")[0].as_py()
+        x = _unpacked(t.column("vec").to_pylist(), dim)
+        key = np.stack([t.column(c).to_numpy() for c in ("place", "kind", "grid")], 1)
+        first = np.append(0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1)
+        cells = t.column("cells").combine_chunks().flatten().to_numpy().reshape(len(x), -1)
+        side, times = t.column("side").to_numpy(), t.column("times").to_numpy()
+        a, b = linked_pairs(x, side, first, cells, key[:, 2], cosine)
+        links = (np.bincount(a, times[b], len(x)) + np.bincount(b, times[a], len(x))).astype(np.int64)
+        ends = np.array(spanning(a, b, len(x)), np.int64).reshape(-1, 2)
+        linked = np.flatnonzero(links)
+        rep, digest = t.column("rep").combine_chunks(), t.column("digest").combine_chunks()
+        own, other = np.append(linked, ends[:, 0]), ends[:, 1]
+        empty = pa.nulls(len(linked), pa.int64())
+        columns = [rep.take(pa.array(own)), digest.take(pa.array(own)), pa.concat_arrays([empty, rep.take(pa.array(other))]), pa.concat_arrays([empty, digest.take(pa.array(other))]), pa.array(np.append(links[linked], np.zeros(len(ends), np.int64)))]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
+
+    def whole_groups(t: pa.Table, last: bool) -> Iterator[tuple[pa.Table, bool]]:
+        """Runs of whole groups of one dimension, of HELD rows or one group; then the rows that may go on, marked False."""
+        key = np.stack([t.column(c).to_numpy() for c in ("dim", "place", "kind", "grid")], 1)
+        starts = np.append(0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1)
+        bounds = np.append(starts, t.num_rows) if last else starts
+        at = 0
+        while len(ahead := bounds[bounds > at]):
+            same = ahead[key[ahead - 1, 0] == key[at, 0]]
+            near = same[same <= at + HELD]
+            stop = int(near[-1] if len(near) else same[0])
+            yield t.slice(at, stop - at), True
+            at = stop
+        if at < t.num_rows:
+            yield t.slice(at), False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.Table] = []
+        size = 0
+        for b in batches:
+            rest.append(pa.Table.from_batches([b]))
+            size += b.num_rows
+            if size < HELD:
+                continue
+            parts = list(whole_groups(pa.concat_tables(rest), False))
+            rest, size = [], 0
+            for part, done in parts:
+                if done:
+                    yield told(part)
+                else:
+                    rest, size = [part], 0
+        if rest:
+            for part, _ in whole_groups(pa.concat_tables(rest), True):
+                yield told(part)
+
+    order = ["place", "kind", "grid"]
+    sorted_ = dealt.repartition(*order).sortWithinPartitions("dim", *order)
+    return sorted_.mapInArrow(run, schema)
 
 
 def near_duplicates(rows: DataFrame, cosine: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``rows`` (vec_id, embedding, label)."""
     vectors = written(_vectors(rows, cosine), "vectors")
-    node = F.struct(F.col("rep"), F.col("digest"))
     kinds = (
         vectors.where("vec IS NOT NULL")
-        .groupBy("label", "dim", "vec", "cell")
-        .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times"))
+        .groupBy("label", "dim", "vec")
+        .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times"), F.first("cells").alias("cells"))
         .withColumn("digest", F.xxhash64("label", "dim", "vec"))
     )
-    reps = written(kinds.withColumn("node", node).drop("rep", "digest"), "vector-classes")
-    # blocks of each cell, and of its two neighbours
-    place = ["label", "dim", "cell"]
-    sizes = reps.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    beside = [sizes.select("label", "dim", (F.col("cell") + step).alias("cell"), F.col("blocks").alias(name)) for step, name in ((-1, "above"), (1, "below"))]
-    located = reps.join(sizes, place).join(beside[0], place, "left").join(beside[1], place, "left")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    meet = F.expr(
-        "concat("
-        "transform(sequence(0, blocks - 1), j -> struct(cell AS low, 0 AS apart, least(block, j) AS i, greatest(block, j) AS j, CAST(block > j AS int) AS side)),"
-        "IF(above IS NULL, array(), transform(sequence(0, above - 1), j -> struct(cell AS low, 1 AS apart, block AS i, j AS j, 0 AS side))),"
-        "IF(below IS NULL, array(), transform(sequence(0, below - 1), i -> struct(cell - 1 AS low, 1 AS apart, i AS i, block AS j, 1 AS side))))"
-    )
-    dealt = located.withColumn("block", block).select("label", "dim", "node", "times", "vec", F.explode(meet).alias("m")).select("label", "dim", "node.digest", F.col("node.rep").cast("string").alias("rep"), "times", "vec", "m.*")
-
-    def count(frame: pd.DataFrame) -> pd.DataFrame:
-        apart, i, j = (int(frame[c].iloc[0]) for c in ("apart", "i", "j"))
-        alone = not apart and i == j
-        left = frame if alone else frame[frame["side"] == 0]
-        right = frame if alone else frame[frame["side"] == 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in ("a_rep", "a_digest", "b_rep", "b_digest", "links")})
-        x, y = (np.frombuffer(b"".join(f["vec"]), "<f8").reshape(len(f), -1) for f in (left, right))
-        a, b = linked_pairs(x, y, cosine)
-        if alone:
-            a, b = a[a < b], b[a < b]
-        both, offset = (left, 0) if alone else (pd.concat([left, right]), len(left))
-        times = both["times"].to_numpy()
-        links = np.bincount(a, weights=times[b + offset], minlength=len(both)) + np.bincount(b + offset, weights=times[a], minlength=len(both))
-        reps = [None if r is None else int(r) for r in both["rep"]]
-        nodes = list(zip(reps, both["digest"].tolist(), strict=True))
-        out = [(*nodes[k], None, None, int(links[k])) for k in np.flatnonzero(links)]
-        out += [(*nodes[k], *nodes[m], 0) for k, m in spanning(a, b + offset, len(both))]
-        names = ["a_rep", "a_digest", "b_rep", "b_digest", "links"]
-        return pd.DataFrame({c: pd.array([row[k] for row in out], dtype="Int64") for k, c in enumerate(names)})
-
-    found = dealt.groupBy("label", "dim", "low", "apart", "i", "j").applyInPandas(count, "a_rep long, a_digest long, b_rep long, b_digest long, links long")
+    reps = written(kinds.withColumn("node", F.struct("rep", "digest")).drop("rep", "digest"), "vector-classes")
+    found = _links(_dealt(reps), cosine)
     found = written(found.select(F.struct(F.col("a_rep").alias("rep"), F.col("a_digest").alias("digest")).alias("node"), F.when(F.col("b_digest").isNotNull(), F.struct(F.col("b_rep").alias("rep"), F.col("b_digest").alias("digest"))).alias("other"), "links"), "links")
     reached = connected_components(found.where("other IS NOT NULL").select(F.col("node").alias("u"), F.col("other").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -204,7 +316,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98) -> DataFrame:
         .select("label", "dim", "vec", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "node.rep", "component")
     )
     classes = written(classes, "classes")
-    smallest = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
+    smallest = written(classes.groupBy("component").agg(F.min("rep").alias("component_id")), "components")
     named = classes.join(smallest, "component").select("label", "dim", "vec", "n_links", "component_id")
     own = vectors.join(named, ["label", "dim", "vec"], "left")
     single = F.col("vec").isNull()

@@ -483,16 +483,54 @@ def test_blocks_meet(spark, monkeypatch):
     assert rows_of(embeddup.near_duplicates(df)) == whole and max(r[1] for r in whole) >= 50
 
 
-def test_recall_of_threshold_pairs():
+def threshold_pairs(n, dim, cosine):
     rng = np.random.default_rng(6)
-    x = rng.normal(size=(3000, 64))
+    x = rng.normal(size=(n, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     noise = rng.normal(size=x.shape)
     noise -= (noise * x).sum(1, keepdims=True) * x
     noise /= np.linalg.norm(noise, axis=1, keepdims=True)
-    y = x * 0.9801 + noise * math.sqrt(1 - 0.9801**2)
-    found = sum(len(embeddup.linked_pairs(x[i : i + 100], y[i : i + 100], 0.98)[0]) for i in range(0, 3000, 100))
-    assert found >= 2985
+    return x, x * cosine + noise * math.sqrt(1 - cosine**2)
+
+
+def test_recall_of_threshold_pairs():
+    """Pairs just above the threshold meet in a grid and pass the count, whether sorted or compared in pairs."""
+    n, dim = 20_000, 64
+    x, y = threshold_pairs(n, dim, 0.9801)
+    grid = embeddup.Grid(dim, 0.98)
+    cells = [np.array([grid.cells(v) for v in m]) for m in (x, y)]
+    assert (cells[0] == cells[1]).any(1).sum() >= n - 10
+    # unrelated vectors: less than a tenth of the pairs
+    met = np.mean([(cells[0][i] == cells[0][i + 1]).any() for i in range(n - 1)])
+    assert met < 0.1
+    for size in (2, 200):  # groups of the pair alone; groups of a hundred pairs
+        rows = np.stack([x[:3000], y[:3000]], 1).reshape(-1, dim)
+        first = np.arange(0, 6000, size)
+        none = np.zeros((6000, 1), np.int64)  # one grid, one cell
+        a, b = embeddup.linked_pairs(rows, np.full(6000, -1), first, none, np.zeros(6000, np.int64), 0.98)
+        assert len(a) >= 2985 and (np.abs(a - b) == 1).all()
+        side = np.tile([0, 1], 3000)
+        a, b = embeddup.linked_pairs(rows, side, first, none, np.zeros(6000, np.int64), 0.98)
+        assert len(a) >= 2985 and (side[a] != side[b]).all()
+
+
+def test_op8_embeddup(spark, tmp_path):
+    """The query against brute force, over many small labels and one large one, in partitions that groups cross."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(300, 32))
+    rows = [(i, (base[i % 300] + rng.normal(size=32) * 0.07).tolist(), i % 7 if i % 3 else 0) for i in range(1200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5).write.parquet(f"{tmp_path}/embeddings.parquet")
+    x = np.array([np.array(r[1], np.float32) for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    near = (x @ x.T >= 0.98) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    component = np.arange(1200)
+    for _ in range(50):
+        component = np.minimum(component, np.where(near, component, 1200).min(1))
+    want = sorted((i, int(near[i].sum()), int(component[i]), bool(component[i] == i)) for i in range(1200))
+    assert sum(w[1] for w in want) > 500
+    assert sorted(tuple(r) for r in embeddup.op8_embeddup(spark, str(tmp_path)).collect()) == want
 
 
 # --- WARC
