@@ -9,7 +9,9 @@ document's language is the one with most letters, and its score that language's
 share of all letters in labelled spans.
 
 Training counts cover every labelled text that is handed in. The model has
-BUCKETS floats per language, whatever the corpus size.
+BUCKETS floats per language, whatever the corpus size; more than MOST_LANGS
+languages are an error. A text longer than LETTERS is read in pieces cut between
+words, with the same result.
 
 Cases: a null text, or one without letters, is ``und`` with score 0; words in
 scripts of no known language carry no evidence and join the spans around them;
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.shared import trim
+from quarry.llm.shared import trim, written
 
 #: Hash buckets of letter trigrams; a power of two.
 BUCKETS = 1 << 16
@@ -42,6 +44,8 @@ SWITCH, SMOOTHING = 8.0, 0.5
 OWN_SCRIPT = 0.01
 #: Letters handled at a time, and scores (words times languages) of one Viterbi pass.
 LETTERS, CELLS = 1 << 20, 1 << 22
+#: Languages that a model can hold: a task holds BUCKETS floats for each.
+MOST_LANGS = 500
 UND = "und"
 
 #: First code points of ranges and the script of each range up to the next one; "" is none of these.
@@ -100,15 +104,23 @@ def words_of(texts: list[str]) -> dict[str, np.ndarray]:
     return {"bucket": bucket, "script": own, "heads": heads, "doc": doc, "start": start - begins[doc], "size": np.diff(np.append(heads, len(at))), "scripts": scripts}
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
-    """The texts in order, about LETTERS characters at a time."""
+def _pieces(texts: list[str]) -> Iterator[list[tuple[int, int, str]]]:
+    """The texts in order as (number, offset, piece), about LETTERS characters at a time; longer texts are cut between words."""
     part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= LETTERS:
-            yield part
-            part, size = [], 0
+    for number, t in enumerate(texts):
+        at = 0
+        while at < len(t) or not t:
+            end = min(len(t), at + LETTERS - size)
+            while end < len(t) and t[end].isalpha():
+                end += 1
+            part.append((number, at, t[at:end]))
+            size += end - at
+            at = end
+            if size >= LETTERS:
+                yield part
+                part, size = [], 0
+            if not t:
+                break
     if part:
         yield part
 
@@ -122,8 +134,8 @@ def train(labelled: DataFrame) -> dict:
             frame = pd.DataFrame({"lang": b.column("lang").to_pylist(), "text": b.column("text").to_pylist()})
             for lang, group in frame.groupby("lang"):
                 total = seen.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS), np.int64))
-                for part in _chunks(list(group["text"])):
-                    w = words_of(part)
+                for part in _pieces(list(group["text"])):
+                    w = words_of([piece for _, _, piece in part])
                     total[:BUCKETS] += np.bincount(w["bucket"], minlength=BUCKETS)
                     total[BUCKETS:] += np.bincount(w["script"], minlength=len(SCRIPTS))
         for lang, total in seen.items():
@@ -132,8 +144,11 @@ def train(labelled: DataFrame) -> dict:
 
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     counts = rows.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    counts = written(counts, "letter-counts")
+    langs = sorted(r.lang for r in counts.select("lang").distinct().limit(MOST_LANGS + 1).collect())
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} different values of lang: clean them first")
     found = counts.toArrow()
-    langs = sorted(set(found.column("lang").to_pylist()))
     of = {x: i for i, x in enumerate(langs)}
     table = np.zeros((len(langs), BUCKETS + len(SCRIPTS)))
     if langs:
@@ -224,21 +239,24 @@ def label_texts(model: dict, texts: list[str | None], with_spans: bool, switch:
 
     if not langs:
         return [(UND, 0.0, [])] * len(texts)
-    parts, scores, n, cells = [], [], 0, 0
-    for part in _chunks(["" if t is None else t for t in texts]):
-        w = words_of(part)
-        w["doc"] = w["doc"] + n
+    parts, scores, done, cells = [], [], 0, 0
+    whole = ["" if t is None else t for t in texts]
+    for part in _pieces(whole):
+        w = words_of([piece for _, _, piece in part])
+        number, offset = (np.array(x, np.int64) for x in zip(*((n, at) for n, at, _ in part), strict=True))
+        w["start"] = w["start"] + offset[w["doc"]]
+        w["doc"] = number[w["doc"]] - done
         parts.append(w)
         scores.append(_scores(model, w))
-        n += len(part)
         cells += scores[-1].size
         for k in ("bucket", "script", "heads"):
             del w[k]
-        if cells >= CELLS:
-            flush(parts, scores, n)
-            parts, scores, n, cells = [], [], 0, 0
-    if n:
-        flush(parts, scores, n)
+        n, at, piece = part[-1]
+        if cells >= CELLS and at + len(piece) == len(whole[n]):
+            flush(parts, scores, n + 1 - done)
+            parts, scores, done, cells = [], [], n + 1, 0
+    if parts:
+        flush(parts, scores, len(whole) - done)
     return out
 
 

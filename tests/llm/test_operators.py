@@ -162,6 +162,99 @@ def test_langid(docs, none, clashing):
     assert langid.identify(docs, empty).where("lang_pred <> 'und' OR score <> 0").count() == 0 and langid.identify(none, model).count() == 0
 
 
+def plain_words(text):
+    """(start, letters) of each run of letters, lower-cased one by one."""
+    out, run = [], []
+    for i, c in enumerate([*(text or ""), " "]):
+        if c.isalpha():
+            run.append(c.lower() if len(c.lower()) == 1 else c)
+        elif run:
+            out.append((i - len(run), run))
+            run = []
+    return out
+
+
+def plain_trigrams(letters):
+    for a, b, c in zip([0, *map(ord, letters)], map(ord, letters), [*map(ord, letters[1:]), 0]):
+        x = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9) % (1 << 64)
+        yield ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) % (1 << 64) >> 64 - 16
+
+
+def plain_script(c):
+    return [name for first, name in langid.RANGES if first <= ord(c)][-1]
+
+
+def brute_langid(train, text):
+    """The language and its share of letters, by counts in dictionaries and by dynamic programming word by word."""
+    langs = sorted({lang for t, lang in train if lang is not None and t is not None})
+    grams, scripts = {k: Counter() for k in langs}, {k: Counter() for k in langs}
+    for t, lang in train:
+        for _, run in plain_words(t) if lang is not None else []:
+            grams[lang].update(plain_trigrams(run))
+            scripts[lang].update(map(plain_script, run))
+    own = {k: {x for x, n in scripts[k].items() if x and n >= 0.01 * sum(scripts[k].values())} for k in langs}
+    words = plain_words(text)
+    if not words or not langs:
+        return "und", 0.0
+    value, back, known = {k: 0.0 for k in langs}, [], []
+    for n, (_, run) in enumerate(words):
+        mine = set(map(plain_script, run))
+        good = [k for k in langs if mine <= own[k]] or [k for k in langs if mine & own[k]]
+        known.append(bool(good))
+        raw = {k: sum(math.log((grams[k][g] + 0.5) / (sum(grams[k].values()) + 0.5 * langid.BUCKETS)) for g in plain_trigrams(run)) for k in good}
+        score = {k: max(raw[k] - max(raw.values()), -1e4) if k in raw else -1e4 if good else 0.0 for k in langs}
+        top = max(langs, key=lambda k: value[k])
+        source = {k: top if n and value[top] - langid.SWITCH > value[k] else k for k in langs}
+        value = {k: max(value[k], value[top] - langid.SWITCH if n else value[k]) + score[k] for k in langs}
+        back.append(source)
+    path = [max(langs, key=lambda k: value[k])]
+    for source in back[:0:-1]:
+        path.append(source[path[-1]])
+    share = Counter({k: 0 for k in langs})
+    for (_, run), k, sure in zip(words, path[::-1], known, strict=True):
+        share[k] += len(run) * sure
+    best = max(langs, key=lambda k: share[k])
+    return best, share[best] / max(sum(share.values()), 1)
+
+
+def test_op2_langid(spark, tmp_path):
+    """The query against plain counts and dynamic programming; mixed, foreign and blank texts."""
+    rng = np.random.default_rng(9)
+    make = {"aa": "abcdeilmnorst", "bb": "aeioukpqrz", "cc": "äöüßeinrst", "dd": "абвгдеж"}
+    word = lambda k: "".join(rng.choice(list(make[k]), int(rng.integers(1, 8))))
+    rows = []
+    for i in range(60):
+        k = ("aa", "bb", "cc", "dd")[i % 4]
+        other = ("aa", "bb", "cc", "dd")[int(rng.integers(4))]
+        text = " ".join([word(k) for _ in range(12)] + [word(other) for _ in range(i % 9)])
+        rows.append((i, text.title() if i % 5 == 0 else text, k if i % 6 else None, "s", 1))
+    rows += [(70, None, "aa", "s", 0), (71, "", "bb", "s", 0), (72, "12 34 !", "cc", "s", 1), (73, "日本 語", "aa", "s", 1), (74, "日本 abc abc", None, "s", 1), (74, "日本 abc abc", None, "s", 1), (None, "abc deil", "aa", "s", 1)]
+    held = [zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 4 == 2 for r in rows]
+    train = [(r[1], r[2]) for r, h in zip(rows, held, strict=True) if not h]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter()
+    for r, h in zip(rows, held, strict=True):
+        lang, share = brute_langid(train, r[1])
+        want[(r[0], h, lang, round(share, 6))] += 1
+    assert Counter((r.doc_id, r.held_out, r.lang_pred, round(r.score, 6)) for r in langid.op2_langid(spark, str(tmp_path)).collect()) == want
+
+
+def test_long_texts_in_pieces(docs, monkeypatch):
+    model = langid.train(docs)
+    texts = [f"{TEXT} " * 30 + "Straße und Übermut für den Ärger der Häuser " * 9 + TEXT, "", None, "x" * 300, TEXT]
+    whole = langid.label_texts(model, texts, True)
+    for letters, cells in ((1 << 20, 1), (50, 1 << 22), (7, 10), (1, 1)):
+        monkeypatch.setattr(langid, "LETTERS", letters)
+        monkeypatch.setattr(langid, "CELLS", cells)
+        assert langid.label_texts(model, texts, True) == whole
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        langid.train(spark.createDataFrame([("a text", f"l{i}") for i in range(5)], "text string, lang string"))
+
+
 def test_spans_of_mixed_text(docs):
     model = langid.train(docs)
     text = f"{TEXT}. Straße und Übermut für den Ärger der Häuser! 日本語のテキスト"
