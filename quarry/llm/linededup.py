@@ -216,14 +216,12 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_key_chars: int = 1, ke
 
 
 def without_dropped_lines(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with the dropped lines gone from text; untouched texts stay as they are.
-
-    Columns named n_lines, n_dropped or keep are not carried on.
-    """
-    marked = line_bitmaps(docs, **how)
+    """``docs`` with the dropped lines gone from text; untouched texts, and all other columns, stay as they are."""
+    aside = {c: f"own__{c}" for c in docs.columns if c in ("n_lines", "n_dropped", "keep")}
+    marked = line_bitmaps(docs.withColumnsRenamed(aside), **how)
     some = F.col("n_dropped") > 0
     text = F.when(some, _kept(F.when(some, F.col("text")), F.col("keep"))).otherwise(F.col("text"))
-    return marked.withColumn("text", text).select(*(c for c in docs.columns if c not in ("n_lines", "n_dropped", "keep")))
+    return marked.withColumn("text", text).select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
 def op10_linededup(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -82,6 +83,25 @@ def test_near_copies_at_the_threshold(spark):
     assert got == want | {500}
 
 
+def test_extra_columns_and_empty_tables(spark, folder):
+    """Columns named like helpers and results stay as they are; without documents there are no pieces."""
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    names = ("score", "lang_pred", "spans", "fp", "fps", "node", "key", "component", "n_dropped", "kept", "keep", "line", "row__", "no_id")
+    extra = docs
+    for name in names:
+        extra = extra.withColumn(name, F.lit(f"own {name}"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = extra.columns
+        extra = corpus_pipeline.written(stage(spark, extra, folder[0]), "stage")
+        assert extra.columns == before
+        assert all(r[name] == f"own {name}" for r in extra.select(*names).distinct().collect() for name in names) and extra.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, extra, folder[0]).count()
+    nothing = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        nothing = corpus_pipeline.written(stage(spark, nothing, folder[0]), "stage")
+        assert nothing.count() == 0
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert {"pipeline", *(f"op{n}" for n in range(1, 11))} <= {n.split("_")[0] for n in names}
