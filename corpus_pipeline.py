@@ -23,14 +23,18 @@ LEAST_SHARE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters, most of them in one language of the labelled documents."""
     model = langid.train(docs.select("text", "lang"))
-    found = langid.identify(docs, model, with_spans=False)
-    return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    # whole rows apart from the text, so that columns named like the result's stay as they are
+    rows = docs.select("text", F.struct(*docs.columns).alias("row__"))
+    found = langid.identify(rows, model, with_spans=False)
+    return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SHARE)).select("row__.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the lines that ten or more of them hold; n_chars follows the text."""
     kept = linededup.without_dropped_lines(docs, min_docs=10, min_key_chars=1)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
+    if "n_chars" not in docs.columns:
+        return kept
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
