@@ -62,15 +62,28 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def hash_of(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, 42) if word else START
+
+
 class Hashes(dict):
-    """Words' hashes, each made once."""
+    """Words' hashes, each made once, and the words by their hashes; the empty word is a text's start."""
+
+    def __init__(self):
+        super().__init__()
+        self.word = {}
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 42)
+        self[word] = h = hash_of(word)
+        self.word[h] = word
         return h
 
+    def forget(self) -> bool:
+        if full := len(self) >= REMEMBERED:
+            self.clear()
+            self.word.clear()
+        return full
+
 
 def squeezed(numbers: np.ndarray) -> bytes:
     """Unsigned 64-bit numbers, compressed byte by byte."""
@@ -96,8 +109,8 @@ def blocks_of(batches: Iterator[pa.RecordBatch], pid: int) -> Iterator[pa.Record
     """The texts of one task (doc_id, text, trains) in blocks.
 
     texts numbers the rows, parts has three numbers for each (tokens, those of them
-    that are context only, whether it trains), words the hashes of the distinct words,
-    frequent ones first, and stream a number of a word for each token.
+    that are context only, whether it trains), words the distinct words, frequent ones
+    first (the empty one is the start), and stream a number of a word for each token.
     """
     hashes = Hashes()
     waiting: list[tuple] = []
@@ -106,6 +119,7 @@ def blocks_of(batches: Iterator[pa.RecordBatch], pid: int) -> Iterator[pa.Record
     def out() -> pa.RecordBatch:
         # the end's count, which is that of the starts, is asked for by every block
         end = np.array([hashes[END]], np.uint64)
+        hashes[b""]
         own, number, n = np.unique(np.concatenate([*(w[4] for w in waiting), end]), return_inverse=True, return_counts=True)
         order = np.argsort(-n, kind="stable")
         place = np.empty(len(order), np.int64)
@@ -116,7 +130,10 @@ def blocks_of(batches: Iterator[pa.RecordBatch], pid: int) -> Iterator[pa.Record
             pa.array([size], pa.int64()),
             pa.array([[w[0] for w in waiting]], pa.list_(pa.int64())),
             pa.array([[w[1] for w in waiting]], pa.list_(pa.int64())),
-            *(pa.array([squeezed(x)], pa.binary()) for x in (parts, own[order], place[number[:-1]])),
+            pa.array([squeezed(parts)], pa.binary()),
+            # shorter than their hashes
+            pa.array([zstandard.compress(b"\n".join(map(hashes.word.__getitem__, own[order].tolist())), 3)], pa.binary()),
+            pa.array([squeezed(place[number[:-1]])], pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in BLOCKS.split(", ")])
 
@@ -135,6 +152,8 @@ def blocks_of(batches: Iterator[pa.RecordBatch], pid: int) -> Iterator[pa.Record
                 if size >= BLOCK_TOKENS:
                     yield out()
                     waiting, size, done = [], 0, done + 1
+                    if hashes.forget():  # but not what the rest of this text needs
+                        hashes.word.update(zip(x.tolist(), [b"", *own, END], strict=True))
                     trim()
     if waiting:
         yield out()
@@ -163,7 +182,8 @@ class Block:
     """
 
     def __init__(self, row: dict):
-        self.hashes, self.x = loosened(row["words"]), loosened(row["stream"]).astype(np.int64)
+        self.hashes = np.fromiter(map(hash_of, zstandard.decompress(row["words"]).split(b"\n")), np.uint64)
+        self.x = loosened(row["stream"]).astype(np.int64)
         self.parts = loosened(row["parts"]).astype(np.int64).reshape(-1, 3)
         sizes, context, learns = self.parts.T
         self.stops = np.append(0, np.cumsum(sizes))

@@ -471,6 +471,7 @@ def test_lmscore_in_blocks(spark, monkeypatch, block, run):
     """Texts cut over many blocks get the scores of the whole model; n-grams that occur once count."""
     monkeypatch.setattr(lmscore, "BLOCK_TOKENS", block)
     monkeypatch.setattr(lmscore, "RUN_TOKENS", run)
+    monkeypatch.setattr(lmscore, "REMEMBERED", 10)
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{x}" for x in rng.zipf(1.6, 20) % 40) for _ in range(8)] + [TEXT, TEXT, "", None]
     rows = [(i, t) for i, t in enumerate(texts)] + [(99, "the quick brown fox w1 w2 unseen dog"), (99, "the quick brown fox w1 w2 unseen dog")]
