@@ -51,11 +51,18 @@ PATTERNS = [
 ]
 
 
+#: Endings that a word must have one of to be changed by PATTERNS.
+ENDINGS = ("s", "ing", "ed", "e", "ly")
+
+
 def stemmed(word: Column) -> Column:
-    """The stem of a word. Each step reads its input once, so a filter that the optimizer moves through stays small."""
+    """The stem of a word. Words without any of the endings skip the patterns."""
+    out, ends = word, F.lit(False)
     for pattern, replacement in PATTERNS:
-        word = F.regexp_replace(word, pattern, replacement)
-    return word
+        out = F.regexp_replace(out, pattern, replacement)
+    for ending in ENDINGS:
+        ends = ends | word.endswith(ending)
+    return F.when(ends, out).otherwise(word)
 
 
 def with_stem(rows: DataFrame, raw: str = "raw", name: str = "term") -> DataFrame:

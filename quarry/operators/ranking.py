@@ -44,7 +44,7 @@ class Batch:
         spark = index.docs.sparkSession
         rows = parsed_rows(queries)
         self.small = len(rows) <= BROADCAST_ROWS
-        self.parsed, self.asked = relations(spark, queries)
+        self.parsed, self.asked = relations(spark, queries, rows)
         words = sorted({r[-1] for r in rows})
         pushed = 0 < len(words) <= PUSHED_TERMS
         self.postings, self.terms = (t.where(F.col("term").isin(words)) if pushed else t for t in (index.postings, index.terms))
@@ -58,9 +58,7 @@ class Batch:
     def pairs(self) -> DataFrame:
         """qid, doc_id, bm25, found: the sum over the wanted terms' postings, and what of each clause occurs where."""
         n, body, title = self.index.stats()
-        # how many clauses each group of the query has
-        sizes = self.parsed.where("NOT neg").groupBy("qid", "grp").agg(F.count_distinct("clause").alias("clauses"))
-        asked = self.parsed.join(sizes, ["qid", "grp"], "left").join(self.terms.select("term", "df"), "term")
+        asked = self.terms.select("term", "df").join(self._held(self.parsed), "term")
         hits = self.postings.join(self._held(asked), "term")
         in_title = F.col("field") == "title"
         part = F.when(in_title, TITLE_WEIGHT * bm25(F.col("tf"), F.col("len"), title)).otherwise(bm25(F.col("tf"), F.col("len"), body))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.functions.text import SHORTEST, STOPWORDS, stem
@@ -74,8 +75,8 @@ def parse(text: str | None) -> Query:
     return out
 
 
-PARSED = "qid long, grp int, clause int, phrase boolean, neg boolean, n_terms int, place int, term string"
-ASKED = "qid long, query string, site string, marks array<string>"
+PARSED = {"qid": pa.int64(), "grp": pa.int32(), "clause": pa.int32(), "phrase": pa.bool_(), "neg": pa.bool_(), "n_terms": pa.int32(), "place": pa.int32(), "term": pa.string()}
+ASKED = {"qid": pa.int64(), "query": pa.string(), "site": pa.string(), "marks": pa.list_(pa.string())}
 
 
 def parsed_rows(queries: dict[int, str]) -> list[tuple]:
@@ -89,10 +90,19 @@ def parsed_rows(queries: dict[int, str]) -> list[tuple]:
     return rows
 
 
-def relations(spark: SparkSession, queries: dict[int, str]) -> tuple[DataFrame, DataFrame]:
-    """The batch as relations: terms of clauses, and queries with their site and words to mark (longest first)."""
+def _local(spark: SparkSession, columns: dict[str, pa.DataType], rows: list[tuple]) -> DataFrame:
+    """Rows as a relation that needs no job of its own."""
+    return spark.createDataFrame(pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(columns.items())}))
+
+
+def relations(spark: SparkSession, queries: dict[int, str], rows: list[tuple]) -> tuple[DataFrame, DataFrame]:
+    """The batch as relations: terms of clauses, with the number of clauses of their group, and queries with their site and words to mark (longest first)."""
     asked = []
     for qid, text in queries.items():
         q = parse(text)
         asked.append((qid, text, q.site or None, sorted(set(q.surface_terms()), key=lambda w: (-len(w), w))))
-    return spark.createDataFrame(parsed_rows(queries), PARSED), spark.createDataFrame(asked, ASKED)
+    groups: dict[tuple, set] = {}
+    for qid, grp, clause, *_ in rows:
+        groups.setdefault((qid, grp), set()).add(clause)
+    counted = [(*r, len(groups[r[:2]])) for r in rows]
+    return _local(spark, PARSED | {"clauses": pa.int32()}, counted), _local(spark, ASKED, asked)
