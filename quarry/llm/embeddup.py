@@ -226,12 +226,13 @@ def _dealt(reps: DataFrame) -> DataFrame:
     sizes = met.groupBy("kind", "grid", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # tables on both sides, so that Spark can split the join of a hot cell
     sizes = written(sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"), "cells")
-    each = reps.select(kind.alias("kind"), "node", "times", "dim", "vec", "cells", F.posexplode("cells").alias("grid", "cell"))
     block = F.pmod(F.xxhash64("node", "grid"), F.col("blocks")).cast("int")
     meet = F.expr("transform(sequence(0, blocks - 1), j -> struct(least(block, j) AS i, greatest(block, j) AS j, IF(blocks = 1 OR block = j, -1, CAST(block > j AS int)) AS side))")
-    located = each.join(sizes, ["kind", "grid", "cell"]).withColumn("block", block).withColumn("m", F.explode(meet))
-    place = F.xxhash64("cell", "m.i", "m.j")
-    return located.select("kind", "grid", place.alias("place"), F.col("m.side").alias("side"), "node.digest", "node.rep", "times", "dim", "vec", "cells")
+    located = met.join(sizes, ["kind", "grid", "cell"]).withColumn("block", block).withColumn("m", F.explode(meet))
+    located = located.select("kind", "grid", F.xxhash64("cell", "m.i", "m.j").alias("place"), F.col("m.side").alias("side"), "node")
+    # only vectors that meet another one move
+    whole = located.join(reps.select("node", "times", "dim", "vec", "cells"), "node")
+    return whole.select("kind", "grid", "place", "side", "node.digest", "node.rep", "times", "dim", "vec", "cells")
 
 
 def _links(dealt: DataFrame, cosine: float) -> DataFrame:
