@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import analytics, crawl, pagerank, ranking
+from quarry.operators import analytics, crawl, pagerank, ranking, spelling
 from quarry.operators import index as tables
 from quarry.plans import search
 from quarry.streaming import querylog
@@ -181,3 +181,16 @@ def test_crawl_numbers_without_one_task(spark):
     rows = spark.range(500).select((F.col("id") * 7919 % 500).alias("k"), F.lit("x").alias("s")).repartition(7)
     got = crawl.numbered(rows, ["s", "k"], "at").collect()
     assert len(got) == 500 and all(r["at"] == r.k for r in got)
+
+
+def test_nearest_terms_by_deletions(spark, monkeypatch):
+    """Many words find the same nearest terms as a few."""
+    rng = __import__("random").Random(4)
+    make = lambda n: "".join(rng.choice("abcde") for _ in range(n))
+    terms = sorted({make(rng.randint(1, 8)) for _ in range(300)} | {"x" * 30, "x" * 26 + "y"})
+    words = sorted({make(rng.randint(1, 9)) for _ in range(80)} | {"x" * 25, "x" * 24 + "z", "zzzz"})
+    vocabulary = spark.createDataFrame([(t, t) for t in terms], "term string, surface string")
+    asked = spark.createDataFrame([(w, w) for w in words], "word string, stem string")
+    few = sorted(tuple(r) for r in spelling.nearest_terms(asked, vocabulary).collect())
+    monkeypatch.setattr(spelling, "FEW", 0)
+    assert sorted(tuple(r) for r in spelling.nearest_terms(asked, vocabulary).collect()) == few and len(few) > 30
