@@ -11,13 +11,13 @@ direction, is missed with a probability of at most ``MISS``.
 Pairs are counted where they meet: in ``TABLES`` grids, each over ``AXES`` of the
 directions, in cells of ``WIDTH`` standard deviations of a threshold pair's difference
 and shifted at random. Such a pair shares a direction's cell with probability
-1 - sqrt(2 / pi) / WIDTH, so some grid's cell with 1 - (1 - 0.9^6)^16, all but 5e-6; two
-unrelated vectors share a cell with some 0.005, which leaves less than a tenth of a
+1 - sqrt(2 / pi) / WIDTH, so some grid's cell with 1 - (1 - 0.9^8)^20, all but 1.2e-5;
+two unrelated vectors share a cell with some 0.0008, which leaves one in fifty of a
 label's pairs. A pair belongs to the first grid in which it shares a cell, so each link
 counts once. Cells of more than BLOCK vectors are cut into blocks, and each pair of
 blocks is a group of its own, so memory is bounded whatever the size of a label, and
 hot cells become more groups. A task returns, for each vector, how many it links with,
-and for the components only a spanning forest of its links.
+and for the components only a forest as its links would give it.
 
 Equal vectors of a label are one node with a multiplicity. Cases: vectors that
 are null, empty, zero, or hold null or non-finite components, and those without
@@ -42,7 +42,7 @@ from quarry.llm.shared import connected_components, written
 PROJECTIONS, BLOCK = 32, 1024
 #: Half width of the counted windows, and width of the cells, in standard deviations of a threshold pair's difference.
 NARROW, WIDTH = 1.5, 8.0
-AXES, TABLES = 6, 16
+AXES, TABLES = 8, 20
 #: Vectors of a group up to which its windows are compared pair by pair, which for few of them is faster than by sorting.
 FEW = 64
 #: Vectors that a task holds at a time besides a group that is larger; pairs verified at a time.
@@ -119,8 +119,8 @@ def linked_pairs(x: np.ndarray, side: np.ndarray, first: np.ndarray, cells: np.n
     """
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     axes = directions(x.shape[1])
-    projected = unit @ axes.T
-    half = NARROW * spread(x.shape[1], cosine) + 1e-9
+    projected = (unit @ axes.T).astype(np.float32)
+    half = np.float32(NARROW * spread(x.shape[1], cosine) + 1e-6)
     sizes = np.diff(np.append(first, len(x)))
     found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     # groups of few vectors: all pairs (i, j), i after j, of all groups together
@@ -161,7 +161,7 @@ def linked_pairs(x: np.ndarray, side: np.ndarray, first: np.ndarray, cells: np.n
 
 
 def spanning(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links a-b over n nodes."""
+    """Edges with the same components as the links a-b over n nodes: from each to the first one that it reaches."""
     parent = list(range(n))
 
     def root(i: int) -> int:
@@ -170,13 +170,11 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
             i = parent[i]
         return i
 
-    kept = []
     for i, j in zip(a.tolist(), b.tolist(), strict=True):
         p, q = root(i), root(j)
         if p != q:
             parent[max(p, q)] = min(p, q)
-            kept.append((i, j))
-    return kept
+    return [(i, r) for i in range(n) if (r := root(i)) != i]
 
 
 def _packed(x: np.ndarray) -> bytes:
