@@ -1,6 +1,6 @@
 """The engine's queries over the standard tables, and the same in SQL.
 
-Documents get a title (their first line's first 80 characters), a url (by
+Documents get a title (what stands before the first end of a sentence or line), a url (by
 language and id) and, for blending, a rank that their id gives. Links are those
 of customers to their suppliers, and arithmetic ones between pages. Conversations of users
 serve as a query log.
@@ -36,6 +36,7 @@ SEARCHES = {
 WEB_SEARCHES = {11: "track OR license", 12: "und der site:de"}
 MISSPELT = ["licens", "lisence", "publc", "releasd", "apach", "versoin", "generl", "zzzzzzzz", "the", "x"]
 PAGERANK_ROUNDS = 20
+TITLE = r"^[^.!?\n]*"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +48,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.concat(F.lit(f"{HOST}/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
-        F.substring(F.substring_index(body, "\n", 1), 1, 80).alias("title"),
+        F.regexp_extract(body, TITLE, 0).alias("title"),
         body.alias("body"),
     )
 
@@ -339,7 +340,7 @@ _KEPT = f"list_filter(regexp_extract_all(lower({{t}}), '[a-z0-9]+'), lambda x: l
 _DOCS = f"""
 docs AS (
   SELECT doc_id, '{HOST}/' || lang || '/' || doc_id AS url,
-         substr(string_split(coalesce(text, ''), chr(10))[1], 1, 80) AS title, coalesce(text, '') AS body
+         regexp_extract(coalesce(text, ''), '{TITLE}') AS title, coalesce(text, '') AS body
   FROM documents
 )"""
 
