@@ -8,7 +8,7 @@ import time
 from quarry.operators import analytics
 from quarry.operators import index as tables
 from quarry.plans import search
-from quarry.session import session
+from quarry.session import serving, session
 
 SNIPPET = 220
 
@@ -44,7 +44,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "build":
         search.build(spark, args.data, args.seed, args.docs)
         return 0
-    index = tables.read(spark, path)
+    index = tables.read(serving(spark) if args.command == "search" else spark, path)
     if args.command == "search":
         began = time.time()
         hits = search.search(index, args.query, args.n)

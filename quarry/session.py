@@ -29,6 +29,18 @@ def session(name: str = "quarry", master: str | None = None, **settings: str) ->
     return builder.getOrCreate()
 
 
+def serving(spark: SparkSession, partitions: int = 4) -> SparkSession:
+    """A session of the same application for single, interactive queries.
+
+    Planned once instead of stage by stage, over few partitions: for an index's hits on one
+    query, not for batches or builds. Read the index with it.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    own.conf.set("spark.sql.shuffle.partitions", partitions)
+    return own
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, unless they find it by PYTHONPATH or the working folder."""
     context = spark.sparkContext

@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 from quarry.operators import analytics
 from quarry.operators import index as tables
 from quarry.plans import search as plans
+from quarry.session import serving
 from quarry.sources.pages import log_query
 
 HTML = {"Content-Type": "text/html; charset=utf-8"}
@@ -86,7 +87,7 @@ class App:
 
 def app_of(spark: SparkSession, path: str) -> App:
     """An app over the index at ``path``, whose tables are cached."""
-    index = tables.read(spark, path)
+    index = tables.read(serving(spark), path)
     for table in (index.docs, index.terms, index.postings, index.pagerank):
         table.cache()
     empty = not index.docs.head(1)
