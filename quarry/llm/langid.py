@@ -110,7 +110,8 @@ def _pieces(texts: list[str]) -> Iterator[list[tuple[int, int, str]]]:
     for number, t in enumerate(texts):
         at = 0
         while at < len(t) or not t:
-            end = min(len(t), at + LETTERS - size)
+            # a text that fits in one piece stays whole, so that its last piece ends a batch
+            end = at + LETTERS if len(t) - at > LETTERS else len(t)
             while end < len(t) and t[end].isalpha():
                 end += 1
             part.append((number, at, t[at:end]))
