@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quarry.functions import html
+from quarry.operators.pagerank import IN_MEMORY
 from quarry.storage import cut
 
 #: Rounds whose found pages are kept in tables of their own before they are merged into one.
 SEEN_TABLES = 8
+#: Links that one round of a walk over a large graph goes down at most.
+HOPS = 8
 
 
 def default_seeds(manifest: DataFrame) -> DataFrame:
@@ -111,14 +116,55 @@ def crawl(manifest: DataFrame, seeds: list[str] | None = None, max_pages: int |
     return order.join(kept, "id", "left").select("id", "fetch_ord", "round", "depth", F.coalesce("outlinks", F.array().cast("array<string>")).alias("outlinks")), figures
 
 
-def bfs_depths(edges: DataFrame, roots: DataFrame, max_depth: int = 1_000) -> DataFrame:
-    """node, depth of every node that edges (src, dst) reach from ``roots`` (node)."""
-    level = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    found = level
-    for depth in range(1, max_depth + 1):
-        step = edges.join(level.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
-        level = cut(step.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)))
+def _levels(src: pa.Array, dst: pa.Array, roots: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The nodes that links reach from ``roots``, and their depths."""
+    names = pa.concat_arrays([roots, src, dst]).dictionary_encode()
+    codes = names.indices.to_numpy()
+    level, a, b = np.split(codes, [len(roots), len(roots) + len(src)])
+    b = b[np.argsort(a, kind="stable")]
+    degree = np.bincount(a, minlength=len(names.dictionary))
+    start = np.cumsum(degree) - degree
+    depths = np.full(len(names.dictionary), -1, dtype=np.int32)
+    depth = 0
+    while len(level):
+        depths[level] = depth
+        n = degree[level]
+        to = b[np.repeat(start[level] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        level, depth = np.unique(to[depths[to] < 0]), depth + 1
+    reached = np.flatnonzero(depths >= 0)
+    return names.dictionary.take(pa.array(reached)), depths[reached]
+
+
+def bfs_depths(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, in_memory: int = IN_MEMORY) -> DataFrame:
+    """node, depth of every node that edges (src, dst) reach from ``roots`` (node), at any depth or up to ``max_depth``.
+
+    Nulls are no nodes. Graphs of up to ``in_memory`` different edges and roots, which are
+    counted first, are walked over arrays. Others take rounds, each a chain of joins that
+    goes up to HOPS levels down from the last round's deepest level: along it a node stays
+    by a link of no length to itself, and of its ways the shortest counts.
+    """
+    spark = edges.sparkSession
+    kind = edges.schema["src"].dataType
+    edges = cut(edges.select("src", F.col("dst").cast(kind)).where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    level = cut(roots.select(F.col("node").cast(kind)).where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
+    if max_depth is None and edges.count() + level.count() <= in_memory:
+        e, r = edges.toArrow(), level.select("node").toArrow()
+        nodes, depths = _levels(*(x.combine_chunks() for x in (e.column("src"), e.column("dst"), r.column("node"))))
+        return spark.createDataFrame(pa.table({"node": nodes, "depth": depths}), level.schema)
+    stays = level.select("node").union(edges.select(F.col("dst").alias("node"))).distinct()
+    ways = edges.withColumn("length", F.lit(1)).union(stays.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("length")))
+    ways = cut(ways.repartition("src"))
+    found, recent, depth = level, 0, 0
+    while max_depth is None or depth < max_depth:
+        # deep graphs are walked in larger steps; shallow, wide ones would meet their links too often so
+        hops = min(HOPS, 1 + depth // 4, HOPS if max_depth is None else max_depth - depth)
+        for _ in range(hops):
+            level = ways.join(level.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.col("depth") + F.col("length")).alias("depth"))
+        fresh = cut(level.join(found, "node", "left_anti"))
+        found, recent, depth = found.union(fresh), recent + 1, depth + hops
+        if recent == SEEN_TABLES:
+            found, recent = cut(found.repartition("node")), 0
+        level = fresh.where(F.col("depth") == depth)
         if not level.head(1):
             break
-        found = cut(found.union(level))
     return found

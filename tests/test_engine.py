@@ -194,3 +194,29 @@ def test_nearest_terms_by_deletions(spark, monkeypatch):
     few = sorted(tuple(r) for r in spelling.nearest_terms(asked, vocabulary).collect())
     monkeypatch.setattr(spelling, "FEW", 0)
     assert sorted(tuple(r) for r in spelling.nearest_terms(asked, vocabulary).collect()) == few and len(few) > 30
+
+
+def test_bfs_depths_of_deep_graphs(spark):
+    """Small and large graphs, walked as deep as they are, in few rounds."""
+    n = 1_300
+    chain = [(i, i + 1) for i in range(n)] + [(5, 3), (7, 7), (9, 11), (9, 11), (None, 4), (4, None), (-1, 2)]
+    want = {i: i - (i > 10) for i in range(n + 1)}
+    edges, roots = spark.createDataFrame(chain, "src long, dst long"), spark.createDataFrame([(0,), (0,), (None,)], "node long")
+    rows = crawl.bfs_depths(edges, roots).collect()
+    assert len(rows) == n + 1 and {r.node: r.depth for r in rows} == want
+    rng = __import__("random").Random(3)
+    links = [(f"n{a}", f"n{b}") for a, b in ((i, min(59, max(0, i + rng.choice([-9, -3, 1, 1, 2])))) for i in range(60) for _ in range(2))] + [("x", "n1")]
+    depths, level, depth = {}, {"n0", "n50"}, 0
+    while level:
+        depths |= dict.fromkeys(level, depth)
+        level, depth = {b for a, b in links if a in level} - set(depths), depth + 1
+    few = spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame([("n0",), ("n50",)], "node string")
+    for how in ({}, {"in_memory": 0}):
+        rows = crawl.bfs_depths(*few, **how)
+        assert rows.dtypes == [("node", "string"), ("depth", "int")]
+        assert sorted(tuple(r) for r in rows.collect()) == sorted(depths.items()) and max(depths.values()) > 4
+    assert sorted(r.depth for r in crawl.bfs_depths(*few, max_depth=2).collect()) == sorted(x for x in depths.values() if x <= 2)
+    nothing = edges.where("false")
+    for size in (0, 100):
+        assert [tuple(r) for r in crawl.bfs_depths(nothing, roots, in_memory=size).collect()] == [(0, 0)]
+        assert crawl.bfs_depths(edges, roots.where("false"), in_memory=size).count() == 0
