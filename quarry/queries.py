@@ -594,7 +594,7 @@ round::BIGINT AS round, depth::BIGINT AS depth, coalesce(outlinks, '') AS outlin
     return _with(", ".join(steps), select)
 
 
-#: Rounds that the SQL of crawl_budget writes out; at the sizes that it is run at the crawl ends before.
+#: Rounds that the SQL of crawl_budget writes out; up to sf0.01 the crawl ends before, on larger tables it goes on.
 CRAWL_ROUNDS = 25
 
 _I = _index_sql(_DOCS)
