@@ -30,6 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,8 +43,8 @@ BUCKETS = 1 << 16
 SWITCH, SMOOTHING = 8.0, 0.5
 #: Share of a language's letters from which a script counts as its own.
 OWN_SCRIPT = 0.01
-#: Letters handled at a time, and scores (words times languages) of one Viterbi pass.
-LETTERS, CELLS = 1 << 20, 1 << 22
+#: Letters handled at a time, scores (words times languages) of one Viterbi pass, and bytes of a batch's texts taken out of it at a time.
+LETTERS, CELLS, SLICE_BYTES = 1 << 18, 1 << 22, 4 << 20
 #: Languages that a model can hold: a task holds BUCKETS floats for each.
 MOST_LANGS = 500
 UND = "und"
@@ -91,11 +92,12 @@ def words_of(texts: list[str]) -> dict[str, np.ndarray]:
     cp = lower[raw[at]].astype(np.uint64)
     joined = np.diff(at) == 1
     first = np.append(True, ~joined)[: len(at)]
-    before, after = np.zeros_like(cp), np.zeros_like(cp)
-    before[1:][joined] = cp[:-1][joined]
-    after[:-1][joined] = cp[1:][joined]
-    mixed = before * np.uint64(0x9E3779B97F4A7C15) + cp * np.uint64(0xC2B2AE3D27D4EB4F) + after * np.uint64(0x165667B19E3779F9)
-    bucket = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32)
+    mixed = cp * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed[1:] += np.where(joined, cp[:-1], 0) * np.uint64(0x9E3779B97F4A7C15)
+    mixed[:-1] += np.where(joined, cp[1:], 0) * np.uint64(0x165667B19E3779F9)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    bucket = (mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32)
     heads = np.flatnonzero(first)
     own = script[raw[at]]
     start = at[heads]
@@ -126,19 +128,33 @@ def _pieces(texts: list[str]) -> Iterator[list[tuple[int, int, str]]]:
         yield part
 
 
+def _slices(b: pa.RecordBatch | pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch | pa.Array]:
+    """Slices of a batch, whose texts these are, of at most SLICE_BYTES of text or one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(size):
+        before = size[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(size, before + SLICE_BYTES, side="right")))
+        yield b.slice(first, last - first)
+        first = last
+
+
 def train(labelled: DataFrame) -> dict:
     """A model from the columns text and lang; rows in which either is null teach nothing."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for b in batches:
-            frame = pd.DataFrame({"lang": b.column("lang").to_pylist(), "text": b.column("text").to_pylist()})
-            for lang, group in frame.groupby("lang"):
-                total = seen.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS), np.int64))
-                for part in _pieces(list(group["text"])):
-                    w = words_of([piece for _, _, piece in part])
-                    total[:BUCKETS] += np.bincount(w["bucket"], minlength=BUCKETS)
-                    total[BUCKETS:] += np.bincount(w["script"], minlength=len(SCRIPTS))
+        for batch in batches:
+            for b in _slices(batch, batch.column("text")):
+                frame = pd.DataFrame({"lang": b.column("lang").to_pylist(), "text": b.column("text").to_pylist()})
+                for lang, group in frame.groupby("lang"):
+                    total = seen.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS), np.int64))
+                    for part in _pieces(list(group["text"])):
+                        w = words_of([piece for _, _, piece in part])
+                        total[:BUCKETS] += np.bincount(w["bucket"], minlength=BUCKETS)
+                        total[BUCKETS:] += np.bincount(w["script"], minlength=len(SCRIPTS))
+                del frame, group, part, w
+            trim()  # an idle worker keeps what it holds, beside those of the next stage
         for lang, total in seen.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at])], ["lang", "slot", "n"])
@@ -261,20 +277,26 @@ def label_texts(model: dict, texts: list[str | None], with_spans: bool, switch:
     return out
 
 
+def labelled(model: dict, texts: pa.Array, with_spans: bool) -> pa.Array:
+    """A struct of lang_pred, score and, if asked for, spans for each text of a batch."""
+    rows = [r for part in _slices(texts, texts) for r in label_texts(model, part.to_pylist(), with_spans)]
+    columns = {"lang_pred": pa.array([r[0] for r in rows], pa.string()), "score": pa.array([r[1] for r in rows], pa.float64())}
+    if with_spans:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
+        columns["spans"] = pa.array([[{"start": a, "end": z, "lang": x} for a, z, x in r[2]] for r in rows], kind)
+    trim()
+    return pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+
 def identify(docs: DataFrame, model: dict, with_spans: bool = True) -> DataFrame:
     """``docs`` with lang_pred, score and, unless left out, spans (array of start, end, lang in characters of text)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())]))
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
-    @F.pandas_udf(T.StructType(fields + [T.StructField("spans", span)] * with_spans))
-    def label(texts: pd.Series) -> pd.DataFrame:
-        rows = label_texts(held.value, texts.tolist(), with_spans)
-        frame = pd.DataFrame({"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows]}, columns=["lang_pred", "score"])
-        if with_spans:
-            frame["spans"] = [[{"start": a, "end": z, "lang": x} for a, z, x in r[2]] for r in rows]
-        trim()
-        return frame
+    @F.arrow_udf(T.StructType(fields + [T.StructField("spans", span)] * with_spans))
+    def label(texts: pa.Array) -> pa.Array:
+        return labelled(held.value, texts, with_spans)
 
     names = ["lang_pred", "score"] + ["spans"] * with_spans
     own = docs.drop(*names)

@@ -249,6 +249,27 @@ def test_long_texts_in_pieces(docs, monkeypatch):
         assert langid.label_texts(model, texts, True) == whole
 
 
+def test_langid_memory(docs):
+    """A batch of 16 MB of text needs little memory beside it."""
+    import tracemalloc
+
+    model = langid.train(docs)
+    texts = pa.array(["Straße und Übermut für den Ärger der Häuser " * 90] * 4000)
+    tracemalloc.start()
+    found = langid.labelled(model, texts, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(found.field("lang_pred").to_pylist()) == {"de"} and peak < 120e6
+
+
+def test_langid_in_slices(docs, monkeypatch):
+    whole = Counter((r.doc_id, r.text, r.lang_pred, r.score, tuple(r.spans)) for r in langid.identify(docs, langid.train(docs)).collect())
+    monkeypatch.setattr(langid, "SLICE_BYTES", 100)
+    table = pa.record_batch({"text": pa.array(["a" * 60, None, "b" * 60, "c" * 300, "", "d"])})
+    assert [len(b) for b in langid._slices(table, table.column("text"))] == [2, 1, 1, 2]
+    assert Counter((r.doc_id, r.text, r.lang_pred, r.score, tuple(r.spans)) for r in langid.identify(docs, langid.train(docs)).collect()) == whole
+
+
 def test_too_many_languages(spark, monkeypatch):
     monkeypatch.setattr(langid, "MOST_LANGS", 3)
     with pytest.raises(ValueError, match="more than 3"):
