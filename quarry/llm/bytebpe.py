@@ -51,8 +51,8 @@ from quarry.llm.shared import trim
 LONGEST = 64
 #: Small maps that the rank map is dealt into; a power of two.
 MAPS = 1 << 16
-#: Bytes of text of a block; words of a row that Spark encodes at a time; pieces of text whose ids are unpacked at a time.
-BLOCK_BYTES, ROW_WORDS, ROW_PIECES = 12 << 20, 20_000, 300_000
+#: Bytes of text of a block; words of a row that Spark encodes at a time; pieces of text whose ids are unpacked at a time; words hashed in step.
+BLOCK_BYTES, ROW_WORDS, ROW_PIECES, STEP_WORDS = 12 << 20, 20_000, 300_000, 5_000
 
 
 @lru_cache(4)
@@ -173,12 +173,52 @@ def pieces_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     coded = pc.list_flatten(split).dictionary_encode()
     number = coded.indices.to_numpy().astype(np.int64) * 2 + 1
     number[np.cumsum(count) - count] -= 1  # even: without a space before it, as a text's first piece
-    distinct, number = np.unique(number, return_inverse=True)
+    there = np.zeros(2 * len(coded.dictionary), bool)
+    there[number] = True
+    distinct, number = np.flatnonzero(there), (np.cumsum(there) - 1)[number]
     bare = coded.dictionary.take(pa.array(distinct >> 1))
     lead = pa.array(np.array(["", " "], object)[distinct & 1], pa.string())
     return count, pc.binary_join_element_wise(lead, bare, ""), number
 
 
+#: A pattern that begins so takes a piece of letters only, with or without a space before them, as one word.
+_LETTERS_FIRST = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+|"
+#: Such a piece, of letters that every version of Unicode has: ASCII, Latin-1 and Latin Extended-A.
+_LETTERS_ONLY = r"\A ?[A-Za-zÀ-ÖØ-öø-ſ]+\z"
+
+
+def words_of(pieces: pa.Array, pattern: str, words_in: Callable[[str], list[str]]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Another order of the pieces (each one's place in it), and in that order how many words each has, and the words."""
+    plain = np.zeros(len(pieces), bool)
+    if pattern.startswith(_LETTERS_FIRST):
+        plain = pc.match_substring_regex(pieces, _LETTERS_ONLY).to_numpy(zero_copy_only=False)
+    place = np.where(plain, np.cumsum(plain), plain.sum() + np.cumsum(~plain)) - 1
+    made = [words_in(p) for p in pieces.filter(pa.array(~plain)).to_pylist()]
+    sizes = np.concatenate([np.ones(plain.sum(), np.int64), np.fromiter(map(len, made), np.int64, len(made))])
+    return place, sizes, pa.concat_arrays([pieces.filter(pa.array(plain)), pa.array([w for m in made for w in m], pa.string())])
+
+
+def buckets_of(words: pa.Array, buckets: int) -> np.ndarray:
+    """A bucket for each word (binary), by a hash of its bytes alone; short words in step."""
+    short = pc.binary_length(words).to_numpy(zero_copy_only=False) <= LONGEST
+    out = np.zeros(len(words), np.int64)
+    out[~short] = [zlib.crc32(w) % buckets for w in words.filter(pa.array(~short)).to_pylist()]
+    power = np.cumprod(np.full(LONGEST, 0x9E3779B97F4A7C15, np.uint64))
+    which = np.flatnonzero(short)
+    for first in range(0, len(which), STEP_WORDS):
+        now = which[first : first + STEP_WORDS]
+        part = words.take(pa.array(now))
+        ends = np.frombuffer(part.buffers()[1], "<i4", len(part) + 1, part.offset * 4).astype(np.int64)
+        data = np.frombuffer(part.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+        ends -= ends[0]
+        at = np.arange(len(data)) - np.repeat(ends[:-1], np.diff(ends))
+        total = np.append(np.uint64(0), np.cumsum((data + np.uint64(1)) * power[at]))
+        mixed = total[ends[1:]] - total[ends[:-1]]
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out[now] = (mixed >> np.uint64(32)) % np.uint64(buckets)
+    return out
+
+
 def pack_words(numbers: np.ndarray, words: pa.Array) -> bytes:
     """Numbers and words (binary) in one compressed value."""
     words = pa.concat_arrays([words])  # offsets from 0
@@ -260,10 +300,10 @@ def _numbered(docs: DataFrame, pattern: str, buckets: int, texts: bool) -> DataF
                 text = pa.concat_arrays([b.column("text")])
                 block, done = f"{pid}-{done}-{xxhash.xxh3_64_hexdigest(text.buffers()[2] or b'')}", done + 1
                 count, pieces, number = pieces_of(text)
-                made = [words_in(p) for p in pieces.to_pylist()]
-                sizes = np.fromiter(map(len, made), np.int64, len(made))
-                coded = pa.array([w for m in made for w in m], pa.string()).cast(pa.binary()).dictionary_encode()
-                del made, pieces
+                place, sizes, words = words_of(pieces, pattern, words_in)
+                number = place[number]
+                coded = words.cast(pa.binary()).dictionary_encode()
+                del pieces, place, words
                 if texts:
                     part = coded.indices.to_numpy().astype(np.int64)
                     each, numbers = gathered(sizes, part, number)
@@ -271,7 +311,7 @@ def _numbered(docs: DataFrame, pattern: str, buckets: int, texts: bool) -> DataF
                     yield _rows([block], [squeezed(numbers)], None, [b.column("doc_id").to_pylist()], [np.diff(ends).astype("<u8").tobytes()])
                 else:
                     words = coded.dictionary
-                    bucket = np.fromiter(map(zlib.crc32, words.to_pylist()), np.int64, len(words)) % buckets
+                    bucket = buckets_of(words, buckets)
                     order = np.argsort(bucket, kind="stable")
                     groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
                     if groups:

@@ -399,6 +399,29 @@ def test_bytebpe(spark, docs, none, clashing, tmp_path):
         assert bytebpe.merge_with_heap(word, ranks) == said.encode_ordinary(word.decode())
 
 
+def test_bytebpe_numbers_words(monkeypatch):
+    """Pieces of letters only skip the pattern where it takes them whole; hashes depend on a word's bytes alone."""
+    import regex
+
+    texts = ["Straße it's don't I'll 'sup ſſ łódź", " The  quick, (brown) fox2 x\ty", "", "ʼn ª º µ × ÷ a\u0301b ΑΒ 日本 ĳ", "a'b we've " + "x" * 200, "naïve\n\nÀÿ ÖØ öø", "a" * 64 + " " + "a" * 65]
+    split = r"\p{Lu}?\p{Ll}+|\p{L}|\s+|."
+    for pattern in (P.PATTERN, split):
+        words_in, asked = regex.compile(pattern).findall, []
+        count, pieces, number = bytebpe.pieces_of(pa.array(texts))
+        place, sizes, words = bytebpe.words_of(pieces, pattern, lambda p, f=words_in, a=asked: a.append(p) or f(p))
+        starts, found, at = np.append(0, np.cumsum(sizes)), words.to_pylist(), 0
+        for text, n in zip(texts, count, strict=True):
+            got = [w for i in place[number[at : at + n]] for w in found[starts[i] : starts[i + 1]]]
+            at += n
+            assert got == words_in(text)
+        assert len(asked) < len(pieces) if pattern == P.PATTERN else len(asked) == len(pieces)
+    words = pa.array([w.encode() for w in ["", "a", "ab", "ba", "a" * 64, "a" * 65, *map(str, range(3000))]])
+    want = bytebpe.buckets_of(words, 50)
+    monkeypatch.setattr(bytebpe, "STEP_WORDS", 7)
+    assert bytebpe.buckets_of(words, 50).tolist() == want.tolist() and bytebpe.buckets_of(words.slice(5, 90), 50).tolist() == want[5:95].tolist()
+    assert np.bincount(want, minlength=50).min() > 20 and bytebpe.buckets_of(words.slice(0, 0), 50).tolist() == []
+
+
 # --- FLAC
 
 
