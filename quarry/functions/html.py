@@ -63,8 +63,9 @@ def hrefs_of(page: Column) -> Column:
 
 
 def path_of(url: Column) -> Column:
-    """The path of a URL; / if there is none."""
-    return F.coalesce(F.nullif(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.lit("/"))
+    """The path of a URL; / if there is none. URLs with characters that Java's parser rejects have one too."""
+    loose = F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    return F.coalesce(F.nullif(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.nullif(loose, F.lit("")), F.lit("/"))
 
 
 def is_allowed(url: Column, disallowed: tuple[str, ...] = DISALLOWED) -> Column:

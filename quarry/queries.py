@@ -267,7 +267,9 @@ def _manifest(spark, d) -> DataFrame:
     edges = _page_edges(spark, d).groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("to"))
     rows = table(spark, d, "pages").select("page_id", html.topic_of(F.col("url")).alias("topic")).join(edges, F.col("page_id") == F.col("src"))
     name = html.page_name(F.col("page_id"))
-    return rows.select(name.alias("id"), F.concat(F.lit(f"{HOST}/"), "topic", F.lit("/"), name).alias("url"), F.col("page_id").alias("ord"), F.transform("to", html.page_name).alias("outlinks"))
+    # a page without a topic has no path: //p0001 would make its name one
+    start = F.when(F.col("topic") == "", "?").otherwise(F.concat("topic", F.lit("/")))
+    return rows.select(name.alias("id"), F.concat(F.lit(f"{HOST}/"), start, name).alias("url"), F.col("page_id").alias("ord"), F.transform("to", html.page_name).alias("outlinks"))
 
 
 def default_seeds(spark, d):

@@ -1,9 +1,11 @@
 import datetime as dt
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import queries
 from quarry.operators import analytics, crawl, pagerank, ranking, spelling
 from quarry.operators import index as tables
 from quarry.plans import search
@@ -220,3 +222,17 @@ def test_bfs_depths_of_deep_graphs(spark):
     for size in (0, 100):
         assert [tuple(r) for r in crawl.bfs_depths(nothing, roots, in_memory=size).collect()] == [(0, 0)]
         assert crawl.bfs_depths(edges, roots.where("false"), in_memory=size).count() == 0
+
+
+def test_crawl_of_odd_urls_equals_sql(spark, tmp_path):
+    """Pages without a topic are one group and no seeds; topics that Java's URL parser rejects are topics, and disallowed ones."""
+    urls = ["https://h.test", None, "https://h.test/?q=1", "https://h.test/a b/1", "https://h.test/de|x/2#top", "https://h.test/es/ 3", "https://h.test//fr//4/", "https://h.test/en/5%zz"]
+    rows = [(i, urls[i % len(urls)], "") for i in range(24)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("topic_of", "default_seeds", "crawl_budget"):
+        found = queries.QUERIES[name](spark, str(tmp_path))
+        want = con.sql(queries.ORACLE_SQL[name])
+        assert found.columns == want.columns
+        assert sorted(tuple(r) for r in found.collect()) == sorted(want.fetchall()), name
